@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import LOWER, UPPER
+from quern.llm.fingerprint import fingerprint_versions, with_next
 from quern.llm.line_dedup import drop_common_lines
+from quern.llm.near_dedup import near_duplicates
 from quern.llm.pii import BASE, detect_pii
 from quern.llm.sharding import external_shuffle, record_size
+from quern.llm.topk import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -85,3 +88,49 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@_query
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_next(_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    quarter = F.floor(F.col("n_chars") / 4).cast("int")
+    versions = docs.withColumn("n_chars", F.length("text").cast("long")).withColumn(
+        "edited",
+        F.concat(
+            F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - quarter).cast("int")),
+            F.substring(F.col("next_text"), F.lit(1), quarter),
+        ),
+    ).withColumn("edited_sha256", F.sha2("edited", 256))
+    return fingerprint_versions(
+        versions,
+        {"text": "fingerprint", "edited": "edited_fingerprint", "next_text": ""},
+        {"near_edited": ("text", "edited"), "near_next": ("text", "next_text")},
+    )
+
+
+@_query
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+ORACLE["op10_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: coalesce(p[1] * p[2], 0))) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
