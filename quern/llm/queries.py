@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from quern.llm.common import LOWER, UPPER
 from quern.llm.fingerprint import fingerprint_versions, with_next
 from quern.llm.line_dedup import drop_common_lines
+from quern.llm.mixing import mix_plan, taken_words
 from quern.llm.near_dedup import near_duplicates
 from quern.llm.pii import BASE, detect_pii
+from quern.llm.quality import score_quality
 from quern.llm.sharding import external_shuffle, record_size
 from quern.llm.topk import top_k
 
@@ -134,3 +136,48 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+
+@_query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    placed, pieces = mix_plan(docs, share=(3, 2), epochs=2)
+    return taken_words(placed, pieces).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+ORACLE["op3_mixing"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5('20240101:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS ord
+  FROM documents
+), per AS (
+  SELECT source, CAST(sum(size) AS HUGEINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS src_at FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, CASE src_at % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, sum(n) OVER () AS total FROM per
+), filling AS (
+  SELECT *, coalesce(sum(n) OVER (ORDER BY n * (10 // w), src_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         sum(w) OVER (ORDER BY n * (10 // w), src_at ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wleft
+  FROM weighed
+), flagged AS (
+  SELECT *, w * (3 * total - 4 * before) >= 4 * n * wleft AS isfull FROM filling
+), leveled AS (
+  SELECT *, CAST(3 * total - 4 * coalesce(sum(n) FILTER (WHERE isfull) OVER (), 0) AS DOUBLE)
+            / CAST(2 * sum(w) FILTER (WHERE NOT isfull) OVER () AS DOUBLE) AS level
+  FROM flagged
+), targets AS (
+  SELECT source, n, CASE WHEN isfull THEN CAST(2 * n AS DOUBLE) ELSE level * CAST(w AS DOUBLE) END AS target FROM leveled
+), placed AS (
+  SELECT s.doc_id, s.size, CAST(t.n AS BIGINT) AS source_size, t.target, CAST(floor(t.target) AS BIGINT) AS quota,
+         CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.ord, s.doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - s.size AS a
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(greatest(0, least(a + size, quota) - a) + greatest(0, least(source_size + a + size, quota) - source_size - a) AS BIGINT) AS taken
+FROM placed
+"""
+
+
+@_query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
