@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from quern.llm.common import LOWER, UPPER
 from quern.llm.fingerprint import fingerprint_versions, with_next
 from quern.llm.line_dedup import drop_common_lines
+from quern.llm.lm_score import score_documents
 from quern.llm.mixing import mix_plan, taken_words
 from quern.llm.near_dedup import near_duplicates
+from quern.llm.pieces import decode, encode
 from quern.llm.pii import BASE, detect_pii
 from quern.llm.quality import score_quality
 from quern.llm.sharding import external_shuffle, record_size
@@ -181,3 +183,65 @@ FROM placed
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_quality(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+@_query
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), order=2, alpha=0.4)
+    mean = F.when(F.col("n_words") > 0, F.col("log_micro") / (F.lit(1e6) * F.col("n_words"))).otherwise(0.0)
+    return scored.withColumn("mean_log", mean)
+
+
+ORACLE["op6_lm_scoring"] = rf"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), words AS (
+  SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM split
+), pairs AS (
+  SELECT *, lag(w) OVER (PARTITION BY r ORDER BY i) AS p FROM words
+), total AS (
+  SELECT count(*) AS n FROM words
+), one AS (
+  SELECT w, count(*) AS c FROM words GROUP BY w HAVING count(DISTINCT r) >= 2
+), two AS (
+  SELECT p, w, count(*) AS c FROM pairs WHERE p IS NOT NULL GROUP BY p, w HAVING count(DISTINCT r) >= 2
+), scored AS (
+  SELECT pairs.r, CASE WHEN two.c IS NOT NULL THEN 2 WHEN one.c IS NOT NULL THEN 1 ELSE 0 END AS level,
+         CASE WHEN i > 1 THEN 2 ELSE 1 END AS most,
+         CASE WHEN two.c IS NOT NULL THEN ln(two.c / before.c) WHEN one.c IS NOT NULL THEN ln(one.c / n) ELSE -ln(n) END AS value
+  FROM pairs CROSS JOIN total
+  LEFT JOIN two ON pairs.p = two.p AND pairs.w = two.w
+  LEFT JOIN one ON pairs.w = one.w
+  LEFT JOIN one before ON pairs.p = before.w
+), sums AS (
+  SELECT r, count(*) AS n_words, count(*) FILTER (WHERE level = 2) AS n_top,
+         sum(CAST(floor((value + (most - level) * ln(0.4)) * 1e6 + 0.5) AS BIGINT)) AS log_micro
+  FROM scored GROUP BY r
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_top, 0) AS n_top, CAST(coalesce(log_micro, 0) AS BIGINT) AS log_micro,
+       CASE WHEN n_words > 0 THEN log_micro / (1e6 * n_words) ELSE 0.0 END AS mean_log
+FROM split LEFT JOIN sums USING (r)
+"""
+
+#: The model that op9 and the pipeline encode with.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def piece_digests(docs: DataFrame, model: str = PIECE_MODEL) -> DataFrame:
+    """doc_id, pieces and the text they decode to, as digests."""
+    ids = F.array_join(F.col("pieces").cast("array<string>"), ",")
+    encoded = encode(docs.select("doc_id", "text"), model).withColumn("text_sha256", F.sha2("text", 256)).drop("text")
+    return decode(encoded, model).select(
+        "doc_id",
+        F.size("pieces").cast("long").alias("n_pieces"),
+        F.sha2(ids, 256).alias("pieces_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.sha2("decoded", 256) == F.coalesce("text_sha256", F.sha2(F.lit(""), 256))).alias("round_trip"),
+    )
+
+
+@_query
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(_table(spark, sf_dir, "documents"))
