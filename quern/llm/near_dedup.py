@@ -1,10 +1,11 @@
 """Near duplicates: one-permutation MinHash, bands, star-shaped candidates, exact check.
 
 Equal shingle sets become one node first, so copies cost nothing later. A bucket of a
-band links its members to one centre (a star), which bounds pairs by members. Members
-that a star leaves in different components meet again in further rounds, with the
-members outside the bucket's largest component as centres, until every pair that shares
-a bucket is either checked or already connected: no candidate is capped away.
+band links its members to one centre (a star), which bounds pairs by members. Where the
+stars leave a bucket's members in different components, blocks of the members outside
+its largest component are compared with all its blocks, inside tasks of bounded size
+that give back links only: every pair that shares a bucket is either checked or already
+connected, and no pair of a bucket is emitted unless it is a star's or a link.
 """
 
 from __future__ import annotations
@@ -16,9 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from quern.llm.common import hash128, materialize, read_back, remove, write_out
+from quern.llm.common import hash128, materialize
 from quern.llm.graph import components
 from quern.llm.hashing import mix, shingles
 
@@ -109,13 +109,58 @@ def _confirm(width: int, percent: int):
     return run
 
 
+def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each of ``left`` the sizes of its intersections with all of ``right``, none empty."""
+    ends = np.cumsum([len(s) for s in right])
+    known, at = np.unique(np.concatenate(right), return_inverse=True)
+    starts = np.concatenate([[0], ends[:-1]])
+    mark = np.zeros(len(known), np.int32)
+    for s in left:
+        place = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        held = place[known[place] == s]
+        mark[held] = 1
+        yield np.add.reduceat(mark[at], starts)
+        mark[held] = 0
+
+
+def _compare(width: int, percent: int):
+    """Groups hold whole pairs of blocks (b, i, j); out come links between different roots,
+    one for each two roots of a pair of blocks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        order = np.lexsort([table[c].to_numpy() for c in ("own", "j", "i", "b")])
+        b, i, j, own, root = (table[c].to_numpy()[order] for c in ("b", "i", "j", "own", "root"))
+        texts = [t.encode() for t in table["text"].take(pa.array(order)).to_pylist()]
+        index: dict[bytes, int] = {}
+        where = np.array([index.setdefault(t, len(index)) for t in texts], np.int64)
+        sets = list(shingles(list(index), width))
+        new = (np.diff(b, prepend=b[:1]) != 0) | (np.diff(i, prepend=i[:1]) != 0) | (np.diff(j, prepend=j[:1]) != 0)
+        found = [np.empty((0, 2), np.int64)]
+        for at in np.split(np.arange(len(b)), np.flatnonzero(new)):
+            left, right = at[own[at] == i[at]], at[own[at] == j[at]]
+            if not len(left) or not len(right) or len(np.unique(root[at])) < 2:
+                continue
+            others = [sets[where[k]] for k in right]
+            sizes = np.array([len(s) for s in others])
+            for k, same in zip(left, _intersections([sets[where[k]] for k in left], others), strict=True):
+                union = len(sets[where[k]]) + sizes - same
+                linked = root[right][(100 * same >= percent * union) & (root[right] != root[k])]
+                if len(linked):
+                    linked = np.unique(linked)
+                    found.append(np.stack([np.maximum(linked, root[k]), np.minimum(linked, root[k])], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+    return run
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
     width: int = 5,
     percent: int = 75,
     rows: int = 4,
-    centres: int = 8,
+    block: int = 1 << 16,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -125,7 +170,7 @@ def near_duplicates(
     ``width``-word shingles (A-Z lowered; fewer words: the whole sequence as one), and
     component_id is the smallest id reachable. Candidates share one of 32 bands of 4
     bins: a pair at 0.75 is missed with a chance of 5e-6; every candidate is confirmed
-    on full sets.
+    on full sets. ``block`` is about how many shingles a block holds.
 
     Null, empty or blank texts have no shingles and are linked with nothing. Repeated ids
     are rows of their own that share component and ``kept``. A row with a null id gets
@@ -181,41 +226,48 @@ def near_duplicates(
         .select(F.col("c").alias("u"), F.col("node").alias("v"))
     )
     links = materialize(confirmed(materialize(first, "pairs")), "links")
-    path = None
-    while True:
-        roots = materialize(components(links), "roots")
-        labelled = members.drop("c").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        per = labelled.groupBy("b", "root").agg(F.count(F.lit(1)).alias("k"))
-        largest = per.groupBy("b").agg(F.max_by("root", F.struct("k", "root")).alias("most"), F.count(F.lit(1)).alias("roots"))
-        split = labelled.join(largest.filter("roots > 1").select("b", "most"), "b")
-        new_path = write_out(split, "split")
-        if path:
-            remove(spark, path)
-        path, split = new_path, read_back(spark, new_path, split)
-        outside = split.filter("root != most")
-        order = Window.partitionBy("b").orderBy("node")
-        chosen = outside.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= centres)
-        chosen = chosen.select("b", F.col("node").alias("c"), F.col("root").alias("cr"), F.col("n").alias("cn"))
-        pairs = (
-            split.join(chosen, "b")
-            .filter("root != cr")
-            .filter(f"100 * least(n, cn) >= {percent} * greatest(n, cn)")
-            .select(F.least("node", "c").alias("u"), F.greatest("node", "c").alias("v"))
-            .distinct()
+    roots = materialize(components(links), "roots")
+
+    # Buckets whose members the stars left apart: blocks of those outside the largest
+    # component meet each other and the blocks inside it.
+    labelled = members.drop("c").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    per = labelled.groupBy("b", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
+    split = (
+        per.groupBy("b")
+        .agg(F.max_by(F.struct("root", "w"), F.struct("k", "root")).alias("most"), F.count(F.lit(1)).alias("roots"), F.sum("w").alias("w"))
+        .filter("roots > 1")
+        .select(
+            "b",
+            F.col("most.root").alias("most"),
+            F.ceil((F.col("w") - F.col("most.w")) / F.lit(float(block))).alias("outs"),
+            F.ceil(F.col("most.w") / F.lit(float(block))).alias("ins"),
         )
-        pairs = materialize(pairs, "pairs")
-        more = materialize(confirmed(pairs), "links")
-        links = links.unionByName(more)
-        # Centres have met all others of their bucket.
-        members = split.select("b", "node", "n").join(
-            chosen.select("b", F.col("c").alias("node")), ["b", "node"], "left_anti"
-        ).withColumn("c", F.lit(None).cast("long"))
-        left = outside.groupBy("b").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > centres).limit(1).count()
-        if not left:
-            if more.limit(1).count():
-                roots = materialize(components(links), "roots")
-            break
-        members = materialize(members, "members")
+    )
+    spread = F.xxhash64("node")
+    own = F.when(F.col("root") == F.col("most"), F.col("outs") + F.pmod(spread, F.col("ins"))).otherwise(F.pmod(spread, F.col("outs")))
+    meets = F.sequence(F.lit(0).cast("long"), F.when(F.col("own") < F.col("outs"), F.col("outs") + F.col("ins")).otherwise(F.col("outs")) - 1)
+    placed = materialize(
+        labelled.join(split, "b")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(meets))
+        .select("b", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n"),
+        "placed",
+    )
+    weight = placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if weight:
+        tasks = max(1, -(-weight // (2 * block)))
+        more = (
+            placed.withColumn("g", F.pmod(F.xxhash64("b", "i", "j"), F.lit(tasks)))
+            .join(texts, "node")
+            .select("g", "b", "i", "j", "own", "root", "text")
+            .groupBy("g")
+            .applyInArrow(_compare(width, percent), "u long, v long")
+        )
+        more = materialize(more.distinct(), "links")
+        joined = components(more).select(F.col("node").alias("root"), F.col("root").alias("merged"))
+        roots = roots.unionByName(more.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("root", F.col("node")).join(roots, "node", "left_anti"))
+        roots = roots.join(joined, "root", "left").select("node", F.coalesce("merged", "root").alias("root"))
+        roots = materialize(roots, "roots")
 
     least = (
         signed.filter("nd_n > 0")
