@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +23,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 MARK = "▁"
-#: Units that a worker remembers, none longer than so many characters; results do not depend on either.
-MEMO_UNITS, MEMO_CHARS = 1 << 19, 48
+#: Units that a worker remembers, none longer than so many characters, and pairs of pieces
+#: that it has tested; results do not depend on them.
+MEMO_UNITS, MEMO_CHARS, MEMO_PAIRS = 1 << 19, 48, 1 << 19
 #: As far below the worst piece as a character without a piece scores in unigram models.
 UNKNOWN_PENALTY = 10.0
 _UNKNOWN, _START = -2, -1
 
 
+class _Memo(dict):
+    """Unit -> the bytes of its ids; a miss encodes the unit."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, unit: str) -> bytes:
+        found = np.array(self.encode(unit), np.int32).tobytes()
+        if len(unit) <= MEMO_CHARS:
+            if len(self) >= MEMO_UNITS:
+                self.clear()
+            self[unit] = found
+        return found
+
+
 class Pieces:
     """The pieces of a model and their automaton; made once in each worker."""
 
@@ -50,6 +65,7 @@ class Pieces:
         plain = [i for i in every if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.score = {i: sp.get_score(i) for i in plain}
         self.id = {self.text[i]: i for i in plain}
+        self.rank = {self.text[i]: self.score[i] for i in plain}
         self.length = {i: len(self.text[i]) for i in plain}
         self.unknown = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
@@ -64,9 +80,9 @@ class Pieces:
             raise ValueError("a piece goes on behind a word mark")
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.id if len(p) > 1))
         other = re.escape(MARK + alone)
-        self.units = re.compile((f"[{re.escape(alone)}]|" if alone else "") + f"{MARK}*[^{other}]+|{MARK}+")
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.units = re.compile(f"{MARK}*[^{other}]+" + (f"|[{re.escape(alone)}]" if alone else "") + f"|{MARK}+")
+        self.fits: dict[int, bool] = {}
+        self.memo = _Memo(self.unit)
         self.bytes = [self._bytes(sp, i) for i in every]
         self.marked = {i for i in plain if self.text[i].startswith(MARK)}
 
@@ -79,37 +95,41 @@ class Pieces:
 
     def merged(self, text: str) -> list[str]:
         """Neighbours merged by rank until none is left, as the two pieces of a test are."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = self.id.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.score[i] > best):
-                    best, at = self.score[i], k
-            if best is None:
-                return parts
+        parts, rank, none = list(text), self.rank.get, float("-inf")
+        pairs = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := max(pairs)) > none:
+            at = pairs.index(best)  # the first of equals
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = rank(parts[at - 1] + parts[at], none)
+            if at < len(pairs):
+                pairs[at] = rank(parts[at] + parts[at + 1], none)
+        return parts
 
     def follows(self, last: int, piece: int) -> bool:
-        key = (last, piece)
-        ok = self.fits.get(key)
-        if ok is None:
-            now = self.text[piece]
-            before = [] if last < 0 else [self.text[last]]
-            ok = self.fits[key] = self.merged("".join(before) + now) == [*before, now]
+        """Whether merging the two (or the piece alone) gives them back; remembered."""
+        now = self.text[piece]
+        before = [] if last < 0 else [self.text[last]]
+        if len(self.fits) >= MEMO_PAIRS:
+            self.fits.clear()
+        ok = self.fits[last << 32 | piece] = self.merged("".join(before) + now) == [*before, now]
         return ok
 
     def _best(self, unit: str) -> list[int]:
         """The last piece of the best segmentation of each prefix, in one pass."""
         n, length = len(unit), self.length
         last, best = [_START, *[_UNKNOWN] * n], [0.0] * (n + 1)
-        at, found = -1, False
         if self.merging:
+            known, at = self.fits.get, -1
             for end, piece in self.automaton.iter(unit):
-                if end != at:
-                    at, found = end, False
-                if not found and self.follows(last[end + 1 - length[piece]], piece):
-                    last[end + 1], found = piece, True
+                if end == at:  # this position has its piece
+                    continue
+                before = last[end + 1 - length[piece]]
+                fits = known(before << 32 | piece)
+                if fits or fits is None and self.follows(before, piece):
+                    last[end + 1] = piece
+                    at = end
             return last
         # Unigram: positions in order, a character that is no piece relaxed as unknown.
         ends: list[list[int]] = [[] for _ in range(n)]
@@ -126,7 +146,7 @@ class Pieces:
             best[end + 1], last[end + 1] = score, choice
         return last
 
-    def unit(self, unit: str) -> tuple[int, ...]:
+    def unit(self, unit: str) -> list[int]:
         last, at, out = self._best(unit), len(unit), []
         while at:
             piece = last[at]
@@ -137,33 +157,17 @@ class Pieces:
             else:
                 at -= self.length[piece]
                 out.append(piece)
-        return tuple(reversed(out))
+        out.reverse()
+        return out
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         if not text:
-            return []
-        memo = self.memo
+            return np.empty(0, np.int32)
         units = self.units.findall(self.prefix + text.replace(" ", MARK))
-        for u in units if len(units) < 64 else set(units):
-            if u not in memo:
-                if len(memo) >= MEMO_UNITS:
-                    return self._fresh(units)
-                memo[u] = self.unit(u)
-                if len(u) > MEMO_CHARS:
-                    return self._fresh(units)
-        return list(chain.from_iterable(map(memo.__getitem__, units)))
-
-    def _fresh(self, units: list[str]) -> list[int]:
-        """Forget what is remembered and encode a text by itself."""
-        self.memo, own = {}, {}
-        for u in units:
-            if u not in own:
-                own[u] = self.unit(u)
-        return list(chain.from_iterable(map(own.__getitem__, units)))
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, units)), np.int32)
 
     def decode(self, ids: list[int]) -> str:
-        table = self.bytes
-        raw = b"".join([table[i] for i in ids])
+        raw = b"".join(map(self.bytes.__getitem__, ids))
         if self.prefix and ids and ids[0] in self.marked:
             raw = raw[1:]
         return raw.decode("utf-8", "replace")
@@ -200,7 +204,7 @@ def encode(docs: DataFrame, model: str | bytes, *, text_col: str = "text", into:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model)
         for batch in batches:
-            found = [np.array(pieces.encode(t.as_py() or ""), np.int32) for t in batch.column(text_col)]
+            found = [pieces.encode(t.as_py() or "") for t in batch.column(text_col)]
             offsets = np.cumsum([0, *map(len, found)], dtype=np.int64)
             step = 0
             while step < len(found):  # list offsets of a batch have 32 bits
@@ -226,7 +230,9 @@ def decode(df: DataFrame, model: str | bytes, *, pieces_col: str = "pieces", int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model)
         for batch in batches:
-            texts = [pieces.decode(ids.as_py() or []) for ids in batch.column(pieces_col)]
+            lists = batch.column(pieces_col).fill_null([])
+            ends, ids = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            texts = [pieces.decode(ids[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, into])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, T.StringType())]))
