@@ -62,10 +62,12 @@ def tree_rules(debug: str, names: list[str]) -> list[Rule]:
     return rules
 
 
-def rule_column(rule: Rule) -> Column:
+def rule_column(rule: Rule, of: Column | None = None) -> Column:
+    """1.0 where all conditions hold, on columns or on the fields of a struct."""
     held = F.lit(True)
     for name, op, value in rule:
-        held = held & (F.col(name) <= value if op == "<=" else F.col(name) > value)
+        stat = F.col(name) if of is None else of[name]
+        held = held & (stat <= value if op == "<=" else stat > value)
     return held.cast("double")
 
 
@@ -99,11 +101,17 @@ def _log_odds(ones: int, n: int) -> float:
     return log((ones + 1) / (n - ones + 1))
 
 
-def score_column(intercept: float, rules: list[tuple[float, Rule]]) -> Column:
-    total = F.lit(intercept)
-    for weight, rule in rules:
-        total = total + rule_column(rule) * weight
-    return 1 / (1 + F.exp(-total))
+def score_column(intercept: float, rules: list[tuple[float, Rule]], stats: dict[str, Column]) -> Column:
+    """The score from statistics by name. They are bound once, in a lambda: else an optimiser
+    that merges projections and filters would compute them again for every rule."""
+
+    def score(s: Column) -> Column:
+        total = F.lit(intercept)
+        for weight, rule in rules:
+            total = total + rule_column(rule, s) * weight
+        return 1 / (1 + F.exp(-total))
+
+    return F.get(F.transform(F.array(F.struct(*(c.cast("double").alias(n) for n, c in stats.items()))), score), 0)
 
 
 def held_out(id_: Column) -> Column:
@@ -144,9 +152,5 @@ def score_quality(
     )
     intercept, rules = fit_rules(materialize(sample, "sample").coalesce(4), names, **options)
     plain = docs.drop("held_out", "score", "predicted")
-    return (
-        plain.withColumns(dict(zip(names, stats.values(), strict=True)))
-        .withColumns({"held_out": held_out(F.col(id_col)), "score": score_column(intercept, rules)})
-        .withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-        .drop(*names)
-    )
+    score = score_column(intercept, rules, dict(zip(names, stats.values(), strict=True)))
+    return plain.withColumns({"held_out": held_out(F.col(id_col)), "score": score}).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
