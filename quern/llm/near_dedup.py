@@ -66,9 +66,16 @@ def band_hashes(signatures: np.ndarray, rows: int) -> np.ndarray:
 _SIGNED = "nd_n long, nd_s1 long, nd_s2 long, nd_bands array<long>"
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, for tasks that hold several arrays for each text."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def _sign(width: int, rows: int, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             texts = [(t or "").encode() for t in batch.column(text_at).to_pylist()]
             sets = list(shingles(texts, width))
             bands = band_hashes(signature(sets), rows).view(np.int64)
@@ -92,7 +99,7 @@ def _sign(width: int, rows: int, text_at: int):
 
 def _confirm(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             u, v = batch.column(0), batch.column(1)
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             index: dict[str, int] = {}

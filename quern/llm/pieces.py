@@ -15,7 +15,9 @@ of the marks; units repeat, and a worker remembers what it has encoded.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ MARK = "▁"
 MEMO_UNITS, MEMO_CHARS, MEMO_PAIRS = 1 << 19, 48, 1 << 19
 #: As far below the worst piece as a character without a piece scores in unigram models.
 UNKNOWN_PENALTY = 10.0
+#: Rows that are encoded and handed on together.
+ROWS = 1024
 _UNKNOWN, _START = -2, -1
 
 
@@ -38,7 +42,7 @@ class _Memo(dict):
         self.encode = encode
 
     def __missing__(self, unit: str) -> bytes:
-        found = np.array(self.encode(unit), np.int32).tobytes()
+        found = array("i", self.encode(unit)).tobytes()
         if len(unit) <= MEMO_CHARS:
             if len(self) >= MEMO_UNITS:
                 self.clear()
@@ -50,7 +54,6 @@ class Pieces:
     """The pieces of a model and their automaton; made once in each worker."""
 
     def __init__(self, model: bytes):
-        import ahocorasick
         from sentencepiece import SentencePieceProcessor
         from sentencepiece import sentencepiece_model_pb2 as proto
 
@@ -72,10 +75,6 @@ class Pieces:
         self.unk_id = sp.unk_id()
         if not all(sp.is_byte(i) for i in self.byte):
             self.byte = []
-        self.automaton = ahocorasick.Automaton()
-        for p, i in self.id.items():
-            self.automaton.add_word(p, i)
-        self.automaton.make_automaton()
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.id):
             raise ValueError("a piece goes on behind a word mark")
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.id if len(p) > 1))
@@ -86,6 +85,17 @@ class Pieces:
         self.bytes = [self._bytes(sp, i) for i in every]
         self.marked = {i for i in plain if self.text[i].startswith(MARK)}
 
+    @cached_property
+    def automaton(self):
+        """All pieces as (id, length); decoding does without it."""
+        import ahocorasick
+
+        made = ahocorasick.Automaton()
+        for p, i in self.id.items():
+            made.add_word(p, (i, len(p)))
+        made.make_automaton()
+        return made
+
     def _bytes(self, sp, i: int) -> bytes:
         if sp.is_byte(i):
             return bytes([int(self.text[i][3:5], 16)])
@@ -122,10 +132,10 @@ class Pieces:
         last, best = [_START, *[_UNKNOWN] * n], [0.0] * (n + 1)
         if self.merging:
             known, at = self.fits.get, -1
-            for end, piece in self.automaton.iter(unit):
+            for end, (piece, chars) in self.automaton.iter(unit):
                 if end == at:  # this position has its piece
                     continue
-                before = last[end + 1 - length[piece]]
+                before = last[end + 1 - chars]
                 fits = known(before << 32 | piece)
                 if fits or fits is None and self.follows(before, piece):
                     last[end + 1] = piece
@@ -133,7 +143,7 @@ class Pieces:
             return last
         # Unigram: positions in order, a character that is no piece relaxed as unknown.
         ends: list[list[int]] = [[] for _ in range(n)]
-        for end, piece in self.automaton.iter(unit):
+        for end, (piece, _) in self.automaton.iter(unit):
             ends[end].append(piece)
         for end, pieces in enumerate(ends):
             score, choice = float("-inf"), _UNKNOWN
@@ -191,31 +201,33 @@ def _load(model: str | bytes) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: str | bytes, *, text_col: str = "text", into: str = "pieces") -> DataFrame:
-    """All columns of ``docs`` plus ``into``, the piece ids of the whole text (array<int>).
+def encode(docs: DataFrame, model: str | bytes, *, text_col: str = "text", into: str = "pieces", decoded: str | None = None) -> DataFrame:
+    """All columns of ``docs`` plus ``into``, the piece ids of the whole text (array<int>), and
+    where ``decoded`` names a column, the text that those ids decode to, in the same pass.
 
     Null and empty texts have no pieces (an empty array). Repeated rows are encoded each;
     an empty table gives an empty table; a column of ``docs`` named ``into`` is replaced.
     For a merge model ids are those of the library; for a unigram model scores add up in
     64 bits and ties keep the longer last piece.
     """
-    model, docs = _load(model), docs.drop(into)
+    model, docs = _load(model), docs.drop(into, *filter(None, [decoded]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model)
-        for batch in batches:
-            found = [pieces.encode(t.as_py() or "") for t in batch.column(text_col)]
-            offsets = np.cumsum([0, *map(len, found)], dtype=np.int64)
-            step = 0
-            while step < len(found):  # list offsets of a batch have 32 bits
-                end = max(step + 1, int(np.searchsorted(offsets, offsets[step] + (1 << 26), "right")) - 1)
-                part = batch.slice(step, end - step)
-                values = np.concatenate(found[step:end]) if end > step else np.empty(0, np.int32)
-                lists = pa.ListArray.from_arrays(pa.array((offsets[step : end + 1] - offsets[step]).astype(np.int32)), pa.array(values))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, into])
-                step = end
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))]))
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                found = [pieces.encode(t.as_py() or "") for t in batch.column(text_col)]
+                offsets = np.cumsum([0, *map(len, found)], dtype=np.int64)
+                lists = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found))).cast(pa.list_(pa.int32()))
+                made = {into: lists}
+                if decoded:
+                    made[decoded] = pa.array([pieces.decode(ids.tolist()) for ids in found], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made.values()], names=[*batch.schema.names, *made])
+        pieces.memo.clear()  # an idle worker keeps no memory
+
+    fields = [T.StructField(into, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
 
 
 def decode(df: DataFrame, model: str | bytes, *, pieces_col: str = "pieces", into: str = "decoded") -> DataFrame:

@@ -13,7 +13,7 @@ from quern.llm.line_dedup import drop_common_lines
 from quern.llm.lm_score import score_documents
 from quern.llm.mixing import mix_plan, taken_words
 from quern.llm.near_dedup import near_duplicates
-from quern.llm.pieces import decode, encode
+from quern.llm.pieces import encode
 from quern.llm.pii import BASE, detect_pii
 from quern.llm.quality import score_quality
 from quern.llm.sharding import external_shuffle, record_size
@@ -232,13 +232,12 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 def piece_digests(docs: DataFrame, model: str = PIECE_MODEL) -> DataFrame:
     """doc_id, pieces and the text they decode to, as digests."""
     ids = F.array_join(F.col("pieces").cast("array<string>"), ",")
-    encoded = encode(docs.select("doc_id", "text"), model).withColumn("text_sha256", F.sha2("text", 256)).drop("text")
-    return decode(encoded, model).select(
+    return encode(docs.select("doc_id", "text"), model, decoded="decoded").select(
         "doc_id",
         F.size("pieces").cast("long").alias("n_pieces"),
         F.sha2(ids, 256).alias("pieces_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.sha2("decoded", 256) == F.coalesce("text_sha256", F.sha2(F.lit(""), 256))).alias("round_trip"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
     )
 
 

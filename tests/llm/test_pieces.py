@@ -56,6 +56,8 @@ def test_tables_with_nulls_repeats_and_clashing_names(spark):
     out = decode(encode(docs, PIECE_MODEL), PIECE_MODEL).collect()
     assert sorted((str(r.doc_id), r.decoded) for r in out) == sorted((str(d), t or "") for d, t, _ in rows)
     assert {len(r.pieces) for r in out if not r.text} == {0}
+    both = encode(docs, PIECE_MODEL, decoded="text2").collect()
+    assert all(r.text2 == (r.text or "") for r in both)
     assert encode(docs.limit(0), PIECE_MODEL).collect() == []
     nothing = spark.createDataFrame([(None,)], "pieces array<int>")
     assert decode(nothing, PIECE_MODEL).first().decoded == ""
