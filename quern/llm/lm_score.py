@@ -5,7 +5,8 @@ each in the partition of its hash; a partition adds up what all chunks ask for (
 table) and answers every chunk in the order it asked; a chunk joins the answers to the
 n-grams of its documents and adds up their scores. An n-gram crosses the network once
 for each chunk it is in, however frequent it is, so no key is hot. A partition holds a
-constant number of n-grams at every size of the corpus.
+constant number of n-grams at every size of the corpus. From n = 3 on, each n is asked in
+a round of its own, so that the questions of one round only are on disk.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import materialize
+from quern.llm.common import materialize, shuffles_dropped
 from quern.llm.hashing import mix, word_hashes, word_total
 
 #: UTF-8 bytes of texts in a chunk; a longer text is a chunk of its own.
@@ -100,9 +101,10 @@ def ngrams(texts: list[bytes], order: int) -> tuple[np.ndarray, list[tuple[np.nd
     return bounds, out
 
 
-def _distinct(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of n-grams, how often each occurs and in how many texts."""
-    bounds, grams = ngrams(texts, order)
+def _distinct(texts: list[bytes], sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of n-grams of ``sizes``, how often each occurs and in how many texts."""
+    bounds, grams = ngrams(texts, max(sizes))
+    grams = [grams[n - 1] for n in sizes]
     doc = np.repeat(np.arange(len(texts), dtype=np.uint32), np.diff(bounds))
     hashes = np.concatenate([h[ok] for h, ok in grams])
     docs = np.concatenate([doc[ok] for _, ok in grams])
@@ -131,11 +133,11 @@ def _bounds(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
 _ASK = "part long, chunk long, keys binary, n binary, d binary"
 
 
-def _ask(order: int, parts: int):
+def _ask(sizes: tuple[int, ...], parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                hashes, n, d = _distinct(_unpack(row["blob"], row["lengths"]), order)
+                hashes, n, d = _distinct(_unpack(row["blob"], row["lengths"]), sizes)
                 held, first = _bounds(hashes, parts)
                 spans = list(zip(first[:-1], first[1:], strict=True))
                 yield pa.RecordBatch.from_arrays(
@@ -173,16 +175,24 @@ def _answer(min_docs: int):
     return run
 
 
+def _rounds(order: int) -> list[tuple[int, ...]]:
+    """The n that are counted together: words and pairs, then each longer n by itself."""
+    return [tuple(range(1, min(order, 2) + 1)), *((n,) for n in range(3, order + 1))]
+
+
 def _score(order: int, alpha: float, words: int, schema: pa.Schema):
     def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
-        told = sorted(zip(answers["part"].to_pylist(), answers["counts"].to_pylist(), strict=True))
-        counts = np.concatenate([_expand(b, "<u8") for _, b in told] or [np.empty(0, np.uint64)])
+        told = sorted(zip(*(answers[c].to_pylist() for c in ("round", "part", "counts")), strict=True))
+        counts = [np.concatenate([_expand(b, "<u8") for k, _, b in told if k == i] or [np.empty(0, np.uint64)]) for i in range(len(_rounds(order)))]
         for row in chunks.to_pylist():
             texts = _unpack(row["blob"], row["lengths"])
             bounds, grams = ngrams(texts, order)
-            distinct = np.unique(np.concatenate([h[ok] for h, ok in grams]))
-            of = [np.where(ok, counts[np.minimum(np.searchsorted(distinct, h), len(counts) - 1)], 0) if len(counts) else np.zeros(len(h)) for h, ok in grams]
+            of = []
+            for sizes, c in zip(_rounds(order), counts, strict=True):
+                own = [grams[n - 1] for n in sizes]
+                distinct = np.unique(np.concatenate([h[ok] for h, ok in own]))
+                of += [np.where(ok, c[np.minimum(np.searchsorted(distinct, h), len(c) - 1)], 0) if len(c) else np.zeros(len(h)) for h, ok in own]
             value = np.full(bounds[-1], -log(words or 1))  # a word of no other document: one in all words
             backed = np.minimum(np.arange(bounds[-1]) - np.repeat(bounds[:-1], np.diff(bounds)), order - 1) + 1
             level = np.zeros(bounds[-1], np.int64)
@@ -238,8 +248,14 @@ def score_documents(
     chunks = materialize(rows.mapInArrow(_chunks(to_arrow_schema(packed), chunk_bytes), packed), "chunks")
     size, words = chunks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("bytes", "words"))).first()
     parts = max(1, -(-size // part_bytes))
-    asked = chunks.select("chunk", "lengths", "blob").mapInArrow(_ask(order, parts), _ASK)
-    answers = asked.groupBy("part").applyInArrow(_answer(min_docs), "chunk long, part long, counts binary")
+    answers = None
+    for i, sizes in enumerate(rounds := _rounds(order)):
+        asked = chunks.select("chunk", "lengths", "blob").mapInArrow(_ask(sizes, parts), _ASK)
+        told = asked.groupBy("part").applyInArrow(_answer(min_docs), "chunk long, part long, counts binary").withColumn("round", F.lit(i))
+        if i < len(rounds) - 1:
+            with shuffles_dropped(docs.sparkSession):
+                told = materialize(told, "answers")
+        answers = told if answers is None else answers.unionByName(told)
     out = T.StructType([T.StructField(id_col, id_type), *(T.StructField(c, T.LongType()) for c in ("n_words", "n_top", "log_micro"))])
     return (
         chunks.groupBy("chunk")

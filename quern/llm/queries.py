@@ -185,13 +185,61 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-@_query
-def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = score_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), order=2, alpha=0.4)
+def _mean_log(scored: DataFrame) -> DataFrame:
     mean = F.when(F.col("n_words") > 0, F.col("log_micro") / (F.lit(1e6) * F.col("n_words"))).otherwise(0.0)
     return scored.withColumn("mean_log", mean)
 
 
+@_query
+def op6_lm_trigram_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid backoff from trigrams to bigrams to words."""
+    return _mean_log(score_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), order=3, alpha=0.4))
+
+
+ORACLE["op6_lm_trigram_scoring"] = rf"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), words AS (
+  SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM split
+), grams AS (
+  SELECT *, lag(w) OVER (PARTITION BY r ORDER BY i) AS p, lag(w, 2) OVER (PARTITION BY r ORDER BY i) AS o FROM words
+), total AS (
+  SELECT count(*) AS n FROM words
+), one AS (
+  SELECT w, count(*) AS c FROM words GROUP BY w HAVING count(DISTINCT r) >= 2
+), two AS (
+  SELECT p, w, count(*) AS c FROM grams WHERE p IS NOT NULL GROUP BY p, w HAVING count(DISTINCT r) >= 2
+), three AS (
+  SELECT o, p, w, count(*) AS c FROM grams WHERE o IS NOT NULL GROUP BY o, p, w HAVING count(DISTINCT r) >= 2
+), scored AS (
+  SELECT grams.r, CASE WHEN three.c IS NOT NULL THEN 3 WHEN two.c IS NOT NULL THEN 2 WHEN one.c IS NOT NULL THEN 1 ELSE 0 END AS level,
+         least(i, 3) AS most,
+         CASE WHEN three.c IS NOT NULL THEN ln(three.c / earlier.c) WHEN two.c IS NOT NULL THEN ln(two.c / before.c)
+              WHEN one.c IS NOT NULL THEN ln(one.c / n) ELSE -ln(n) END AS value
+  FROM grams CROSS JOIN total
+  LEFT JOIN three ON grams.o = three.o AND grams.p = three.p AND grams.w = three.w
+  LEFT JOIN two ON grams.p = two.p AND grams.w = two.w
+  LEFT JOIN one ON grams.w = one.w
+  LEFT JOIN two earlier ON grams.o = earlier.p AND grams.p = earlier.w
+  LEFT JOIN one before ON grams.p = before.w
+), sums AS (
+  SELECT r, count(*) AS n_words, count(*) FILTER (WHERE level = 3) AS n_top,
+         sum(CAST(floor((value + (most - level) * ln(0.4)) * 1e6 + 0.5) AS BIGINT)) AS log_micro
+  FROM scored GROUP BY r
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_top, 0) AS n_top, CAST(coalesce(log_micro, 0) AS BIGINT) AS log_micro,
+       CASE WHEN n_words > 0 THEN log_micro / (1e6 * n_words) ELSE 0.0 END AS mean_log
+FROM split LEFT JOIN sums USING (r)
+"""
+
+
+@_query
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mean_log(score_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), order=2, alpha=0.4))
+
+
 ORACLE["op6_lm_scoring"] = rf"""
 WITH split AS (
   SELECT row_number() OVER () AS r, doc_id,
