@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions import urls
-from quern.operators import diff, graph, match
+from quern.functions import text, urls
+from quern.operators import diff, graph, match, related
+from quern.plans.scoring import WORDS_SQL
 from quern.plans.web import sql_host, sql_normalize, sql_route
 from quern.registry import query
 from quern.sources.tables import table, upsert
@@ -210,6 +211,48 @@ def section_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("parent").agg(F.count(F.lit(1)).alias("children"))
 
 
+CRAWLED_SQL = f"""
+WITH s AS (SELECT page_id, html, {sql_host('url')} AS host, list_filter(string_split({sql_route('url')}, '/'), lambda s: s <> '') AS parts FROM pages WHERE url IS NOT NULL),
+p AS (SELECT *, '/' || array_to_string(parts, '/') AS route, CASE WHEN len(parts) > 0 THEN '/' || array_to_string(parts[1:len(parts) - 1], '/') END AS parent FROM s)
+"""
+
+
+def crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with host, segments, route without a slash at its end, and the route above."""
+    pages = table(spark, sf_dir, "pages").filter("url is not null")
+    p = pages.select("page_id", "html", urls.host(F.col("url")).alias("host"), urls.segments(urls.route(F.col("url"))).alias("parts"))
+    route = F.concat(F.lit("/"), F.array_join("parts", "/"))
+    return p.withColumn("route", route).withColumn("parent", urls.parent_route(route))
+
+
+TAGS_SQL = f"""list_filter([CASE WHEN len(regexp_extract_all(html, '<img[\\s>]')) > 3 THEN 'media-rich' END, CASE WHEN {WORDS_SQL} > 500 THEN 'long-form' END], lambda t: t IS NOT NULL)"""
+
+
+@query(CRAWLED_SQL + f""", r AS (SELECT host, route, any_value(parent) AS parent, any_value(parts) AS parts, min(page_id) AS ord, arg_max({TAGS_SQL}, page_id) AS tags FROM p GROUP BY host, route),
+g AS (SELECT *, coalesce(parts[-1], 'home') AS slug, CASE WHEN route = '/' THEN 'homepage' ELSE 'unknown' END AS category FROM r),
+f AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(slug, '[-_/]'), lambda w: w <> '')) AS words FROM g),
+x AS (SELECT a.host, a.route, b.route AS related, b.ord, a.parent AS ap, b.parent AS bp, a.category AS ac, b.category AS bc, len(list_intersect(a.tags, b.tags)) AS shared, len(a.parts) AS depth,
+  len(list_filter(range(1, len(a.parts) + 1), lambda i: coalesce(a.parts[i] = b.parts[i], false))) AS places,
+  CASE WHEN a.slug = b.slug THEN 1.0::DOUBLE WHEN len(a.words) = 0 OR len(b.words) = 0 THEN 0.0::DOUBLE
+    ELSE len(list_intersect(a.words, b.words))::DOUBLE / greatest(len(a.words), len(b.words)) END AS alike FROM f a JOIN f b ON a.host = b.host AND a.route <> b.route),
+y AS (SELECT host, route, related, ord, CAST(CASE WHEN ap = bp THEN 40 ELSE 0 END + CASE WHEN bp = route THEN 30 ELSE 0 END + CASE WHEN ap = related THEN 25 ELSE 0 END
+  + CASE WHEN ac <> 'unknown' AND ac = bc THEN 20 ELSE 0 END + 10 * shared + CASE WHEN alike > 0.5 THEN floor(alike * 15 + 0.5) ELSE 0 END + CASE WHEN depth > 1 THEN 5 * places ELSE 0 END AS INTEGER) AS score FROM x)
+SELECT host, route, CAST(row_number() OVER (PARTITION BY host, route ORDER BY score DESC, ord) AS INTEGER) AS place, related, score
+FROM y WHERE score >= 15 QUALIFY row_number() OVER (PARTITION BY host, route ORDER BY score DESC, ord) <= 5""")
+def related_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best five related pages of every route of a host. The tables hold no stencil
+    types, so the categories and tags are those that follow without them."""
+    html = F.col("html")
+    media = F.when(F.regexp_count(html, F.lit(r"<img[\s>]")) > 3, "media-rich")
+    long = F.when(F.size(text.words(F.regexp_replace(html, "<[^>]+>", " "))) > 500, "long-form")
+    p = crawled(spark, sf_dir).withColumn("tags", F.array_compact(F.array(media, long)))
+    r = p.groupBy("host", "route").agg(F.any_value("parent").alias("parent"), F.any_value("parts").alias("parts"), F.min("page_id").alias("ord"), F.max_by("tags", "page_id").alias("tags"))
+    slug = urls.slug(F.col("route"))
+    words = F.array_distinct(F.filter(F.split(slug, "[-_/]"), lambda w: w != ""))
+    category = F.when(F.col("route") == "/", "homepage").otherwise("unknown")
+    return related.related(r.withColumn("slug", slug).withColumn("words", words).withColumn("category", category))
+
+
 @query("""
 WITH a(name, kind, required) AS (VALUES ('c_custkey', 'bigint', true), ('c_name', 'varchar', true), ('c_phone', 'varchar', true), ('c_acctbal', 'integer', false)),
 b(name, kind) AS (VALUES ('c_custkey', 'bigint'), ('c_name', 'varchar'), ('c_acctbal', 'double'), ('c_nationkey', 'integer'))
