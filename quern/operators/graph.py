@@ -23,17 +23,37 @@ def levels(edges: DataFrame, roots: DataFrame, max_depth: int = 5) -> DataFrame:
     return reached
 
 
-def ancestors(nodes: DataFrame, max_depth: int = 8) -> DataFrame:
-    """(node, trail): the chain of parents of every row of (node, parent), nearest first.
-    A chain that leads back to a node in it stops there."""
+#: Levels that are joined in one plan, before it is written and the next begin.
+ROUND = 4
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` written and read again; without a checkpoint folder it stays in the executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """(node, trail): the chain of parents of every row of (node, parent), nearest first and
+    up to the root. A chain that leads back to a node in it stops there."""
     parents = nodes.select(F.col("node").alias("_up"), F.col("parent").alias("_next"))
     walk = nodes.select("node", "parent", F.array().cast("array<string>").alias("trail"))
-    for _ in range(max_depth):
-        walk = walk.join(parents, F.col("parent") == F.col("_up"), "left").select(
-            "node",
-            F.when(~F.array_contains("trail", F.col("_up")) & (F.col("_up") != F.col("node")), F.col("_next")).alias("parent"),
-            F.when(F.col("_up").isNull() | F.array_contains("trail", F.col("_up")) | (F.col("_up") == F.col("node")), F.col("trail"))
-            .otherwise(F.concat("trail", F.array("_up")))
-            .alias("trail"),
-        )
-    return walk.select("node", "trail")
+    done = None
+    while True:
+        for _ in range(ROUND):
+            walk = _up(walk, parents)
+        walk = _cut(walk)
+        ended = walk.filter("parent is null").select("node", "trail")
+        done = ended if done is None else done.unionByName(ended)
+        walk = walk.filter("parent is not null")
+        if walk.isEmpty():
+            return done
+
+
+def _up(walk: DataFrame, parents: DataFrame) -> DataFrame:
+    return walk.join(parents, F.col("parent") == F.col("_up"), "left").select(
+        "node",
+        F.when(~F.array_contains("trail", F.col("_up")) & (F.col("_up") != F.col("node")), F.col("_next")).alias("parent"),
+        F.when(F.col("_up").isNull() | F.array_contains("trail", F.col("_up")) | (F.col("_up") == F.col("node")), F.col("trail"))
+        .otherwise(F.concat("trail", F.array("_up")))
+        .alias("trail"),
+    )
