@@ -211,6 +211,12 @@ def section_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("parent").agg(F.count(F.lit(1)).alias("children"))
 
 
+@query(NODES_SQL + "x AS (SELECT 1) SELECT parent, count(*) AS children FROM n WHERE parent <> host GROUP BY parent")
+def section_child_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many children each node below a root has."""
+    return site_nodes(spark, sf_dir).filter("parent != host").groupBy("parent").agg(F.count(F.lit(1)).alias("children"))
+
+
 CRAWLED_SQL = f"""
 WITH s AS (SELECT page_id, html, {sql_host('url')} AS host, list_filter(string_split({sql_route('url')}, '/'), lambda s: s <> '') AS parts FROM pages WHERE url IS NOT NULL),
 p AS (SELECT *, '/' || array_to_string(parts, '/') AS route, CASE WHEN len(parts) > 0 THEN '/' || array_to_string(parts[1:len(parts) - 1], '/') END AS parent FROM s)
@@ -225,6 +231,17 @@ def crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("route", route).withColumn("parent", urls.parent_route(route))
 
 
+@query(CRAWLED_SQL + """SELECT p.page_id, p.host || p.route AS page, 'broken_parent_ref' AS reason
+FROM p WHERE parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM p q WHERE q.host = p.host AND q.route = p.parent)""")
+def orphan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawled pages whose parent was not crawled. Parent and depth both follow from the
+    URL, so that a page below the root always names a parent one level above."""
+    p = crawled(spark, sf_dir).select("page_id", "host", "route", "parent")
+    held = p.select(F.col("host").alias("held_host"), F.col("route").alias("held")).distinct()
+    x = p.filter("parent is not null").join(held, (F.col("host") == F.col("held_host")) & (F.col("parent") == F.col("held")), "left")
+    return x.filter("held is null").select("page_id", F.concat("host", "route").alias("page"), F.lit("broken_parent_ref").alias("reason"))
+
+
 TAGS_SQL = f"""list_filter([CASE WHEN len(regexp_extract_all(html, '<img[\\s>]')) > 3 THEN 'media-rich' END, CASE WHEN {WORDS_SQL} > 500 THEN 'long-form' END], lambda t: t IS NOT NULL)"""
 
 
@@ -253,6 +270,37 @@ def related_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return related.related(r.withColumn("slug", slug).withColumn("words", words).withColumn("category", category))
 
 
+CATCH_ALL = r"/\[{1,2}\.{1,3}[A-Za-z0-9_]+\].*$"
+HREF = r'<a\s[^>]*href="([^"]*)"'
+
+
+@query(CRAWLED_SQL + f""", h AS (SELECT host, unnest(regexp_extract_all(html, '{HREF}', 1)) AS href FROM p),
+l AS (SELECT CASE WHEN href LIKE '/%' AND href NOT LIKE '//%' THEN host ELSE {sql_host('href')} END AS host,
+  list_filter(string_split(CASE WHEN href LIKE '/%' AND href NOT LIKE '//%' THEN regexp_extract(href, '^[^?#]*') ELSE {sql_route('href')} END, '/'), lambda s: s <> '') AS parts FROM h),
+t AS (SELECT DISTINCT host, '/' || array_to_string(parts, '/') AS route FROM l),
+r AS (SELECT DISTINCT host, route, parent FROM p), c AS (SELECT host, route, regexp_replace(route, '{CATCH_ALL}', '') AS prefix FROM r WHERE regexp_matches(route, '{CATCH_ALL}'))
+SELECT host, route FROM r WHERE route NOT IN ('/', '/index') AND NOT regexp_matches(route, '^/api(/|$)')
+  AND NOT EXISTS (SELECT 1 FROM t WHERE t.host = r.host AND t.route = r.route)
+  AND NOT EXISTS (SELECT 1 FROM r q WHERE q.host = r.host AND q.route = r.parent)
+  AND NOT EXISTS (SELECT 1 FROM r q WHERE q.host = r.host AND q.parent = r.route)
+  AND NOT EXISTS (SELECT 1 FROM c WHERE c.host = r.host AND starts_with(r.route, c.prefix) AND r.route <> c.prefix)""")
+def orphan_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes that no link leads to, without crawled parent or children and under no catch-all."""
+    p = crawled(spark, sf_dir)
+    href, own = F.col("href"), F.col("href").startswith("/") & ~F.col("href").startswith("//")
+    path = F.when(own, F.regexp_extract("href", "^[^?#]*", 0)).otherwise(urls.route(href))
+    links = p.select("host", F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("href"))
+    targets = links.select(F.when(own, F.col("host")).otherwise(urls.host(href)).alias("host"), F.concat(F.lit("/"), F.array_join(urls.segments(path), "/")).alias("route")).distinct()
+    r = p.select("host", "route", "parent").distinct()
+    parents = r.select("host", F.col("route").alias("parent"))
+    above = r.select("host", F.col("parent").alias("route")).filter("route is not null").distinct()
+    found = r.filter(~F.col("route").isin("/", "/index") & ~F.col("route").rlike("^/api(/|$)"))
+    found = found.join(targets, ["host", "route"], "left_anti").join(parents, ["host", "parent"], "left_anti").join(above, ["host", "route"], "left_anti")
+    c = r.filter(F.col("route").rlike(CATCH_ALL)).select(F.col("host").alias("c_host"), F.regexp_replace("route", CATCH_ALL, "").alias("prefix"))
+    covered = (F.col("host") == F.col("c_host")) & F.startswith("route", F.col("prefix")) & (F.col("route") != F.col("prefix"))
+    return found.join(c, covered, "left_anti").select("host", "route")
+
+
 @query("""
 WITH a(name, kind, required) AS (VALUES ('c_custkey', 'bigint', true), ('c_name', 'varchar', true), ('c_phone', 'varchar', true), ('c_acctbal', 'integer', false)),
 b(name, kind) AS (VALUES ('c_custkey', 'bigint'), ('c_name', 'varchar'), ('c_acctbal', 'double'), ('c_nationkey', 'integer'))

@@ -1,8 +1,31 @@
+from quern import catalog
 from quern.operators import graph
 
 
+def pages(spark, path, urls, html=""):
+    rows = [(i, u, html) for i, u in enumerate(urls)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    return str(path)
+
+
 def test_ancestors_of_a_chain_of_twelve(spark):
     chain = spark.createDataFrame([(f"n{i}", f"n{i - 1}") for i in range(1, 13)], "node string, parent string")
     got = {r.node: r.trail for r in graph.ancestors(chain).collect()}
     assert got == {f"n{i}": [f"n{j}" for j in range(i - 1, 0, -1)] for i in range(1, 13)}
     assert graph.ancestors(chain.limit(0)).collect() == []
+
+
+def test_sections_of_every_name_are_counted(spark, tmp_path):
+    at = pages(spark, tmp_path, ["http://a.com/de/1", "http://a.com/de/2", "http://a.com/es/x/y", "http://a.com/top"])
+    assert dict(catalog.QUERIES["section_child_counts"](spark, at).collect()) == {"a.com/de": 2, "a.com/es": 1, "a.com/es/x": 1}
+
+
+def test_orphans(spark, tmp_path):
+    at = pages(
+        spark, tmp_path,
+        ["http://a.com/", "http://a.com/en/", "http://a.com/en/1", "http://a.com/de/2", "http://a.com/fr/3/", "http://a.com/x/[...all]", "http://a.com/x/y/z", "http://b.com/en/1"],
+        '<a href="/fr/3?q=1">three</a>',
+    )
+    assert {r.page for r in catalog.QUERIES["orphan_pages"](spark, at).collect()} == {"a.com/de/2", "a.com/fr/3", "a.com/x/[...all]", "a.com/x/y/z", "b.com/en/1"}
+    got = {r.host + r.route for r in catalog.QUERIES["orphan_routes"](spark, at).collect()}
+    assert got == {"a.com/de/2", "b.com/en/1"}  # a catch-all covers itself too
