@@ -27,3 +27,10 @@ def test_a_word_keeps_two_words_of_context(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: (r.n_words, r.n_top) for r in QUERIES["op6_lm_trigram_scoring"](spark, str(tmp_path)).collect()}
     assert got == {1: (3, 1), 2: (3, 1), 3: (3, 0)}
+
+
+def test_pair_scores_equal_sql(spark, con):
+    got = sorted(tuple(r) for r in QUERIES["op6_lm_scoring"](spark, SF).select("doc_id", "n_words", "n_top", "log_micro").collect())
+    want = con.execute(f"SELECT doc_id, n_words, n_top, log_micro FROM ({ORACLE['op6_lm_scoring']}) ORDER BY ALL").fetchall()
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert all(abs(g[3] - w[3]) <= 1 + g[1] // 1000 for g, w in zip(got, want, strict=True))
