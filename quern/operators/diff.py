@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def last_by_key(df: DataFrame, key: str, order: Column) -> DataFrame:
     """The row of each key that comes last in ``order``; ties are for the caller to break."""
-    cols = [c for c in df.columns if c != key]
+    cols = [c for c in df.columns if c != key]  # all of them travel: select before what is needed
     return df.groupBy(key).agg(F.max_by(F.struct(*cols), order).alias("_r")).select(key, *(F.col(f"_r.{c}").alias(c) for c in cols))
 
 

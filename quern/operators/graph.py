@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.scratch import materialize
 
-def levels(edges: DataFrame, roots: DataFrame, max_depth: int = 5) -> DataFrame:
+
+def levels(edges: DataFrame, roots: DataFrame, max_depth: int | None = 5) -> DataFrame:
     """(node, depth): breadth first from ``roots`` (node) over ``edges`` (parent, child), every
-    node at the first depth it is reached. The plan has one join and one anti join a level."""
-    reached = roots.select("node").distinct().withColumn("depth", F.lit(0))
-    front = reached
-    for depth in range(1, max_depth + 1):
-        front = (
-            front.join(edges, F.col("node") == F.col("parent"))
-            .select(F.col("child").alias("node"))
-            .distinct()
-            .join(reached, "node", "left_anti")
-            .withColumn("depth", F.lit(depth))
-        )
+    node at the first depth it is reached; without ``max_depth`` until nothing new is reached.
+
+    Edges and the nodes of each level are written, so a level costs one join with the level
+    before and one anti join with what is reached, however many levels came before.
+    Null ends of edges are not followed; no roots give no rows.
+    """
+    edges = materialize(edges.select("parent", "child").filter("parent is not null and child is not null").distinct(), "edges")
+    front = materialize(roots.select("node").filter("node is not null").distinct().withColumn("depth", F.lit(0)), "level")
+    reached, depth = front, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        found = front.join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct()
+        front = materialize(found.join(reached, "node", "left_anti").withColumn("depth", F.lit(depth)), "level")
+        if front.isEmpty():
+            break
         reached = reached.unionByName(front)
     return reached
 
@@ -27,11 +33,6 @@ def levels(edges: DataFrame, roots: DataFrame, max_depth: int = 5) -> DataFrame:
 ROUND = 4
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` written and read again; without a checkpoint folder it stays in the executors."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def ancestors(nodes: DataFrame) -> DataFrame:
     """(node, trail): the chain of parents of every row of (node, parent), nearest first and
     up to the root. A chain that leads back to a node in it stops there."""
@@ -41,7 +42,7 @@ def ancestors(nodes: DataFrame) -> DataFrame:
     while True:
         for _ in range(ROUND):
             walk = _up(walk, parents)
-        walk = _cut(walk)
+        walk = materialize(walk, "walk")
         ended = walk.filter("parent is null").select("node", "trail")
         done = ended if done is None else done.unionByName(ended)
         walk = walk.filter("parent is not null")

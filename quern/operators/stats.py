@@ -1,29 +1,11 @@
-"""Statistics that differ in detail from Spark's own aggregates."""
+"""Statistics that differ in detail from Spark's own aggregates; ranks are over ``n``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def ranked(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Distinct values of each group with how many rows come before and the rows in all.
-
-    Equal values combine before the shuffle, so the window sees distinct values only.
-    """
-    from pyspark.sql import Window
-
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("k"))
-    w = Window.partitionBy(*group).orderBy(value)
-    before = F.coalesce(F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.withColumns({"before": before, "n": F.sum("k").over(Window.partitionBy(*group))})
-
-
-def at_rank(r: DataFrame, group: list[str], value: str, rank: Column, name: str) -> DataFrame:
-    """The value at 0-based ``rank``; no row of a group has it where the rank is out of range."""
-    return r.filter((rank >= F.col("before")) & (rank < F.col("before") + F.col("k"))).select(*group, F.col(value).alias(name))
-
-
 def nearest_rank(p: float) -> Column:
     """0-based: ceil(p n) - 1."""
     return F.greatest(F.ceil(F.col("n") * p) - 1, F.lit(0))
@@ -32,3 +14,11 @@ def nearest_rank(p: float) -> Column:
 def floor_index(p: float) -> Column:
     """0-based: floor(p n)."""
     return F.floor(F.col("n") * p)
+
+
+def middle_low() -> Column:
+    return F.floor((F.col("n") - 1) / 2)
+
+
+def middle_high() -> Column:
+    return F.floor(F.col("n") / 2)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import GRADES, letter_grade
-from quern.operators import stats
+from quern.operators import ordered, stats
 from quern.registry import query
 from quern.sources.tables import table
 
@@ -77,16 +77,19 @@ SELECT event_type, max(value) FILTER (WHERE i = greatest(ceil(n * 0.95::DOUBLE)
   max(value) FILTER (WHERE i = greatest(ceil(n * 0.5::DOUBLE) - 1, 0)) AS p50_nearest FROM o GROUP BY event_type
 """)
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r, g = stats.ranked(table(spark, sf_dir, "events"), ["event_type"], "value"), ["event_type"]
-    out = stats.at_rank(r, g, "value", stats.nearest_rank(0.95), "p95_nearest").join(stats.at_rank(r, g, "value", stats.nearest_rank(0.5), "p50_nearest"), g)
-    return out.join(stats.at_rank(r, g, "value", stats.floor_index(0.95), "p95_floor"), g, "left").na.fill(0.0, ["p95_floor"])
+    ranks = {"p95_nearest": stats.nearest_rank(0.95), "p50_nearest": stats.nearest_rank(0.5), "p95_floor": stats.floor_index(0.95)}
+    return ordered.at_ranks(table(spark, sf_dir, "events"), "event_type", "value", ranks).drop("n").na.fill(0.0, ["p95_floor"])
 
 
 @query("""
 SELECT event_type, median(value) AS median, stddev_pop(value) AS std_dev FROM events GROUP BY event_type
 """)
 def median_and_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.median("value").alias("median"), F.stddev_pop("value").alias("std_dev"))
+    e = table(spark, sf_dir, "events")
+    spread = e.groupBy("event_type").agg(F.stddev_pop("value").alias("std_dev"))
+    middle = ordered.at_ranks(e, "event_type", "value", {"lo": stats.middle_low(), "hi": stats.middle_high()})
+    middle = middle.select(F.col("event_type").alias("kind"), ((F.col("lo") + F.col("hi")) / 2).alias("median"))
+    return spread.join(middle, F.col("event_type").eqNullSafe(F.col("kind")), "left").select("event_type", "median", "std_dev")
 
 
 @query("""

@@ -49,7 +49,7 @@ def test_diff_of_empty_and_null(spark):
 
 def test_ranked_total_agrees_with_one_window(spark):
     df = spark.range(500).select(((F.col("id") * 7919) % 97).cast("double").alias("v"), "id")
-    got = [(r["rank"], r["id"], r["cumulative"]) for r in ordered.ranked_total(df, "v", [F.col("id")], F.col("id"), ranges=7).orderBy("rank").collect()]
+    got = [(r["rank"], r["id"], r["cumulative"]) for r in ordered.ranked_total(df, "v", [F.col("id")], F.col("id"), range_rows=70).orderBy("rank").collect()]
     total, want = 0, []
     for i, (_, k) in enumerate(sorted(((k * 7919) % 97, k) for k in range(500))):
         total += k
