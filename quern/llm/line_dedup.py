@@ -3,7 +3,8 @@
 Lines are exploded and reduced to 128-bit keys, the documents of a key are counted
 with map-side partial sums, and positions of frequent keys go back to their
 documents. Texts cross the network once, in the last join; keys and positions are
-all that the other exchanges carry.
+all that the other exchanges carry. A line that is in very many documents is looked up
+in a broadcast of bounded size, so no task gets all its positions.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import SPACE, ascii_lower, hash128
+from quern.llm.common import SPACE, ascii_lower, hash128, look_up, materialize
 
 
 def _lines(text: Column) -> Column:
@@ -38,8 +39,10 @@ def drop_common_lines(
 
     Null or empty text is one empty line and is kept. Each row counts as a document
     of its own, also where ids repeat or are null; equal rows get equal results. A
-    document that loses every line keeps ``''``. An empty table gives an empty table.
-    Columns of ``docs`` named like the three results are replaced.
+    document that loses every line keeps ``''``. A very long text takes time in proportion
+    to its lines, in one task. An empty table gives an empty table. Columns of ``docs``
+    named like the three results are replaced; other names may be any, but for those that
+    begin with ``_ld_``, ``_hot_``, ``_cold_`` or ``_to_``.
     """
     docs = docs.drop("kept_text", "n_lines", "n_dropped")
     k1, k2 = hash128(F.col(id_col), F.col(text_col))
@@ -56,26 +59,36 @@ def drop_common_lines(
         .groupBy("_ld_h1", "_ld_h2")
         .agg(F.count(F.lit(1)).alias("_ld_n"))
         .filter(F.col("_ld_n") >= min_docs)
-        .select("_ld_h1", "_ld_h2")
     )
-    dropped = (
+    frequent = materialize(frequent, "lines")
+    keys = (
         lines.select("_ld_k1", "_ld_k2", F.posexplode("_ld_lines").alias("_ld_pos", "_ld_line"))
         .select("_ld_k1", "_ld_k2", "_ld_pos", line_key(F.col("_ld_line")).alias("_ld_key"))
         .filter(F.length("_ld_key") >= min_chars)
         .select("_ld_k1", "_ld_k2", "_ld_pos", *keyed(F.col("_ld_key")))
-        .join(frequent, ["_ld_h1", "_ld_h2"], "left_semi")
+    )
+    dropped = (
+        look_up(keys, frequent, ["_ld_h1", "_ld_h2"], "_ld_n", F.col("_ld_k1") + F.col("_ld_pos"))
+        .filter("found")
         .groupBy("_ld_k1", "_ld_k2")
         .agg(F.collect_set("_ld_pos").alias("_ld_dropped"))
     )
     out = docs.withColumns({"_ld_k1": k1, "_ld_k2": k2}).join(dropped, ["_ld_k1", "_ld_k2"], "left")
-    split = _lines(F.col(text_col))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_ld_dropped"))
+    # Both arrays are bound once in a lambda; a mere expression would be evaluated per line.
+    bound = F.array(F.struct(_lines(F.col(text_col)).alias("lines"), F.sort_array(F.coalesce("_ld_dropped", F.array().cast("array<int>"))).alias("gone")))
+    kept = F.get(F.transform(bound, lambda b: F.array_join(_between(b["lines"], b["gone"]), "\n")), 0)
     return out.withColumns(
         {
-            "kept_text": F.when(F.col("_ld_dropped").isNull(), F.coalesce(text_col, F.lit(""))).otherwise(
-                F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n")
-            ),
-            "n_lines": F.size(split).cast("long"),
+            "kept_text": F.when(F.col("_ld_dropped").isNull(), F.coalesce(text_col, F.lit(""))).otherwise(kept),
+            "n_lines": F.size(_lines(F.col(text_col))).cast("long"),
             "n_dropped": F.coalesce(F.size("_ld_dropped"), F.lit(0)).cast("long"),
         }
     ).drop("_ld_k1", "_ld_k2", "_ld_dropped")
+
+
+def _between(lines: Column, gone: Column) -> Column:
+    """The lines without those at the sorted positions ``gone``: the runs between them, one
+    after another."""
+    starts = F.concat(F.array(F.lit(0)), F.transform(gone, lambda p: p + 1))
+    ends = F.concat(gone, F.array(F.size(lines)))
+    return F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 1, b - a)))
