@@ -15,29 +15,31 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import materialize
 
-#: Weights beyond this are clipped, so sums of up to 1,024 products fit into 64 bits.
-LIMIT = 1 << 26
+#: Sums that may reach this are accumulated in whole numbers of any length.
+LIMIT = (1 << 63) - 1
+#: Added to such a sum, so that its bytes sort as the number does; no sum of doubles is longer.
+_OFFSET = 1 << 2200
 
 
 def quantize(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) for every component, null where the vector or a component is null or
-    not finite."""
+    """floor(scale * x) for every component, as doubles, which hold it exactly for a power of
+    two; null where the vector or a component is null or not finite."""
     usable = vector.isNotNull() & ~F.exists(
-        vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf"))
-    )
-    return F.when(
-        usable,
-        F.transform(
-            vector,
-            lambda x: F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.floor(x.cast("double") * scale).cast("long"))),
-        ),
+        vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double") * scale) == float("inf"))
     )
+    # floor() would return a long; x minus what is left behind the point is the same and exact.
+    return F.when(usable, F.transform(vector, lambda x: _floor(x.cast("double") * scale)))
+
+
+def _floor(x: Column) -> Column:
+    left = x % 1.0
+    return x - left - F.when(left < 0, 1.0).otherwise(0.0)
 
 
 def _dense(rows: pd.Series) -> np.ndarray:
     """A row of weights for each vector; short vectors end in zeros."""
     lengths = np.fromiter((len(r) for r in rows), np.int64, len(rows))
-    out = np.zeros((len(rows), int(lengths.max(initial=0))), np.int64)
+    out = np.zeros((len(rows), int(lengths.max(initial=0))))
     for n in np.unique(lengths):
         if n:
             at = np.flatnonzero(lengths == n)
@@ -58,7 +60,7 @@ def _postings(weights: np.ndarray) -> list[tuple[np.ndarray | slice, np.ndarray]
 
 def accumulate(query: np.ndarray, postings: list, scores: np.ndarray) -> None:
     """Scores of one sparse query row against a block, term at a time, into ``scores``."""
-    scores[:] = 0
+    scores[:] = 0  # int64, or object: whole numbers of any length
     for d in np.flatnonzero(query[: len(postings)]):
         rows, weights = postings[d]
         scores[rows] += query[d] * weights
@@ -78,23 +80,32 @@ def select_top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))]
 
 
+def _exact(weights: np.ndarray) -> np.ndarray:
+    return np.array([[int(x) for x in row] for row in weights], object).reshape(weights.shape)
+
+
 def _block(k: int):
+    """The k best candidates of a block for each query. A score beyond 64 bits is cut to them,
+    and ``over`` keeps its true value in bytes that sort alike."""
+
     def run(_key: tuple, candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        ids = candidates["tk_id"].to_numpy()
-        postings = _postings(_dense(candidates["tk_w"]))
-        scores = np.zeros(len(ids), np.int64)
+        ids, rows = candidates["tk_id"].to_numpy(), candidates["tk_row"].to_numpy()
+        weights, asked = _dense(candidates["tk_w"]), _dense(queries["tk_w"])
+        largest = [float(np.abs(w).max(initial=0)) for w in (weights, asked)]
+        fits = largest[0] * largest[1] * max(1, min(weights.shape[1], asked.shape[1])) < LIMIT / 2 and max(largest) < LIMIT / 2
+        weights, asked = (w.astype(np.int64) if fits else _exact(w) for w in (weights, asked))
+        postings = _postings(weights)
+        scores = np.zeros(len(ids), np.int64 if fits else object)
         out = []
-        for query_id, row_id, query in zip(queries["tk_id"].to_numpy(), queries["tk_row"].to_numpy(), _dense(queries["tk_w"]), strict=True):
+        for query_id, row_id, query in zip(queries["tk_id"].to_numpy(), queries["tk_row"].to_numpy(), asked, strict=True):
             accumulate(query, postings, scores)
-            own = candidates["tk_row"].to_numpy() == row_id
-            if own.any():
-                others = np.flatnonzero(~own)
-                best = others[select_top(scores[others], ids[others], k)]
-            else:
-                best = select_top(scores, ids, k)
-            out.append((np.full(len(best), query_id), np.full(len(best), row_id), ids[best], scores[best]))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 4
-        return pd.DataFrame(dict(zip(("query_id", "query_row", "vec_id", "score"), columns, strict=True)))
+            others = np.flatnonzero(rows != row_id)
+            best = others[select_top(scores[others], ids[others], k)]
+            for i in best:
+                score = int(scores[i])
+                over = None if fits or abs(score) < LIMIT else (score + _OFFSET).to_bytes(280)
+                out.append((query_id, row_id, ids[i], max(-LIMIT, min(LIMIT, score)), over))
+        return pd.DataFrame(out, columns=["query_id", "query_row", "vec_id", "score", "over"])
 
     return run
 
@@ -119,7 +130,10 @@ def top_k(
     Vectors that are null or hold nulls, NaN or infinity, and rows with a null id, take no
     part. Vectors of different lengths meet on their common dimensions. Empty vectors
     score 0. Ties go to the smaller id, and rows with equal ids and scores each hold a rank.
-    Weights are clipped at 2^26. Queries without another row get no rows.
+    Weights are not clipped: blocks whose sums might pass 64 bits are added up in numbers of
+    any length and ranked by those; only the ``score`` they return is cut to 64 bits. Queries
+    without another row get no rows; an empty table gives an empty table. Other columns
+    are ignored.
     """
     rows = materialize(vectors.select(
         F.col(id_col).cast("long").alias("tk_id"), quantize(F.col(vector_col), scale).alias("tk_w"),
@@ -139,9 +153,9 @@ def top_k(
     partial = (
         candidates.groupBy("cb", "qb")
         .cogroup(queries.groupBy("cb", "qb"))
-        .applyInPandas(_block(k), "query_id long, query_row long, vec_id long, score long")
+        .applyInPandas(_block(k), "query_id long, query_row long, vec_id long, score long, over binary")
     )
-    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), F.desc_nulls_last("over"), "vec_id")
     return (
         partial.withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= k)
