@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import hash128, materialize
+from quern.llm.common import WORD, hash128, look_up, materialize, passing
 from quern.llm.graph import components
 from quern.llm.hashing import mix, shingles
 
@@ -182,23 +182,74 @@ def near_duplicates(
     Null, empty or blank texts have no shingles and are linked with nothing. Repeated ids
     are rows of their own that share component and ``kept``. A row with a null id gets
     the smallest id of its component, null if there is none, and is never ``kept``
-    unless it is alone. An empty table gives an empty table. Other columns are ignored.
+    unless it is alone. A very long text is one set of one task. An empty table gives an
+    empty table. Other columns are ignored.
     """
     spark = docs.sparkSession
+    with passing(spark) as kept:
+        signed, by_node = _labelled(docs, width, percent, rows, block, id_col, text_col)
+        kept += [signed, by_node]
+    id_type = signed.schema["nd_id"].dataType
+    found = look_up(signed, by_node, ["nd_s1", "nd_s2"], "copies", F.xxhash64("nd_id", "nd_t1"))
+    component = F.when(F.col("nd_n") > 0, F.col("component_id")).otherwise(F.col("nd_id")).cast(id_type)
+    return found.withColumn("component_id", component).select(
+        F.col("nd_id").alias(id_col),
+        F.col("nd_n").alias("n_shingles"),
+        "component_id",
+        F.col("nd_id").eqNullSafe(F.col("component_id")).alias("kept"),
+    )
+
+
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay when one row of each group of near copies
+    (as :func:`near_duplicates` links them) stays: the one with the smallest id, then the
+    smallest hash of its text.
+
+    Exactly one row of a group stays, also where ids repeat, with equal or other texts, or
+    are null (null comes last); of rows equal in id and text any one. Rows without words
+    are copies of nothing and all stay. An empty table gives an empty table.
+    """
+    spark = docs.sparkSession
+    with passing(spark) as kept:
+        every = {"width": 5, "percent": 75, "rows": 4, "block": 1 << 16} | options
+        signed, by_node = _labelled(docs, *every.values(), id_col, text_col)
+        found = look_up(signed.filter("nd_n > 0"), by_node, ["nd_s1", "nd_s2"], "copies", F.xxhash64("nd_id", "nd_t1"))
+        key = ["nd_id", "nd_t1", "nd_t2"]
+        counted = found.groupBy("root", *key).agg(F.count(F.lit(1)).alias("rows"))
+        first = counted.groupBy("root").agg(F.min(F.struct(F.isnull("nd_id").alias("last"), *key, "rows")).alias("r"))
+        k1, k2 = hash128(F.col("r.nd_id"), F.col("r.nd_t1"), F.col("r.nd_t2"))
+        chosen = materialize(first.select(k1.alias("nd_k1"), k2.alias("nd_k2"), F.col("r.rows").alias("rows"), F.col("r.rows").alias("copies")), "chosen")
+        kept.append(chosen)
+    t1, t2 = hash128(F.col(text_col))
+    k1, k2 = hash128(F.col(id_col), t1, t2)
+    keyed = docs.select(F.struct(*docs.columns).alias("rec"), k1.alias("nd_k1"), k2.alias("nd_k2"), F.coalesce(F.col(text_col).rlike(WORD), F.lit(False)).alias("words"))
+    looked = look_up(keyed, chosen, ["nd_k1", "nd_k2"], "rows", F.col("nd_k1") + F.monotonically_increasing_id())
+    alone = looked.filter("not words or copies = 1").select("rec.*")
+    again = keyed.join(chosen.filter("copies > 1"), ["nd_k1", "nd_k2"]).groupBy("nd_k1", "nd_k2").agg(F.first("rec").alias("rec")).select("rec.*")
+    return alone.unionByName(again)
+
+
+def _labelled(docs: DataFrame, width: int, percent: int, rows: int, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: signed (nd_id, nd_t1, nd_t2, nd_n, nd_s1, nd_s2, bands), a row for each
+    row of ``docs``; and by set (nd_s1, nd_s2, copies, root, component_id)."""
+    spark = docs.sparkSession
     named = docs.select(F.col(id_col).alias("nd_id"), F.col(text_col).alias("nd_text"))
-    id_type = named.schema["nd_id"].dataType
     t1, t2 = hash128(F.col("nd_text"))
     plain = named.select("nd_id", t1.alias("nd_t1"), t2.alias("nd_t2"), "nd_text")
     schema = T.StructType([*plain.schema.fields[:3], *T._parse_datatype_string(_SIGNED).fields])
     signed = materialize(plain.mapInArrow(_sign(width, rows, 3), schema), "signed")
 
-    # Nodes: distinct shingle sets, with one text each.
+    # Nodes: distinct shingle sets, by 128 bits, with one text each; numbers that are
+    # given once, as the table is written, name them from here on.
     nodes = (
         signed.filter("nd_n > 0")
         .groupBy("nd_s1", "nd_s2")
-        .agg(F.min(F.struct("nd_t1", "nd_t2", "nd_bands")).alias("r"), F.first("nd_n").alias("n"))
-        .select(F.col("nd_s1").alias("node"), "r.*", "n")
-    )
+        .agg(
+            F.min(F.struct("nd_t1", "nd_t2", "nd_bands")).alias("r"), F.first("nd_n").alias("n"),
+            F.count(F.lit(1)).alias("copies"), F.min("nd_id").alias("least"),
+        )
+        .select(F.monotonically_increasing_id().alias("node"), "nd_s1", "nd_s2", "r.*", "n", "copies", "least")
+    )
     nodes = materialize(nodes, "nodes")
     members = nodes.select("node", "n", F.explode("nd_bands").alias("b"))
     shared = members.groupBy("b").agg(F.min("node").alias("c"), F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -276,23 +327,7 @@ def near_duplicates(
         roots = roots.join(joined, "root", "left").select("node", F.coalesce("merged", "root").alias("root"))
         roots = materialize(roots, "roots")
 
-    least = (
-        signed.filter("nd_n > 0")
-        .select(F.col("nd_s1").alias("node"), "nd_id")
-        .groupBy("node")
-        .agg(F.min("nd_id").alias("nd_id"))
-        .join(roots, "node", "left")
-        .select("node", F.coalesce("root", "node").alias("root"), "nd_id")
-    )
-    smallest = least.groupBy("root").agg(F.min("nd_id").alias("component_id"))
-    by_node = least.join(smallest, "root").select(F.col("node").alias("nd_s1"), "component_id")
-    return (
-        signed.join(by_node, "nd_s1", "left")
-        .withColumn("component_id", F.when(F.col("nd_n") > 0, F.col("component_id")).otherwise(F.col("nd_id")).cast(id_type))
-        .select(
-            F.col("nd_id").alias(id_col),
-            F.col("nd_n").alias("n_shingles"),
-            "component_id",
-            F.col("nd_id").eqNullSafe(F.col("component_id")).alias("kept"),
-        )
-    )
+    rooted = nodes.select("node", "nd_s1", "nd_s2", "copies", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size")), "smallest")
+    by_node = look_up(rooted, smallest, ["root"], "size", F.col("node")).select("nd_s1", "nd_s2", "copies", "root", "component_id")
+    return signed, materialize(by_node, "by_node")

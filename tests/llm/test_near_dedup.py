@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import types as T
 
-from quern.llm.near_dedup import near_duplicates
+from quern.llm import common
+from quern.llm.near_dedup import deduplicated, near_duplicates
 
 SCHEMA = "doc_id long, text string"
 
@@ -27,10 +28,14 @@ def brute(rows, percent=75):
             x = root[x]
         return x
 
+    holders = {}
+    for i, held in enumerate(sets):
+        for x in held:
+            holders.setdefault(x, []).append(i)
     for i in range(len(rows)):
-        for j in range(i):
+        for j in {j for x in sets[i] for j in holders[x] if j < i}:  # all pairs that share a shingle
             same = len(sets[i] & sets[j])
-            if same and 100 * same >= percent * (len(sets[i]) + len(sets[j]) - same):
+            if 100 * same >= percent * (len(sets[i]) + len(sets[j]) - same):
                 root[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -75,3 +80,38 @@ def test_null_and_repeated_ids_and_an_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
     extra = T._parse_datatype_string("doc_id long, text string, node long, nd_n long, root string")
     assert near_duplicates(spark.createDataFrame([(1, "q", 2, 3, "r")], extra)).count() == 1
+
+
+def test_one_row_of_a_group_stays_whatever_its_id(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [
+        (3, near, "a"), (3, near, "b"), (2, near + " x", "c"), (2, "another text with the same id as a copy", "d"), (None, near, "e"), (None, "a lonely text without id", "f"),
+        (7, None, "g"), (7, "", "h"), (8, " \n", "i"), (9, "same words in each of two rows", "j"), (9, "same words in each of two rows", "k"),
+    ]
+    docs = spark.createDataFrame(rows, SCHEMA + ", found string")
+    out = sorted((str(r.doc_id), r.text or "", r.found) for r in deduplicated(docs).collect())
+    assert {o[2] for o in out if o[2] not in "jk"} == set("cdfghi")
+    assert sum(o[2] in "jk" for o in out) == 1 and len(out) == 7
+    assert deduplicated(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("keys", [1, 10**9])
+def test_hot_groups_do_not_change_results(spark, monkeypatch, keys):
+    monkeypatch.setattr(common, "HOT_KEYS", keys)
+    rows = [(1000 + i, "the same text in each of these rows") for i in range(50)] + [(i, f"text number {i} of many") for i in range(20)]
+    assert got(spark, rows) == brute(rows)
+
+
+def test_a_very_long_text(spark):
+    words = [f"v{i}" for i in range(120_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:100_000])), (3, " ".join(words[60_000:]))]
+    assert got(spark, rows) == {1: (119_996, 1, True), 2: (99_996, 1, False), 3: (59_996, 3, True)}
+
+
+def test_all_documents_of_a_table_against_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    want = brute(rows)
+    out = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs).collect()}
+    assert out == want  # recall 1.0: no link is lost
+    assert sum(not w[2] for w in want.values()) > 20
