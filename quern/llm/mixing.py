@@ -17,8 +17,8 @@ from quern.llm.common import WORD, hash128, materialize
 WEIGHTS = (5, 2, 1)
 #: Slots of a stretch of the schedule, in which slots of a source are ranked together.
 STRETCH = 4_096
-#: Documents of one source that are put in order together.
-BUCKET_DOCS = 4_096
+#: Documents that are put in order together.
+BUCKET_DOCS = 16_384
 
 
 def word_count(text: Column) -> Column:
@@ -108,7 +108,9 @@ def mix_plan(
     which words of the row a slot takes. Words of a source's pieces add up to its quota.
 
     Null texts have no words; null is a source of its own, last. Rows without words are
-    placed and never taken. Repeated rows are rows of their own. Reruns agree.
+    placed and never taken. Repeated rows are rows of their own; documents with one id are
+    in order of their hashes. Reruns agree. An empty table gives empty tables. Columns of
+    ``docs`` but the three named ones are ignored.
     """
     spark = docs.sparkSession
     k1, k2 = hash128(F.col(id_col), F.col(source_col), F.col(text_col))
@@ -116,27 +118,28 @@ def mix_plan(
     sized = materialize(
         docs.select(
             F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-            order.alias("mx_order"), k1.alias("mx_k1"), k2.alias("mx_k2"),
+            order.alias("mx_order"), k1.alias("mx_k1"), k2.alias("mx_k2"), F.monotonically_increasing_id().alias("mx_row"),
         ),
         "sized",
     )
     rows = sized.count()
-    bits = max(0, (rows // BUCKET_DOCS).bit_length())
-    leading = F.conv(F.substring("mx_order", 1, 12), 16, 10).cast("long")
-    sized = sized.withColumn("mx_bucket", F.shiftright(leading, 48 - bits))
     targets = materialize(source_targets(sized, share=share, epochs=epochs, weights=weights), "targets")
+    # Ranges of the whole order of a source: no id, source or repeated row makes one larger.
+    inside_order = ["mx_order", "id", "size", "mx_k1", "mx_k2", "mx_row"]
     tied = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    tied = tied.repartitionByRange(max(2, -(-rows // BUCKET_DOCS)), "mx_at", *inside_order).withColumn("mx_bucket", F.spark_partition_id())
+    tied = materialize(tied, "ranges")
     earlier = Window.partitionBy("mx_at").orderBy("mx_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = tied.groupBy("mx_at", "mx_bucket").agg(F.sum("size").alias("n"))
     sums = sums.select("mx_at", "mx_bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("mx_before"))
-    inside = Window.partitionBy("mx_at", "mx_bucket").orderBy("mx_order", "id", "size", "mx_k1")
+    inside = Window.partitionBy("mx_at", "mx_bucket").orderBy(*inside_order)
     placed = (
         tied.withColumns(
             {"mx_ord": F.row_number().over(inside), "mx_run": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))}
         )
         .join(sums, ["mx_at", "mx_bucket"])
         .withColumn("mx_start", (F.col("mx_before") + F.col("mx_run") - F.col("size")).cast("long"))
-        .drop("mx_before", "mx_run", "mx_order")
+        .drop("mx_before", "mx_run", "mx_order", "mx_row")
     )
     placed = materialize(placed, "placed")
     b = block_words
@@ -159,7 +162,9 @@ def mix_plan(
 
 
 def taken_words(placed: DataFrame, pieces: DataFrame) -> DataFrame:
-    """placed plus ``taken``: the words that the mix takes of a row, repeats counted."""
+    """placed plus ``taken``: the words that the mix takes of a row, repeats counted.
+    Spark broadcasts the sums only while they are below its own bound
+    (spark.sql.autoBroadcastJoinThreshold)."""
     key = ["mx_at", "mx_bucket", "mx_ord"]
     sums = pieces.groupBy(*key).agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
     return placed.join(sums, key, "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
@@ -168,7 +173,13 @@ def taken_words(placed: DataFrame, pieces: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of the mix, with the columns of ``docs`` plus ``mix_slot``: each row once for
     each epoch that takes words of it. A row at the end of its source's quota is cut to the
-    words taken; all others keep their text. Rows that are not taken are left out."""
+    words taken; all others keep their text. Rows that are not taken are left out.
+
+    Nulls, ties and repeats: as :func:`mix_plan`. Rows that repeat entirely are told apart
+    by a window over their hash, which spills but is one task's. An empty table gives an
+    empty table. A column of ``docs`` named ``mix_slot`` is replaced; others may have any
+    name, but for those that begin with ``mx_``.
+    """
     _, pieces = mix_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     takes = (
         pieces.groupBy("mx_at", "mx_bucket", "mx_ord", "epoch", "mx_k1", "mx_k2", "size")

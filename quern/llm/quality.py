@@ -8,13 +8,14 @@ compile into one Spark column expression. Scoring is a scan with built-in functi
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import WORD, materialize
+from quern.llm.common import materialize
 
 #: Rows that the fit takes at most, those with the smallest hashes.
 SAMPLE_ROWS = 12_000
@@ -22,29 +23,73 @@ SAMPLE_ROWS = 12_000
 Rule = tuple[tuple[str, str, float], ...]
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Name -> statistic of a whole text; null counts as empty, ratios over nothing are 0."""
-    text = F.coalesce(text, F.lit(""))
-    chars = F.length(text)
-    words = F.regexp_count(text, F.lit(WORD))
-    lines = F.split(text, "\n", -1)
-    spaces = F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))
+def bound(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """``body`` of a struct of ``values``, each evaluated once, however often body uses it and
+    whatever projections and filters an optimiser merges."""
+    return F.get(F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), body), 0)
+
+
+NAMES = ("log_words", "word_length", "symbols", "upper", "digits", "stops", "distinct_words", "distinct_lines", "words_per_line")
+
+
+def statistics(text: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a struct of the statistics NAMES of a whole text; null counts as empty,
+    ratios over nothing are 0.
+
+    A text is split into words once and into lines once; symbols, capitals, digits and stops
+    are counted in what is left of it without small Latin letters and spaces.
+    """
 
     def per(n: Column, of: Column) -> Column:
         return F.when(of > 0, n / of).otherwise(0.0)
 
-    distinct = F.size(F.array_distinct(F.split(F.lower(text), r"[\x20\x09-\x0D]+")))
-    return {
-        "log_words": F.log1p(words.cast("double")),
-        "word_length": per(chars - spaces, words),
-        "symbols": per(F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s.,;:'\"()-]")), chars),
-        "upper": per(F.regexp_count(text, F.lit(r"\p{Lu}")), chars),
-        "digits": per(F.regexp_count(text, F.lit("[0-9]")), chars),
-        "stops": per(F.regexp_count(text, F.lit(r"[.,;:]")), words),
-        "distinct_words": per(distinct, words),
-        "distinct_lines": per(F.size(F.array_distinct(lines)), F.size(lines)),
-        "words_per_line": per(words, F.size(lines)),
-    }
+    def counts(t: Column) -> Column:
+        ends = t["tokens"][0] == ""
+        last = F.element_at(t["tokens"], -1) == ""
+        return bound(
+            {
+                "chars": F.length(t["text"]),
+                # A blank at either end gives an empty token there; a blank text, one or two.
+                "words": F.greatest(F.size(t["tokens"]) - ends.cast("int") - last.cast("int"), F.lit(0)),
+                "solid": F.length(F.array_join(t["tokens"], "")),
+                "distinct": F.size(F.array_distinct(t["tokens"])),
+                "lines": F.size(t["lines"]),
+                "distinct_lines": F.size(F.array_distinct(t["lines"])),
+                "symbols": F.regexp_count(t["rest"], F.lit(r"[^\p{L}\p{N}\s.,;:'\"()-]")),
+                "upper": F.regexp_count(t["rest"], F.lit(r"\p{Lu}")),
+                "digits": F.regexp_count(t["rest"], F.lit("[0-9]")),
+                "stops": F.regexp_count(t["rest"], F.lit("[.,;:]")),
+            },
+            ratios,
+        )
+
+    def ratios(n: Column) -> Column:
+        found = {
+            "log_words": F.log1p(n["words"].cast("double")),
+            "word_length": per(n["solid"], n["words"]),
+            "symbols": per(n["symbols"], n["chars"]),
+            "upper": per(n["upper"], n["chars"]),
+            "digits": per(n["digits"], n["chars"]),
+            "stops": per(n["stops"], n["words"]),
+            "distinct_words": per(n["distinct"], n["words"]),
+            "distinct_lines": per(n["distinct_lines"], n["lines"]),
+            "words_per_line": per(n["words"], n["lines"]),
+        }
+        return bound({k: c.cast("double") for k, c in found.items()}, body)
+
+    def parts(t: Column) -> Column:
+        whole = t["text"]
+        return bound(
+            {
+                "text": whole,
+                "tokens": F.split(F.lower(whole), r"[\x20\x09-\x0D]+"),
+                "lines": F.split(whole, "\n", -1),
+                "rest": F.regexp_replace(whole, r"[a-z\x20]+", ""),
+            },
+            counts,
+        )
+
+    return bound({"text": F.coalesce(text, F.lit(""))}, parts)
 
 
 def tree_rules(debug: str, names: list[str]) -> list[Rule]:
@@ -63,7 +108,7 @@ def tree_rules(debug: str, names: list[str]) -> list[Rule]:
 
 
 def rule_column(rule: Rule, of: Column | None = None) -> Column:
-    """1.0 where all conditions hold, on columns or on the fields of a struct."""
+    """1.0 where all conditions of a rule hold, on columns or on the fields of a struct."""
     held = F.lit(True)
     for name, op, value in rule:
         stat = F.col(name) if of is None else of[name]
@@ -101,9 +146,8 @@ def _log_odds(ones: int, n: int) -> float:
     return log((ones + 1) / (n - ones + 1))
 
 
-def score_column(intercept: float, rules: list[tuple[float, Rule]], stats: dict[str, Column]) -> Column:
-    """The score from statistics by name. They are bound once, in a lambda: else an optimiser
-    that merges projections and filters would compute them again for every rule."""
+def score_column(intercept: float, rules: list[tuple[float, Rule]], text: Column) -> Column:
+    """The score of a text."""
 
     def score(s: Column) -> Column:
         total = F.lit(intercept)
@@ -111,7 +155,7 @@ def score_column(intercept: float, rules: list[tuple[float, Rule]], stats: dict[
             total = total + rule_column(rule, s) * weight
         return 1 / (1 + F.exp(-total))
 
-    return F.get(F.transform(F.array(F.struct(*(c.cast("double").alias(n) for n, c in stats.items()))), score), 0)
+    return statistics(text, score)
 
 
 def held_out(id_: Column) -> Column:
@@ -132,25 +176,29 @@ def score_quality(
     """All columns of ``docs`` plus ``held_out``, ``score`` (0 to 1) and ``predicted`` (0 or 1).
 
     The fit sees at most ``sample_rows`` labelled rows that are not held out, those whose
-    ids have the smallest hashes; everything else covers all rows. Null labels are not
-    used, an id with several labels counts with the smallest. Null and empty texts get a
-    score too; null ids are scored and not held out. No labels, or one kind only: the same
-    score for all. Columns of ``docs`` with a name of a result are replaced.
+    ids and texts have the smallest hashes; everything else covers all rows. Null labels are
+    not used, an id with several labels counts with the smallest. Null and empty texts get a
+    score too; null ids are scored and not held out; repeated rows get equal scores. No
+    labels, or one kind only: the same score for all. A very long text is one row of one
+    task. An empty table gives an empty table. Columns of ``docs`` with a name of a result
+    are replaced; others may have any name.
     """
-    stats = statistics(F.col(text_col))
-    names = [f"qs_{k}" for k in stats]
     known = (
         labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-        .groupBy(F.col(id_col).alias("qs_id"))
+        .groupBy(F.col(id_col).alias("id"))
         .agg(F.min(label_col).alias("label"))
-        .orderBy(F.xxhash64("qs_id"), "qs_id")
+        .orderBy(F.xxhash64("id"), "id")
         .limit(sample_rows)
     )
     sample = (
-        docs.join(F.broadcast(known), F.col(id_col) == F.col("qs_id"))
-        .select(F.col("label").cast("double").alias("label"), *(c.alias(n) for n, c in zip(names, stats.values(), strict=True)))
+        docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+        .join(F.broadcast(known), "id")  # sample_rows at most
+        .orderBy(F.xxhash64("id", "text"), "id", "text")
+        .limit(sample_rows)  # repeated ids count as rows
+        .select(F.col("label").cast("double").alias("label"), statistics(F.col("text"), lambda s: s).alias("s"))
+        .select("label", "s.*")
     )
-    intercept, rules = fit_rules(materialize(sample, "sample").coalesce(4), names, **options)
+    intercept, rules = fit_rules(materialize(sample, "sample").coalesce(4), list(NAMES), **options)
     plain = docs.drop("held_out", "score", "predicted")
-    score = score_column(intercept, rules, dict(zip(names, stats.values(), strict=True)))
+    score = score_column(intercept, rules, F.col(text_col).cast("string"))
     return plain.withColumns({"held_out": held_out(F.col(id_col)), "score": score}).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
