@@ -59,5 +59,3 @@ def look_up(rows: DataFrame, known: DataFrame, keys: list[str], count: str, spre
     return joined.select(*rows.columns, value["found"].alias("found"), *(value[c].alias(c) for c in told))
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

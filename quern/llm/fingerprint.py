@@ -4,24 +4,31 @@ A text's paragraphs (lines, long ones cut after words whose hash divides by eigh
 that cuts follow the content) become digests, and each digest goes into one cell of each
 third of a table: a count, a sum of digests and a sum of check values. The tables of two
 versions subtract cell by cell; peeling cells that hold a single digest recovers which
-paragraphs differ. Where peeling gets stuck, both tables are made twice as large.
+paragraphs differ.
+
+A fingerprint is the smallest table, of 8 cells a third or twice as many again and again,
+that gives back all of its own digests. Folding its halves onto each other gives the
+smaller ones. Two fingerprints are compared at the smallest size that can hold their
+difference, twice as large where peeling gets stuck, up to the smaller one's size; beyond
+it each gives back its own digests. So likeness follows from two fingerprints alone.
 """
 
 from __future__ import annotations
 
 import base64
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import partitions
 from quern.llm.hashing import CHUNK_BYTES, mix, word_hashes
 
-#: Cells of a third of the table that is kept as the fingerprint.
+#: Cells of a third of the smallest table.
 THIRD = 8
 #: A paragraph is cut after a word whose hash divides by this.
 CUT = 8
@@ -96,7 +103,7 @@ def peel(count: np.ndarray, total: np.ndarray, check: np.ndarray) -> tuple[np.nd
     while len(at):
         sign = count[at]
         digest = np.where(sign > 0, total[at], np.uint64(0) - total[at])
-        pure = (np.abs(sign) == 1) & (np.where(sign > 0, check[at], np.uint64(0) - check[at]) == _check(digest))
+        pure = (np.abs(sign) == 1) & (np.where(sign > 0, check[at], np.uint64(0) - check[at]) & _CHECK_BITS == _check(digest))
         row, digest, sign = at[pure] // width, digest[pure], sign[pure]
         order = np.lexsort((digest, row))
         row, digest, sign = row[order], digest[order], sign[order]
@@ -113,54 +120,107 @@ def peel(count: np.ndarray, total: np.ndarray, check: np.ndarray) -> tuple[np.nd
             np.subtract.at(total, cell, np.where(sign > 0, digest, np.uint64(0) - digest))
             np.subtract.at(check, cell, np.where(sign > 0, own, np.uint64(0) - own))
         at = np.unique(np.concatenate(touched))
-    left = (count.reshape(n, width) != 0).any(1) | (total.reshape(n, width) != 0).any(1) | (check.reshape(n, width) != 0).any(1)
+    left = (count.reshape(n, width) != 0).any(1) | (total.reshape(n, width) != 0).any(1) | (check.reshape(n, width) & _CHECK_BITS != 0).any(1)
     none = np.empty(0, np.int64)
     return ~left, np.concatenate(rows or [none]), np.concatenate(digests or [none.astype(np.uint64)]), np.concatenate(signs or [none])
 
 
-def differences(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each pair of sets how many digests only the first or only the second has, by
-    peeling; and how often its tables were made larger."""
-    only_a, only_b, retries = (np.zeros(len(a), np.int64) for _ in range(3))
-    # A difference of sizes is a known part of the difference: no table smaller than that can be peeled.
-    least = np.array([abs(len(x) - len(y)) for x, y in zip(a, b, strict=True)], np.int64)
+Table = tuple[np.ndarray, np.ndarray, np.ndarray]
+_CELL = np.dtype([("n", "<i4"), ("s", "<u8"), ("c", "<u4")])
+_CHECK_BITS = np.uint64(0xFFFFFFFF)
+
+
+def own_tables(sets: list[np.ndarray]) -> list[Table]:
+    """For each set the smallest table that gives all of it back; found by trying, twice as
+    large after each failure."""
+    third = np.full(len(sets), THIRD)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    while (small := 3 * third < sizes).any():
+        third[small] *= 2
+    out: list[Table] = [None] * len(sets)  # type: ignore[list-item]
+    open_ = np.arange(len(sets))
+    while len(open_):
+        left = []
+        for size in np.unique(third[open_]):
+            now = open_[third[open_] == size]
+            made = tables([sets[i] for i in now], size)
+            solved, *_ = peel(*made)
+            for k, i in enumerate(now):
+                out[i] = (made[0][k], made[1][k], made[2][k])
+            stuck = now[~solved]
+            third[stuck] *= 2
+            left.append(stuck)
+        open_ = np.concatenate(left)
+    return out
+
+
+def fold(table: Table, third: int) -> Table:
+    """The table that the same digests make with fewer cells a third."""
+    return tuple(x.reshape(3, -1, third).sum(axis=1, dtype=x.dtype).ravel() for x in table)  # type: ignore[return-value]
+
+
+def differing(a: list[Table], b: list[Table]) -> np.ndarray:
+    """For each pair of tables how many digests only one of the two has."""
+    out = np.zeros(len(a), np.int64)
+    own = np.array([[len(x[0]) // 3, len(y[0]) // 3] for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2).min(axis=1)
+    # A difference of counts is a known part of the difference: no smaller table can be peeled.
+    held = [[int(t[0].sum()) // 3 for t in side] for side in (a, b)]
+    least = np.abs(np.array(held[0], np.int64) - np.array(held[1], np.int64))
     third = np.full(len(a), THIRD)
-    while (small := 3 * third < least).any():
+    while (small := (3 * third < least) & (third < own)).any():
         third[small] *= 2
     open_ = np.arange(len(a))
     while len(open_):
+        left = []
         for size in np.unique(third[open_]):
             now = open_[third[open_] == size]
-            x = tables([a[i] for i in now], size)
-            y = tables([b[i] for i in now], size)
-            solved, row, _, sign = peel(*(p - q for p, q in zip(x, y, strict=True)))
-            plus, minus = np.bincount(row[sign > 0], minlength=len(now)), np.bincount(row[sign < 0], minlength=len(now))
-            only_a[now[solved]], only_b[now[solved]] = plus[solved], minus[solved]
+            x, y = ([np.stack(c) for c in zip(*(fold(side[i], size) for i in now), strict=True)] for side in (a, b))
+            solved, row, *_ = peel(*(p - q for p, q in zip(x, y, strict=True)))
+            count = np.bincount(row, minlength=len(now))
+            out[now[solved]] = count[solved]
             stuck = now[~solved]
+            for i in stuck[third[stuck] >= own[stuck]]:  # both give back all they hold
+                p, q = (np.unique(peel(*(c[None] for c in side[i]))[2]) for side in (a, b))
+                out[i] = len(np.setxor1d(p, q, assume_unique=True))
+            stuck = stuck[third[stuck] < own[stuck]]
             third[stuck] *= 2
-            retries[stuck] += 1
-            open_ = np.concatenate([open_[~np.isin(open_, now)], stuck])
-    return only_a, only_b, retries
+            left.append(stuck)
+        open_ = np.concatenate(left)
+    return out
 
 
-def fingerprints(sets: list[np.ndarray]) -> list[str]:
-    """The smallest table of each set as base64: its count of digests, then each cell."""
-    count, total, check = tables(sets, THIRD)
-    cells = np.zeros(count.shape, np.dtype([("n", "<i4"), ("s", "<u8"), ("c", "<u4")]))
-    cells["n"], cells["s"], cells["c"] = count, total, check & np.uint64(0xFFFFFFFF)
-    return [
-        base64.b64encode(len(s).to_bytes(4, "little") + row.tobytes()).decode() for s, row in zip(sets, cells, strict=True)
-    ]
+def to_text(table: Table) -> str:
+    cells = np.zeros(len(table[0]), _CELL)
+    cells["n"], cells["s"], cells["c"] = table[0], table[1], table[2] & _CHECK_BITS
+    return base64.b64encode(cells.tobytes()).decode()
+
+
+def from_text(fingerprint: str) -> Table:
+    cells = np.frombuffer(base64.b64decode(fingerprint), _CELL)
+    return cells["n"].astype(np.int64), cells["s"].astype(np.uint64), cells["c"].astype(np.uint64)
+
+
+def likenesses(a: list[Table], b: list[Table]) -> np.ndarray:
+    """1 - differing / all digests of both, so 0 to 1; two tables without a digest are alike."""
+    total = np.array([(int(x[0].sum()) + int(y[0].sum())) // 3 for x, y in zip(a, b, strict=True)], np.int64)
+    return np.where(total == 0, 1.0, 1 - differing(a, b) / np.maximum(total, 1))
+
+
+def likeness(a: str, b: str) -> float:
+    """How alike two fingerprints are."""
+    return float(likenesses([from_text(a)], [from_text(b)])[0])
 
 
 def fingerprint_versions(df: DataFrame, versions: dict[str, str], likeness: dict[str, tuple[str, str]]) -> DataFrame:
     """Columns of ``df`` without the texts named in ``versions``, plus fingerprints and likenesses.
 
     versions: text column -> name of its fingerprint column ("" for none). likeness: new
-    column -> two text columns; 1 - differing / all digests (both sets, so 0 to 1), where
-    two texts without a paragraph are alike (1.0). Null texts count as empty. Equal texts
-    have equal fingerprints. Rows are independent; an empty table gives an empty table.
-    Columns of ``df`` with a name of a result are replaced.
+    column -> two text columns, whose fingerprints give 1 - differing / all digests (of both,
+    so 0 to 1); two texts without a paragraph are alike (1.0). Null texts count as empty.
+    Equal texts have equal fingerprints. Rows are independent, repeated ones too. A very
+    long text is one table of one task; a fingerprint gives back every digest of its text,
+    so it grows with the text. An empty table gives an empty table. Columns of ``df`` with a
+    name of a result are replaced.
     """
     made = [*filter(None, versions.values()), *likeness]
     df = df.drop(*(c for c in made if c not in versions))
@@ -178,49 +238,70 @@ def fingerprint_versions(df: DataFrame, versions: dict[str, str], likeness: dict
                     c: [index.setdefault(t or "", len(index)) for t in batch.column(c).to_pylist()] for c in versions
                 }
                 sets = paragraph_digests(list(index))
-                prints = fingerprints(sets)
+                tables_ = own_tables(sets)
+                prints = [to_text(t) for t in tables_]
                 out = [batch.column(c) for c in plain]
                 out += [pa.array([prints[i] for i in where[c]], pa.string()) for c in versions if versions[c]]
                 for a, b in likeness.values():
-                    x, y = [sets[i] for i in where[a]], [sets[i] for i in where[b]]
-                    only_a, only_b, _ = differences(x, y)
-                    total = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)], np.int64)
-                    out.append(pa.array(np.where(total == 0, 1.0, 1 - (only_a + only_b) / np.maximum(total, 1))))
+                    out.append(pa.array(likenesses([tables_[i] for i in where[a]], [tables_[i] for i in where[b]])))
                 yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
 
     return df.mapInArrow(run, T.StructType(fields))
 
 
+#: Rows of a range of ids, ranges at most, and rows a range that the cuts are drawn from:
+#: the driver and each task hold RANGES cuts and the driver draws RANGES * DRAWN ids, however
+#: many rows there are.
+RANGE_ROWS, RANGES, DRAWN = 50_000, 20_000, 20
+
+
+def _sortable(ids: Column, id_type: T.DataType) -> Column:
+    """Ids as bytes that sort as the ids do."""
+    if isinstance(id_type, T.StringType):
+        return F.encode(ids, "utf-8")
+    return F.to_binary(F.lpad(F.hex(ids.cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"), F.lit("hex"))
+
+
 def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", into: str = "next_text") -> DataFrame:
     """``docs`` plus the text of the next row in ascending order of (id, text); the last row's
-    next is the first. Null ids come last.
+    next is the first. Ids are whole numbers or strings (by code point).
 
-    Rows go to id ranges, one exchange of the texts; the first row of each range is also
-    sent to the range before it. The driver sees one id a range.
+    Rows go to ranges of ids, one exchange of the texts; the first row of each range also
+    goes to the range before it. Cuts between ranges come from a sample of ids, which moves
+    no result. Null ids come last. Rows of one id, and of none, share a range. One row is
+    its own next. A null text is a null next. An empty table gives an empty table. A column
+    of ``docs`` named ``into`` is replaced; others may have any name, but for those that
+    begin with ``_nx``.
     """
-    spark = docs.sparkSession
-    n = partitions(spark)
     docs = docs.drop(into)
-    cuts = docs.select(F.percentile_approx(id_col, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    edges = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<long>")
-    last = len(set(cuts))
-    bucket = F.when(F.col(id_col).isNull(), last).otherwise(F.size(F.filter(edges, lambda e: e <= F.col(id_col))))
-    firsts = dict(docs.select(bucket.alias("b"), F.col(id_col).alias("id")).groupBy("b").agg(F.min("id")).collect())
-    held = sorted(firsts)
-    before = {b: held[i - 1] for i, b in enumerate(held)}
-    id_type = docs.schema[id_col].dataType
-    start = F.array(*(F.lit(firsts.get(b)).cast(id_type) for b in range(last + 1)))
-    target = F.array(*(F.lit(before.get(b)).cast("int") for b in range(last + 1)))
-    is_first = F.col(id_col).eqNullSafe(F.get(start, F.col("_nx_b")))
-    own = F.struct(F.col("_nx_b").alias("to"), F.lit(0).alias("guest"))
-    guest = F.when(is_first, F.struct(F.get(target, F.col("_nx_b")).alias("to"), F.lit(1).alias("guest")))
+    key = _sortable(F.col(id_col), docs.schema[id_col].dataType)
+    rows = docs.count()
+    ranges = max(1, min(RANGES, -(-rows // RANGE_ROWS)))
+    share = min(1.0, 2.0 * DRAWN * ranges / max(rows, 1))
+    drawn = sorted(bytes(r[0]) for r in docs.select(key.alias("k")).filter("k is not null").sample(share, 7).limit(4 * DRAWN * RANGES).collect())
+    cuts = sorted({drawn[i * len(drawn) // ranges] for i in range(1, ranges)} if drawn else [])
+
+    @F.pandas_udf("int")
+    def range_of(keys: pd.Series) -> pd.Series:
+        return pd.Series([len(cuts) if k is None else bisect_right(cuts, bytes(k)) for k in keys], dtype="int32")
+
+    ranged = docs.withColumns({"_nx_k": key, "_nx_b": range_of(key)})
+    # One row a range: its first key, and the range that needs this row too.
+    firsts = sorted((r["_nx_b"], None if r["k"] is None else bytes(r["k"])) for r in ranged.groupBy("_nx_b").agg(F.min("_nx_k").alias("k")).collect())
+    first = {b: (k, firsts[i - 1][0]) for i, (b, k) in enumerate(firsts)}
+
+    @F.pandas_udf("array<int>")
+    def places(keys: pd.Series, held: pd.Series) -> pd.Series:
+        def of(k: bytes | None, b: int) -> list[int]:
+            start, guest_of = first[b]
+            return [b, guest_of] if (None if k is None else bytes(k)) == start else [b]
+
+        return pd.Series([of(k, b) for k, b in zip(keys, held, strict=True)])
+
     order = Window.partitionBy("_nx_to").orderBy("_nx_guest", F.col(id_col).asc_nulls_last(), F.col(text_col).asc_nulls_first())
     return (
-        docs.withColumn("_nx_b", bucket.cast("int"))
-        .withColumn("_nx", F.explode(F.array_compact(F.array(own, guest))))
-        .withColumns({"_nx_to": F.col("_nx.to"), "_nx_guest": F.col("_nx.guest")})
-        .drop("_nx", "_nx_b")
-        .repartitionById(last + 1, "_nx_to")
+        ranged.select(*docs.columns, F.posexplode(places("_nx_k", "_nx_b")).alias("_nx_guest", "_nx_to"))
+        .repartitionById(len(cuts) + 1, "_nx_to")
         .withColumn(into, F.lead(text_col).over(order))
         .filter("_nx_guest = 0")
         .drop("_nx_to", "_nx_guest")
