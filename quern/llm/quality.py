@@ -193,9 +193,9 @@ def score_quality(
     sample = (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
         .join(F.broadcast(known), "id")  # sample_rows at most
-        .orderBy(F.xxhash64("id", "text"), "id", "text")
+        .select(F.xxhash64("id", "text").alias("h"), "id", F.col("label").cast("double").alias("label"), statistics(F.col("text"), lambda s: s).alias("s"))
+        .orderBy("h", "id")
         .limit(sample_rows)  # repeated ids count as rows
-        .select(F.col("label").cast("double").alias("label"), statistics(F.col("text"), lambda s: s).alias("s"))
         .select("label", "s.*")
     )
     intercept, rules = fit_rules(materialize(sample, "sample").coalesce(4), list(NAMES), **options)
