@@ -1,12 +1,15 @@
 """Language-model scores: stupid backoff over n-gram counts of the whole corpus.
 
-Documents are packed into chunks of bounded size. A chunk asks for its distinct n-grams,
-each in the partition of its hash; a partition adds up what all chunks ask for (the count
-table) and answers every chunk in the order it asked; a chunk joins the answers to the
-n-grams of its documents and adds up their scores. An n-gram crosses the network once
-for each chunk it is in, however frequent it is, so no key is hot. A partition holds a
-constant number of n-grams at every size of the corpus. From n = 3 on, each n is asked in
-a round of its own, so that the questions of one round only are on disk.
+Documents are packed into chunks of bounded size. For n = 1, 2, .. a chunk is exploded to its
+distinct n-grams (hash, occurrences, documents); grouping by hash makes the count table of
+n, from which n-grams of too few documents go; joined to the exploded n-grams it tells
+each chunk its counts, and chunks add up the scores of their documents. An n-gram can be
+in enough documents only if the two shorter ones in it are, so only such n-grams are
+exploded. Every n-gram is a row of its own, and rows are no more than words times
+``order``: work grows with the corpus. The most frequent n-gram has a row a chunk.
+
+n-grams are named by 64-bit hashes. With 10^9 distinct ones, two of them share a hash
+with a chance of 3 in 100, and 10^12 have about 27,000 such pairs, too few to move a score.
 """
 
 from __future__ import annotations
@@ -20,38 +23,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from quern.llm.common import materialize, shuffles_dropped
+from quern.llm.common import materialize, passing, shuffles_dropped
 from quern.llm.hashing import mix, word_hashes, word_total
 
 #: UTF-8 bytes of texts in a chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 4 << 20
-#: UTF-8 bytes of corpus for each partition of the count tables.
-PART_BYTES = 2 << 20
-#: A partition knows its own part of a hash, and keys of so many bytes tell its n-grams apart.
-KEY_BYTES = 6
+CHUNK_BYTES = 8 << 20
 #: n-grams in fewer documents count as unseen: what only one document holds says nothing about it.
 MIN_DOCS = 2
 
 
-def _squeeze(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
-
-
-def _expand(b: bytes, dtype: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype)
-
-
-def _keys(hashes: np.ndarray) -> bytes:
-    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
-
-
-def _from_keys(b: bytes) -> np.ndarray:
-    wide = np.zeros((len(b) // KEY_BYTES, 8), np.uint8)
-    wide[:, :KEY_BYTES] = np.frombuffer(b, np.uint8).reshape(-1, KEY_BYTES)
-    return wide.reshape(-1).view(np.uint64)
-
-
 def _pack(seq: int, ids: list, texts: list[bytes], schema: pa.Schema) -> pa.RecordBatch:
     from pyspark import TaskContext
 
@@ -101,98 +84,69 @@ def ngrams(texts: list[bytes], order: int) -> tuple[np.ndarray, list[tuple[np.nd
     return bounds, out
 
 
-def _distinct(texts: list[bytes], sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of n-grams of ``sizes``, how often each occurs and in how many texts."""
-    bounds, grams = ngrams(texts, max(sizes))
-    grams = [grams[n - 1] for n in sizes]
-    doc = np.repeat(np.arange(len(texts), dtype=np.uint32), np.diff(bounds))
-    hashes = np.concatenate([h[ok] for h, ok in grams])
-    docs = np.concatenate([doc[ok] for _, ok in grams])
+_GRAMS = "chunk long, gram long, n long, d long"
+
+
+def _distinct(chunk: int, hashes: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+    """Rows of _GRAMS: each hash, how often it occurs and in how many texts. ``docs`` ascends."""
     at = np.argsort(hashes, kind="stable")  # the texts of an n-gram stay in order
     hashes, docs = hashes[at], docs[at]
-    new = np.diff(hashes, prepend=hashes[:1] + np.uint64(1)) != 0
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    other = new.copy()
+    other[1:] |= docs[1:] != docs[:-1]
     first = np.flatnonzero(new)
     number = np.diff(np.append(first, len(hashes)))
-    other = new.copy()
-    other[1:] |= np.diff(docs) != 0
-    return hashes[first], number, np.add.reduceat(other.astype(np.int64), first) if len(first) else number
+    texts = np.add.reduceat(other.astype(np.int64), first) if len(first) else number
+    columns = [np.full(len(first), chunk, np.int64), hashes[first].view(np.int64), number.astype(np.int64), texts]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["chunk", "gram", "n", "d"])
 
 
-def _parts(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """The partition of each hash, from its upper half; keys are the lower bytes."""
-    return ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+def _texts_of(bounds: np.ndarray) -> np.ndarray:
+    return np.repeat(np.arange(len(bounds) - 1, dtype=np.int64), np.diff(bounds))
 
 
-def _bounds(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Partitions that sorted hashes fall into, and where each begins (one more at the end)."""
-    part = _parts(hashes, parts)
-    held, first = np.unique(part, return_index=True)
-    return held.astype(np.int64), np.append(first, len(hashes))
+def _explode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            bounds, [(hashes, _)] = ngrams(_unpack(row["blob"], row["lengths"]), 1)
+            yield _distinct(row["chunk"], hashes, _texts_of(bounds))
 
 
-_ASK = "part long, chunk long, keys binary, n binary, d binary"
+def _counts(told: pa.Table, hashes: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """The count of the n-gram at each word, 0 where there is none or too few documents hold it."""
+    grams, counts = (np.ascontiguousarray(told[c].to_numpy()) for c in ("gram", "c"))
+    if not len(grams):
+        return np.zeros(len(hashes), np.int64)
+    order = np.argsort(grams)
+    grams, counts, wanted = grams[order], counts[order], hashes.view(np.int64)
+    at = np.minimum(np.searchsorted(grams, wanted), len(grams) - 1)
+    return np.where(ok & (grams[at] == wanted), counts[at], 0)
 
 
-def _ask(sizes: tuple[int, ...], parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                hashes, n, d = _distinct(_unpack(row["blob"], row["lengths"]), sizes)
-                held, first = _bounds(hashes, parts)
-                spans = list(zip(first[:-1], first[1:], strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(held),
-                        pa.array(np.full(len(held), row["chunk"])),
-                        pa.array([_keys(hashes[a:b]) for a, b in spans], pa.binary()),
-                        pa.array([_squeeze(n[a:b].astype(np.uint32)) for a, b in spans], pa.binary()),
-                        pa.array([_squeeze(np.minimum(d[a:b], 255).astype(np.uint8)) for a, b in spans], pa.binary()),
-                    ],
-                    names=["part", "chunk", "keys", "n", "d"],
-                )
-
-    return run
-
+def _explode(n: int):
+    """The n-grams of a chunk whose two shorter n-grams ``told`` counts."""
 
-def _answer(min_docs: int):
-    def run(table: pa.Table) -> pa.Table:
-        keys = [_from_keys(b) for b in table["keys"].to_pylist()]
-        ends = np.cumsum([len(k) for k in keys])
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.concatenate([_expand(b, "<u4") for b in table["n"].to_pylist()])
-        d = np.concatenate([_expand(b, "u1") for b in table["d"].to_pylist()])
-        docs = np.bincount(at, d, len(distinct))
-        total = np.bincount(at, n, len(distinct)).astype(np.uint64)
-        counts = np.where(docs >= min_docs, total, 0).astype(np.uint64)[at]
-        return pa.table(
-            {
-                "chunk": table["chunk"],
-                "part": table["part"],
-                "counts": pa.array([_squeeze(counts[e - len(k) : e]) for e, k in zip(ends, keys, strict=True)], pa.binary()),
-            }
-        )
+    def run(chunks: pa.Table, told: pa.Table) -> pa.Table:
+        out = [_distinct(0, np.empty(0, np.uint64), np.empty(0, np.int64))]
+        for row in chunks.to_pylist():
+            bounds, grams = ngrams(_unpack(row["blob"], row["lengths"]), n)
+            held = _counts(told, *grams[n - 2]) > 0
+            hashes, ok = grams[n - 1]
+            ok = ok & held & np.concatenate([[False], held[:-1]])[: len(held)]
+            out.append(_distinct(row["chunk"], hashes[ok], _texts_of(bounds)[ok]))
+        return pa.Table.from_batches(out[1:] or out)
 
     return run
 
 
-def _rounds(order: int) -> list[tuple[int, ...]]:
-    """The n that are counted together: words and pairs, then each longer n by itself."""
-    return [tuple(range(1, min(order, 2) + 1)), *((n,) for n in range(3, order + 1))]
-
-
 def _score(order: int, alpha: float, words: int, schema: pa.Schema):
-    def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(chunks: pa.Table, told: pa.Table) -> pa.Table:
         out = []
-        told = sorted(zip(*(answers[c].to_pylist() for c in ("round", "part", "counts")), strict=True))
-        counts = [np.concatenate([_expand(b, "<u8") for k, _, b in told if k == i] or [np.empty(0, np.uint64)]) for i in range(len(_rounds(order)))]
+        size = told["size"].to_numpy()
         for row in chunks.to_pylist():
-            texts = _unpack(row["blob"], row["lengths"])
-            bounds, grams = ngrams(texts, order)
-            of = []
-            for sizes, c in zip(_rounds(order), counts, strict=True):
-                own = [grams[n - 1] for n in sizes]
-                distinct = np.unique(np.concatenate([h[ok] for h, ok in own]))
-                of += [np.where(ok, c[np.minimum(np.searchsorted(distinct, h), len(c) - 1)], 0) if len(c) else np.zeros(len(h)) for h, ok in own]
+            bounds, grams = ngrams(_unpack(row["blob"], row["lengths"]), order)
+            of = [_counts(told.filter(pa.array(size == n)), *grams[n - 1]) for n in range(1, order + 1)]
             value = np.full(bounds[-1], -log(words or 1))  # a word of no other document: one in all words
             backed = np.minimum(np.arange(bounds[-1]) - np.repeat(bounds[:-1], np.diff(bounds)), order - 1) + 1
             level = np.zeros(bounds[-1], np.int64)
@@ -222,7 +176,6 @@ def score_documents(
     alpha: float = 0.4,
     min_docs: int = MIN_DOCS,
     chunk_bytes: int = CHUNK_BYTES,
-    part_bytes: int = PART_BYTES,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -237,29 +190,32 @@ def score_documents(
 
     Null, empty and blank texts have 0 words and score 0. Rows that repeat are documents
     of their own and vouch for each other. Null ids are kept. An empty table gives an
-    empty table. Other columns are ignored. A chunk is as large as its longest text.
+    empty table. Other columns are ignored. A very long text is a chunk of its own.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
+    spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType
     fields = [T.StructField("ids", T.ArrayType(id_type)), T.StructField("lengths", T.ArrayType(T.LongType()))]
     packed = T.StructType([T.StructField("chunk", T.LongType()), *fields, T.StructField("blob", T.BinaryType()), T.StructField("bytes", T.LongType()), T.StructField("words", T.LongType())])
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    chunks = materialize(rows.mapInArrow(_chunks(to_arrow_schema(packed), chunk_bytes), packed), "chunks")
-    size, words = chunks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("bytes", "words"))).first()
-    parts = max(1, -(-size // part_bytes))
-    answers = None
-    for i, sizes in enumerate(rounds := _rounds(order)):
-        asked = chunks.select("chunk", "lengths", "blob").mapInArrow(_ask(sizes, parts), _ASK)
-        told = asked.groupBy("part").applyInArrow(_answer(min_docs), "chunk long, part long, counts binary").withColumn("round", F.lit(i))
-        if i < len(rounds) - 1:
-            with shuffles_dropped(docs.sparkSession):
-                told = materialize(told, "answers")
-        answers = told if answers is None else answers.unionByName(told)
+    with passing(spark) as kept, shuffles_dropped(spark):
+        chunks = materialize(rows.mapInArrow(_chunks(to_arrow_schema(packed), chunk_bytes), packed), "chunks")
+        kept.append(chunks)
+        words = chunks.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+        texts = chunks.select("chunk", "lengths", "blob")
+        told: list[DataFrame] = []
+        for n in range(1, order + 1):
+            exploded = texts.mapInArrow(_explode_words, _GRAMS) if n == 1 else _meet(texts, told[-1]).applyInArrow(_explode(n), _GRAMS)
+            grams = materialize(exploded, "grams")
+            counts = grams.groupBy("gram").agg(F.sum("n").alias("c"), F.sum("d").alias("d")).filter(F.col("d") >= min_docs).select("gram", "c")
+            counts = materialize(counts, "counts")
+            told.append(materialize(grams.select("chunk", "gram").join(counts, "gram").select("chunk", "gram", "c", F.lit(n).alias("size")), "told"))
+        kept += told
     out = T.StructType([T.StructField(id_col, id_type), *(T.StructField(c, T.LongType()) for c in ("n_words", "n_top", "log_micro"))])
-    return (
-        chunks.groupBy("chunk")
-        .cogroup(answers.groupBy("chunk"))
-        .applyInArrow(_score(order, alpha, int(words), to_arrow_schema(out)), out)
-    )
+    every = told[0]
+    for t in told[1:]:
+        every = every.unionByName(t)
+    return _meet(chunks, every).applyInArrow(_score(order, alpha, int(words), to_arrow_schema(out)), out)
+
 
+def _meet(chunks: DataFrame, told: DataFrame) -> PandasCogroupedOps:
+    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk"))
