@@ -53,7 +53,7 @@ class _Memo(dict):
 class Pieces:
     """The pieces of a model and their automaton; made once in each worker."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, viterbi: bool = False):
         from sentencepiece import SentencePieceProcessor
         from sentencepiece import sentencepiece_model_pb2 as proto
 
@@ -61,7 +61,7 @@ class Pieces:
         spec = proto.ModelProto.FromString(model)
         if spec.normalizer_spec.precompiled_charsmap or spec.normalizer_spec.remove_extra_whitespaces:
             raise ValueError("only models that leave texts as they are can be decoded exactly")
-        self.merging = spec.trainer_spec.model_type == proto.TrainerSpec.BPE
+        self.merging = spec.trainer_spec.model_type == proto.TrainerSpec.BPE and not viterbi
         self.prefix = MARK if spec.normalizer_spec.add_dummy_prefix else ""
         every = range(sp.get_piece_size())
         self.text = [sp.id_to_piece(i) for i in every]
@@ -183,14 +183,14 @@ class Pieces:
         return raw.decode("utf-8", "replace")
 
 
-_made: dict[bytes, Pieces] = {}
+_made: dict[tuple[bytes, bool], Pieces] = {}
 
 
-def _pieces(model: bytes) -> Pieces:
-    if model not in _made:
+def _pieces(model: bytes, viterbi: bool = False) -> Pieces:
+    if (model, viterbi) not in _made:
         _made.clear()
-        _made[model] = Pieces(model)
-    return _made[model]
+        _made[model, viterbi] = Pieces(model, viterbi)
+    return _made[model, viterbi]
 
 
 def _load(model: str | bytes) -> bytes:
@@ -201,19 +201,25 @@ def _load(model: str | bytes) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: str | bytes, *, text_col: str = "text", into: str = "pieces", decoded: str | None = None) -> DataFrame:
+def encode(
+    docs: DataFrame, model: str | bytes, *, text_col: str = "text", into: str = "pieces", decoded: str | None = None, viterbi: bool = False
+) -> DataFrame:
     """All columns of ``docs`` plus ``into``, the piece ids of the whole text (array<int>), and
     where ``decoded`` names a column, the text that those ids decode to, in the same pass.
 
-    Null and empty texts have no pieces (an empty array). Repeated rows are encoded each;
-    an empty table gives an empty table; a column of ``docs`` named ``into`` is replaced.
-    For a merge model ids are those of the library; for a unigram model scores add up in
-    64 bits and ties keep the longer last piece.
+    For a unigram model the pass is Viterbi's: scores add up in 64 bits and ties keep the
+    longer last piece. For a merge model no scores are added up, as they are ranks: the first
+    piece that may follow the one before is kept, which gives the library's ids. ``viterbi``
+    takes a merge model's pieces and scores as those of a unigram model.
+
+    Null and empty texts have no pieces (an empty array). Repeated rows are encoded each; a
+    very long text is one row of one task, unit by unit; an empty table gives an empty table;
+    a column of ``docs`` named ``into`` is replaced, others may have any name.
     """
     model, docs = _load(model), docs.drop(into, *filter(None, [decoded]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _pieces(model)
+        pieces = _pieces(model, viterbi)
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)

@@ -277,10 +277,10 @@ FROM split LEFT JOIN sums USING (r)
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
-def piece_digests(docs: DataFrame, model: str = PIECE_MODEL) -> DataFrame:
+def piece_digests(docs: DataFrame, model: str = PIECE_MODEL, *, viterbi: bool = False) -> DataFrame:
     """doc_id, pieces and the text they decode to, as digests."""
     ids = F.array_join(F.col("pieces").cast("array<string>"), ",")
-    return encode(docs.select("doc_id", "text"), model, decoded="decoded").select(
+    return encode(docs.select("doc_id", "text"), model, decoded="decoded", viterbi=viterbi).select(
         "doc_id",
         F.size("pieces").cast("long").alias("n_pieces"),
         F.sha2(ids, 256).alias("pieces_sha256"),
@@ -291,4 +291,11 @@ def piece_digests(docs: DataFrame, model: str = PIECE_MODEL) -> DataFrame:
 
 @_query
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library's ids: of a merge model, so no scores are relaxed (see :func:`encode`)."""
     return piece_digests(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pieces as a unigram model: the segmentation with the best sum of scores."""
+    return piece_digests(_table(spark, sf_dir, "documents"), viterbi=True)

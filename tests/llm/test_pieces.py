@@ -73,3 +73,24 @@ def test_the_memory_of_units_does_not_change_results(model, monkeypatch):
     monkeypatch.setattr(module, "MEMO_PAIRS", 7)
     small = Pieces(model)
     assert [small.encode(t).tolist() for t in texts] == whole
+
+
+def test_the_viterbi_query_decodes_to_the_texts_and_scores_best(spark, model):
+    from quern.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    rows = QUERIES["op9_viterbi_pieces"](spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count() and all(r.round_trip for r in rows)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(20)  # a few texts for the slow comparison
+    own, merged = Pieces(model, True), Pieces(model)
+    for r in encode(docs, PIECE_MODEL, viterbi=True).collect():
+        if r.text:
+            score = lambda ids: sum(own.score.get(i, own.unknown / 3) for i in ids)
+            assert score(r.pieces) >= score(merged.encode(r.text).tolist()) - 1e-6
+
+
+def test_a_very_long_text_and_a_clashing_name(spark):
+    text = "the cat sat on the mat\n" * 20_000 + "x" * 50_000
+    docs = spark.createDataFrame([(1, text, 5)], "doc_id long, text string, found int")
+    row = encode(docs, PIECE_MODEL, decoded="again").first()
+    assert row.again == text and row.found == 5
