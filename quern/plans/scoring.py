@@ -131,34 +131,3 @@ def tag_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.array_distinct(F.filter(F.split(title, " "), lambda w: F.length(w) >= 3))
     t = table(spark, sf_dir, "pages").select(F.explode(tags).alias("tag"))
     return t.groupBy("tag").agg(F.count(F.lit(1)).alias("frequency")).filter("frequency >= 5")
-
-
-EMBEDS = (("youtube", r"youtube\.com|youtu\.be"), ("vimeo", r"vimeo\.com"), ("spotify", r"spotify\.com"))
-_SOURCES = ("https://www.youtube.com/embed/1", "https://youtu.be/2", "https://player.vimeo.com/3", "https://open.spotify.com/4", "https://else.example/5")
-
-
-@query(f"SELECT src, CASE {' '.join(f'''WHEN regexp_matches(src, '{p}') THEN '{n}' ''' for n, p in EMBEDS)} ELSE 'unknown_iframe' END AS provider FROM (VALUES {', '.join(f'''('{s}')''' for s in _SOURCES)}) v(src)")
-def embed_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """On literals: the tables hold no embeds."""
-    provider = F.lit("unknown_iframe")
-    for name, pattern in reversed(EMBEDS):
-        provider = F.when(F.col("src").rlike(pattern), name).otherwise(provider)
-    return spark.createDataFrame([(s,) for s in _SOURCES], "src string").withColumn("provider", provider)
-
-
-_SRCSETS = ("a.jpg 320w, b.jpg 640w", "c.png 1x, d.png 2x", "e.gif")
-
-
-@query("SELECT * FROM (VALUES ('a.jpg 320w, b.jpg 640w', 'b.jpg'), ('c.png 1x, d.png 2x', 'd.png'), ('e.gif', 'e.gif')) v(srcset, best)")
-def srcset_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """On literals: the widest candidate, else the densest, else the first."""
-    parts = F.transform(F.split("srcset", ","), lambda p: F.trim(p))
-    ranked = F.transform(
-        parts,
-        lambda p, i: F.struct(
-            F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(p, r" ([0-9]+)w$", 1), F.lit("")), F.lit("999999")), F.lit(0)).cast("int").alias("w"),
-            F.coalesce(F.nullif(F.regexp_extract(p, r" ([0-9.]+)x$", 1), F.lit("")).cast("double"), F.lit(0.0)).alias("x"),
-            (-i).alias("order"), F.substring_index(p, " ", 1).alias("url"),
-        ),
-    )
-    return spark.createDataFrame([(s,) for s in _SRCSETS], "srcset string").select("srcset", F.array_max(ranked)["url"].alias("best"))

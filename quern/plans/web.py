@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions import text, urls
+from quern.functions import markup, text, urls
 from quern.registry import query
 from quern.sources.tables import table
 
@@ -13,7 +13,11 @@ TRACKING_SQL = ", ".join(f"'{t}'" for t in urls.TRACKING)
 
 
 def sql_host(u: str) -> str:
-    return f"lower(regexp_extract(trim({u}), '{urls.HOST}', 1))"
+    return f"lower(regexp_extract(trim({u}), '://([^/?#@]*@)?([^/?#:]*)', 2))"
+
+
+def sql_authority(u: str) -> str:
+    return f"lower(regexp_extract(trim({u}), '://([^/?#]*)', 1))"
 
 
 def sql_route(u: str) -> str:
@@ -26,7 +30,7 @@ def sql_normalize(u: str, tracking: bool = True) -> str:
     path = f"CASE WHEN length({sql_route(u)}) > 1 THEN regexp_replace({sql_route(u)}, '/$', '') ELSE {sql_route(u)} END"
     return (
         f"CASE WHEN regexp_matches(trim({u}), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+') THEN "
-        f"lower(regexp_extract(trim({u}), '{urls.SCHEME}', 1)) || '://' || {sql_host(u)} || {path} || CASE WHEN {kept} = '' THEN '' ELSE '?' || {kept} END "
+        f"lower(regexp_extract(trim({u}), '{urls.SCHEME}', 1)) || '://' || {sql_authority(u)} || {path} || CASE WHEN {kept} = '' THEN '' ELSE '?' || {kept} END "
         f"ELSE regexp_replace(regexp_replace(lower(trim({u})), '#.*$', ''), '/$', '') END"
     )
 
@@ -38,29 +42,79 @@ def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(rf"""
-WITH links AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages),
-made AS (SELECT page_id, {sql_host('url')} AS own,
-  CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^[A-Za-z]+://[^/?#]*', 0) || href ELSE href END AS link FROM links),
-judged AS (SELECT *, CASE WHEN lower(regexp_extract(trim(link), '^([A-Za-z]+):', 1)) IN ({", ".join(f"'{s}'" for s in urls.BLOCKED_SCHEMES)}) THEN 'protocol'
-  WHEN NOT regexp_matches(trim(link), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+') THEN 'invalid'
-  WHEN {sql_host('link')} <> own THEN 'external'
+def sql_resolve(base: str, href: str) -> str:
+    """A link on a page, for http(s) pages and links."""
+    path = f"coalesce(nullif(regexp_extract({base}, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), ''), '/')"
+    whole = f"""CASE WHEN regexp_matches({href}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {href} WHEN {href} LIKE '//%' THEN split_part({base}, '//', 1) || {href}
+      WHEN {href} LIKE '/%' THEN regexp_extract({base}, '^[a-zA-Z]+://[^/?#]+') || {href} WHEN {href} = '' THEN split_part({base}, '#', 1)
+      WHEN {href} LIKE '?%' THEN regexp_extract({base}, '^[a-zA-Z]+://[^/?#]+') || {path} || {href} WHEN {href} LIKE '#%' THEN split_part({base}, '#', 1) || {href}
+      ELSE regexp_extract({base}, '^[a-zA-Z]+://[^/?#]+') || regexp_extract({path}, '^(.*/)[^/]*$', 1) || {href} END"""
+    split = f"list_prepend('', string_split(coalesce(nullif(regexp_extract({whole}, '^[a-zA-Z]+://[^/?#]*/([^?#]*)', 1), ''), ''), '/'))"
+    folded = f"list_reduce({split}, lambda acc, x: CASE WHEN x = '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN x = '.' THEN acc ELSE acc || '/' || x END)"
+    tail = f"CASE WHEN regexp_matches(regexp_extract({whole}, '^[^?#]*'), '/[.][.]?$') THEN '/' ELSE '' END"
+    tidy = f"lower(regexp_extract({whole}, '^[a-zA-Z]+://[^/?#]*')) || coalesce(nullif({folded} || {tail}, ''), '/') || regexp_extract({whole}, '[?#].*$')"
+    return f"CASE WHEN regexp_matches({whole}, '^https?://', 'i') THEN {tidy} ELSE {whole} END"
+
+
+#: Pages as they are, with tags that the tables lack added behind them. A fixture: the same text
+#: in Spark and DuckDB, with no backslash in it.
+RICH = """html || '<meta name="description" content="About page ' || page_id || ', a description that is long enough for a result list"><link rel="canonical" href="' || url || '">'
+ || '<meta property="og:image" content="/img/og-' || page_id || '.png"><meta name="twitter:card" content="summary"><link rel="preload" href="/img/hero.png" as="image">'
+ || '<link rel="stylesheet" href="/css/site.css"><a href="../up/' || page_id || '?page=2#x">older</a><a href="?page=3">three</a><a href="//other.example.org/a/./b/../c">away</a><a href="mailto:a@b.c">mail</a>'
+ || '<a rel="next" href="list/' || page_id || '">Next</a><a href="/audio/' || page_id || '.mp3">listen</a><a href="/files/a.pdf">pdf</a><a href="#top">top</a>'
+ || '<img src="/img/' || (page_id % 50) || '.jpg" alt="a" width="40"><img data-src="lazy/' || page_id || '.webp" src="/spacer.gif"><img src="data:image/gif;base64,R0"><img srcset="/s.jpg 320w, /l.jpg 640w, /m.jpg 500w" alt="">'
+ || '<noscript><img src="/img/plain-' || page_id || '.jpg"></noscript><video src="/v/' || (page_id % 3) || '.mp4" poster="/v/poster.png"></video><div style="color:#A1b2C3;background-image:url(/bg/' || (page_id % 5) || '.png)"></div>'
+ || CASE page_id % 8 WHEN 0 THEN '<iframe src="https://www.youtube.com/embed/abcdefghijk"></iframe>' WHEN 1 THEN '<iframe src="https://player.vimeo.com/video/1234"></iframe>'
+    WHEN 2 THEN '<iframe src="https://open.spotify.com/embed/track/9z"></iframe>' WHEN 3 THEN '<iframe src="https://www.loom.com/embed/af09"></iframe>'
+    WHEN 4 THEN '<iframe src="https://www.dailymotion.com/embed/video/x8"></iframe>' WHEN 5 THEN '<iframe data-src="https://www.tiktok.com/embed/v2/77"></iframe>'
+    WHEN 6 THEN '<iframe src="https://w.soundcloud.com/player/?x=1"></iframe>' ELSE '<iframe src="/own/frame"></iframe>' END
+ || CASE page_id % 4 WHEN 0 THEN '<script type="application/ld+json">{"@context": "https://schema.org", "@type": "Article"}</script>' WHEN 1 THEN '<script type="application/ld+json">{"@type": "FAQPage"}</script>'
+    WHEN 2 THEN '<script type="application/ld+json">{broken</script>' ELSE '' END
+ || CASE page_id % 7 WHEN 0 THEN '<meta name="generator" content="WordPress 6.4"><script src="/wp-content/a.js?ver=6"></script>' WHEN 1 THEN '<script id="__NEXT_DATA__"></script><script src="/_next/static/c.js"></script>'
+    WHEN 2 THEN '<astro-island></astro-island><link rel="stylesheet" href="/_astro/a.css">' WHEN 3 THEN '<div data-reactroot></div><script src="/static/js/main.ab12.js"></script>'
+    WHEN 4 THEN '<meta name="csrf-token" content="t">' WHEN 5 THEN '<script src="/assets/index-9f.js"></script>' ELSE '' END"""
+
+
+def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.expr(RICH).alias("html"))
+
+
+RICH_SQL = f"WITH pages_rich AS (SELECT page_id, url, {RICH} AS html FROM pages)"
+LINKS_SQL = f"""{RICH_SQL}, hrefs AS (SELECT page_id, trim(url) AS url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages_rich),
+made AS (SELECT page_id, url, href, {sql_resolve('url', 'href')} AS link FROM hrefs)"""
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """(page_id, url, link) for every link of a page, resolved on it."""
+    return pages.select("page_id", F.trim("url").alias("url"), F.explode(markup.hrefs(F.col("html"))).alias("href")).select(
+        "page_id", "url", urls.resolve(F.col("url"), F.col("href")).alias("link")
+    )
+
+
+@query(rf"""{LINKS_SQL},
+judged AS (SELECT page_id, CASE WHEN lower(regexp_extract(link, '^([A-Za-z]+):', 1)) IN ('mailto', 'javascript', 'tel', 'sms', 'data', 'ftp', 'file', 'callto', 'skype', 'viber', 'whatsapp', 'tg') THEN 'protocol'
+  WHEN NOT regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+') THEN 'protocol'
+  WHEN {sql_host('link')} <> {sql_host('url')} THEN 'external'
   WHEN regexp_matches({sql_route('link')}, '{urls.BLOCKED_EXTENSION}') THEN 'extension'
   WHEN regexp_matches({sql_route('link')}, '{urls.BLOCKED_PATH}') THEN 'path' END AS reason FROM made)
 SELECT coalesce(reason, 'admitted') AS reason, count(*) AS links, count(DISTINCT page_id) AS pages FROM judged GROUP BY 1
 """)
 def link_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = page_links(table(spark, sf_dir, "pages"))
-    reason = F.coalesce(urls.skip_reason(F.col("link"), F.col("own")), F.lit("admitted"))
+    links = page_links(rich_pages(spark, sf_dir))
+    reason = F.coalesce(urls.skip_reason(F.col("link"), urls.host(F.col("url"))), F.lit("admitted"))
     return links.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("links"), F.countDistinct("page_id").alias("pages"))
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, own host, link) for every href, relative ones on their page's origin."""
-    origin = F.regexp_extract("url", "^[A-Za-z]+://[^/?#]*", 0)
-    return pages.select(
-        "page_id", urls.host(F.col("url")).alias("own"), origin.alias("origin"), F.explode(text.extract_all(F.col("html"), 'href="([^"]*)"')).alias("href")
-    ).select("page_id", "own", F.when(F.col("href").startswith("/"), F.concat("origin", "href")).otherwise(F.col("href")).alias("link"))
+@query(rf"""{LINKS_SQL}
+SELECT page_id, link, {sql_normalize('link', False)} AS norm_link FROM made
+WHERE {sql_authority('link')} = {sql_authority('url')} AND {sql_authority('url')} <> ''
+  AND NOT regexp_matches({sql_route('link')}, '/(wp-admin|wp-json|wp-cron|xmlrpc\.php|feed|rss|atom|login|logout|signup|register|\.well-known)', 'i')
+  AND NOT regexp_matches({sql_route('link')}, '{urls.NO_PAGE_EXTENSION}') GROUP BY ALL
+""")
+def page_link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links that lead to pages of the same host, once a page."""
+    links = page_links(rich_pages(spark, sf_dir)).filter(urls.is_page_link(F.col("link"), urls.authority(F.col("url"))))
+    return links.select("page_id", "link", urls.normalize(F.col("link"), ("",)).alias("norm_link")).distinct()
 
 
 @query(rf"""
@@ -149,12 +203,17 @@ def page_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT page_id, CASE WHEN regexp_replace(h, '^www\\.', '') = seed THEN 'same-domain' WHEN ends_with(h, '.' || seed) THEN 'subdomain'
-  WHEN regexp_matches(h, '(^|\\.)(cdn|static|assets)[0-9]*\\.') THEN 'cdn' ELSE 'external' END AS origin
-FROM (SELECT page_id, {sql_host('url')} AS h, 'example.com' AS seed FROM pages)
+WITH r AS (SELECT page_id, {sql_host('url')} AS seed, unnest([{sql_host('url')}, 'assets.' || {sql_host('url')}, ['cdn.jsdelivr.net', 'x.cloudfront.net', 'example.net', ''][page_id % 4 + 1]]) AS h FROM pages)
+SELECT page_id, h AS host, CASE WHEN h = '' THEN 'data-uri' WHEN h = seed THEN 'same-domain' WHEN h = regexp_replace(seed, '^www\.', '') OR ends_with(h, '.' || regexp_replace(seed, '^www\.', '')) THEN 'subdomain'
+  WHEN h IN ('cdn.jsdelivr.net', 'x.cloudfront.net') THEN 'cdn' ELSE 'external' END AS origin FROM r
 """)
 def host_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", urls.host_origin(urls.host(F.col("url")), F.lit("example.com")).alias("origin"))
+    """Hosts of resources as seen from a page: its own, one below it, and one of others."""
+    seed = urls.host(F.col("url"))
+    other = F.get(F.array(*map(F.lit, ("cdn.jsdelivr.net", "x.cloudfront.net", "example.net", ""))), (F.col("page_id") % 4).cast("int"))
+    hosts = F.explode(F.array(seed, F.concat(F.lit("assets."), seed), other))
+    r = table(spark, sf_dir, "pages").select("page_id", seed.alias("seed"), hosts.alias("host"))
+    return r.select("page_id", "host", urls.host_origin(F.col("host"), F.col("seed")).alias("origin"))
 
 
 @query("""

@@ -25,7 +25,7 @@ def test_urls(spark):
     pages = {"http://a/x?page=4&p=2": 4, "http://a/page/7/": 7, "http://a/b/12": 12, "http://a/b": 1}
     for url, want in pages.items():
         assert one(spark, url, urls.page_number) == want
-    skips = {"mailto:a@b.c": "protocol", "/x": "invalid", "http://b.com/": "external", "http://a.com/x.PDF": "extension", "http://a.com/cart": "path"}
+    skips = {"mailto:a@b.c": "protocol", "/x": "protocol", "http://b.com:8080/": "external", "http://u:p@a.com:81/x.pdf": "extension", "http://a.com/x.PDF": "extension", "http://a.com/cart": "path"}
     for url, want in skips.items():
         assert one(spark, url, lambda c: urls.skip_reason(c, F.lit("a.com"))) == want
     assert one(spark, "http://a.com/x", lambda c: urls.skip_reason(c, F.lit("a.com"))) is None
