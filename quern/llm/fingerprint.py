@@ -130,27 +130,48 @@ _CELL = np.dtype([("n", "<i4"), ("s", "<u8"), ("c", "<u4")])
 _CHECK_BITS = np.uint64(0xFFFFFFFF)
 
 
-def own_tables(sets: list[np.ndarray]) -> list[Table]:
-    """For each set the smallest table that gives all of it back; found by trying, twice as
-    large after each failure."""
+def own_tables(sets: list[np.ndarray]) -> tuple[list[Table], list[np.ndarray]]:
+    """For each set the smallest table that gives all of it back, found by trying, twice as
+    large after each failure; and the digests that it gave back."""
     third = np.full(len(sets), THIRD)
     sizes = np.array([len(s) for s in sets], np.int64)
     while (small := 3 * third < sizes).any():
         third[small] *= 2
     out: list[Table] = [None] * len(sets)  # type: ignore[list-item]
+    back: list[np.ndarray] = [None] * len(sets)  # type: ignore[list-item]
     open_ = np.arange(len(sets))
     while len(open_):
         left = []
-        for size in np.unique(third[open_]):
-            now = open_[third[open_] == size]
+        for size, now in _groups(third, open_):
             made = tables([sets[i] for i in now], size)
-            solved, *_ = peel(*made)
-            for k, i in enumerate(now):
-                out[i] = (made[0][k], made[1][k], made[2][k])
+            solved, row, digests, _ = peel(*made)
+            for k, (i, found) in enumerate(zip(now, _by_row(row, digests, len(now)), strict=True)):
+                out[i], back[i] = (made[0][k], made[1][k], made[2][k]), found
             stuck = now[~solved]
             third[stuck] *= 2
             left.append(stuck)
         open_ = np.concatenate(left)
+    return out, back
+
+
+def _groups(third: np.ndarray, open_: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    return [(int(size), open_[third[open_] == size]) for size in np.unique(third[open_])]
+
+
+def _by_row(row: np.ndarray, digests: np.ndarray, rows: int) -> list[np.ndarray]:
+    order = np.argsort(row, kind="stable")
+    return np.split(digests[order], np.searchsorted(row[order], np.arange(1, rows)))
+
+
+def recover(made: list[Table]) -> list[np.ndarray]:
+    """All digests of each of the tables that :func:`own_tables` made."""
+    out: list[np.ndarray] = [None] * len(made)  # type: ignore[list-item]
+    sizes = np.array([len(t[0]) for t in made], np.int64)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        _, row, digests, _ = peel(*(np.stack(c) for c in zip(*(made[i] for i in at), strict=True)))
+        for i, found in zip(at, _by_row(row, digests, len(at)), strict=True):
+            out[i] = found
     return out
 
 
@@ -159,33 +180,39 @@ def fold(table: Table, third: int) -> Table:
     return tuple(x.reshape(3, -1, third).sum(axis=1, dtype=x.dtype).ravel() for x in table)  # type: ignore[return-value]
 
 
-def differing(a: list[Table], b: list[Table]) -> np.ndarray:
-    """For each pair of tables how many digests only one of the two has."""
+def differing(a: list[Table], b: list[Table], held: tuple[list[np.ndarray], list[np.ndarray]] | None = None) -> np.ndarray:
+    """For each pair of tables how many digests only one of the two has. ``held``: what the
+    tables give back, where it is known."""
     out = np.zeros(len(a), np.int64)
     own = np.array([[len(x[0]) // 3, len(y[0]) // 3] for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2).min(axis=1)
     # A difference of counts is a known part of the difference: no smaller table can be peeled.
-    held = [[int(t[0].sum()) // 3 for t in side] for side in (a, b)]
-    least = np.abs(np.array(held[0], np.int64) - np.array(held[1], np.int64))
+    counts = [np.array([int(t[0].sum()) // 3 for t in side], np.int64) for side in (a, b)]
     third = np.full(len(a), THIRD)
-    while (small := (3 * third < least) & (third < own)).any():
+    while (small := (3 * third < np.abs(counts[0] - counts[1])) & (third < own)).any():
         third[small] *= 2
-    open_ = np.arange(len(a))
+    open_, beyond = np.arange(len(a)), []
     while len(open_):
         left = []
-        for size in np.unique(third[open_]):
-            now = open_[third[open_] == size]
+        for size, now in _groups(third, open_):
             x, y = ([np.stack(c) for c in zip(*(fold(side[i], size) for i in now), strict=True)] for side in (a, b))
             solved, row, *_ = peel(*(p - q for p, q in zip(x, y, strict=True)))
             count = np.bincount(row, minlength=len(now))
             out[now[solved]] = count[solved]
             stuck = now[~solved]
-            for i in stuck[third[stuck] >= own[stuck]]:  # both give back all they hold
-                p, q = (np.unique(peel(*(c[None] for c in side[i]))[2]) for side in (a, b))
-                out[i] = len(np.setxor1d(p, q, assume_unique=True))
+            beyond += stuck[third[stuck] >= own[stuck]].tolist()
             stuck = stuck[third[stuck] < own[stuck]]
             third[stuck] *= 2
             left.append(stuck)
         open_ = np.concatenate(left)
+    if beyond:  # both give back all they hold
+        one, two = ([side[i] for i in beyond] for side in held) if held else (recover([side[i] for i in beyond]) for side in (a, b))
+        every = np.concatenate([*one, *two])
+        row = np.concatenate([np.repeat(beyond, [len(s) for s in side]) for side in (one, two)])
+        order = np.lexsort((every, row))
+        every, row = every[order], row[order]
+        same = (every[1:] == every[:-1]) & (row[1:] == row[:-1])
+        total = np.bincount(row, minlength=len(a))
+        out[beyond] = (total - 2 * np.bincount(row[1:][same], minlength=len(a)))[beyond]
     return out
 
 
@@ -200,10 +227,10 @@ def from_text(fingerprint: str) -> Table:
     return cells["n"].astype(np.int64), cells["s"].astype(np.uint64), cells["c"].astype(np.uint64)
 
 
-def likenesses(a: list[Table], b: list[Table]) -> np.ndarray:
+def likenesses(a: list[Table], b: list[Table], held: tuple[list[np.ndarray], list[np.ndarray]] | None = None) -> np.ndarray:
     """1 - differing / all digests of both, so 0 to 1; two tables without a digest are alike."""
     total = np.array([(int(x[0].sum()) + int(y[0].sum())) // 3 for x, y in zip(a, b, strict=True)], np.int64)
-    return np.where(total == 0, 1.0, 1 - differing(a, b) / np.maximum(total, 1))
+    return np.where(total == 0, 1.0, 1 - differing(a, b, held) / np.maximum(total, 1))
 
 
 def likeness(a: str, b: str) -> float:
@@ -237,13 +264,13 @@ def fingerprint_versions(df: DataFrame, versions: dict[str, str], likeness: dict
                 where = {
                     c: [index.setdefault(t or "", len(index)) for t in batch.column(c).to_pylist()] for c in versions
                 }
-                sets = paragraph_digests(list(index))
-                tables_ = own_tables(sets)
-                prints = [to_text(t) for t in tables_]
+                made_, back = own_tables(paragraph_digests(list(index)))
+                prints = [to_text(t) for t in made_]
                 out = [batch.column(c) for c in plain]
                 out += [pa.array([prints[i] for i in where[c]], pa.string()) for c in versions if versions[c]]
                 for a, b in likeness.values():
-                    out.append(pa.array(likenesses([tables_[i] for i in where[a]], [tables_[i] for i in where[b]])))
+                    x, y = ([made_[i] for i in where[c]] for c in (a, b))
+                    out.append(pa.array(likenesses(x, y, ([back[i] for i in where[a]], [back[i] for i in where[b]]))))
                 yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
 
     return df.mapInArrow(run, T.StructType(fields))
@@ -252,7 +279,7 @@ def fingerprint_versions(df: DataFrame, versions: dict[str, str], likeness: dict
 #: Rows of a range of ids, ranges at most, and rows a range that the cuts are drawn from:
 #: the driver and each task hold RANGES cuts and the driver draws RANGES * DRAWN ids, however
 #: many rows there are.
-RANGE_ROWS, RANGES, DRAWN = 50_000, 20_000, 20
+RANGE_ROWS, RANGES, DRAWN = 10_000, 20_000, 20
 
 
 def _sortable(ids: Column, id_type: T.DataType) -> Column:
