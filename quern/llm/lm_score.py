@@ -1,9 +1,10 @@
 """Language-model scores: stupid backoff over n-gram counts of the whole corpus.
 
 Documents are packed into chunks of bounded size. For n = 1, 2, .. a chunk is exploded to its
-distinct n-grams (hash, occurrences, documents); grouping by hash makes the count table of
-n, from which n-grams of too few documents go; joined to the exploded n-grams it tells
-each chunk its counts, and chunks add up the scores of their documents. An n-gram can be
+distinct n-grams (hash, occurrences, documents), a row each; rows are partitioned by hash,
+where a window counts each n-gram over the corpus and joins the count to its rows in one
+exchange; n-grams of too few documents go, and the others tell their chunks, which add up
+the scores of their documents. An n-gram can be
 in enough documents only if the two shorter ones in it are, so only such n-grams are
 exploded. Every n-gram is a row of its own, and rows are no more than words times
 ``order``: work grows with the corpus. The most frequent n-gram has a row a chunk.
@@ -20,7 +21,7 @@ from math import log
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.group_ops import PandasCogroupedOps
@@ -205,10 +206,9 @@ def score_documents(
         told: list[DataFrame] = []
         for n in range(1, order + 1):
             exploded = texts.mapInArrow(_explode_words, _GRAMS) if n == 1 else _meet(texts, told[-1]).applyInArrow(_explode(n), _GRAMS)
-            grams = materialize(exploded, "grams")
-            counts = grams.groupBy("gram").agg(F.sum("n").alias("c"), F.sum("d").alias("d")).filter(F.col("d") >= min_docs).select("gram", "c")
-            counts = materialize(counts, "counts")
-            told.append(materialize(grams.select("chunk", "gram").join(counts, "gram").select("chunk", "gram", "c", F.lit(n).alias("size")), "told"))
+            same = Window.partitionBy("gram")
+            counted = exploded.withColumns({"c": F.sum("n").over(same), "docs": F.sum("d").over(same)}).filter(F.col("docs") >= min_docs)
+            told.append(materialize(counted.select("chunk", "gram", "c", F.lit(n).alias("size")), "told"))
         kept += told
     out = T.StructType([T.StructField(id_col, id_type), *(T.StructField(c, T.LongType()) for c in ("n_words", "n_top", "log_micro"))])
     every = told[0]
