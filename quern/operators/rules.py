@@ -24,19 +24,6 @@ def arg_max(scores: dict[str, Column]) -> Column:
     return F.struct(best["name"].alias("name"), best["score"].alias("score"))
 
 
-def first_match(text: Column, patterns: list[tuple[str, str, int]], default: tuple[str, int]) -> Column:
-    """(name, score): the pattern whose hits times weight is highest, the first of equals;
-    ``default`` where none hits. patterns: (name, regular expression, weight)."""
-    hits = [
-        F.struct((F.regexp_count(text, F.lit(p)) * w).cast("int").alias("score"), F.lit(-i).alias("order"), F.lit(n).alias("name"))
-        for i, (n, p, w) in enumerate(patterns)
-    ]
-    best = F.greatest(*hits)
-    return F.when(best["score"] > 0, F.struct(best["name"].alias("name"), best["score"].alias("score"))).otherwise(
-        F.struct(F.lit(default[0]).alias("name"), F.lit(default[1]).alias("score"))
-    )
-
-
 def gate(delta: Column, threshold: float) -> Column:
     """PASS without a loss, WARN for at most half the threshold, else FAIL; SKIP without a value."""
     return F.when(delta.isNull(), "SKIP").when(delta >= 0, "PASS").when(-delta < threshold / 2, "WARN").otherwise("FAIL")

@@ -39,21 +39,6 @@ def content_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("page_id", best.alias("b")).select("page_id", F.col("b.name").alias("kind"), "b.score")
 
 
-FAILURES = [("network", "error|timeout", 95), ("auth", "signup|login", 90), ("payment", "purchase", 80), ("interaction", "click", 40)]
-
-
-@query("""
-WITH t AS (SELECT event_id, event_type || ' ' || props AS t FROM events),
-h AS (SELECT event_id, len(regexp_extract_all(t, 'error|timeout')) * 95 AS a, len(regexp_extract_all(t, 'signup|login')) * 90 AS b, len(regexp_extract_all(t, 'purchase')) * 80 AS c, len(regexp_extract_all(t, 'click')) * 40 AS d FROM t)
-SELECT event_id, CASE WHEN greatest(a, b, c, d) = 0 THEN 'unknown' WHEN greatest(a, b, c, d) = a THEN 'network' WHEN greatest(a, b, c, d) = b THEN 'auth' WHEN greatest(a, b, c, d) = c THEN 'payment' ELSE 'interaction' END AS failure,
-  CAST(CASE WHEN greatest(a, b, c, d) = 0 THEN 30 ELSE greatest(a, b, c, d) END AS INTEGER) AS confidence FROM h
-""")
-def failure_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", F.concat_ws(" ", "event_type", "props").alias("t"))
-    m = e.select("event_id", rules.first_match(F.col("t"), FAILURES, ("unknown", 30)).alias("m"))
-    return m.select("event_id", F.col("m.name").alias("failure"), F.col("m.score").alias("confidence"))
-
-
 @query("""
 WITH d AS (SELECT event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 2) AS delta FROM events)
 SELECT event_id, CASE WHEN delta IS NULL THEN 'SKIP' WHEN delta >= 0 THEN 'PASS' WHEN -delta < 5 THEN 'WARN' ELSE 'FAIL' END AS gate FROM d

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quern.functions import media
+
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -28,6 +30,16 @@ def hourly(events: DataFrame, late: str = "2 hours") -> DataFrame:
     return w.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("hour"), "event_type", "n", "total")
 
 
+def envelope(events: DataFrame) -> DataFrame:
+    """Events of a pipeline in the common form: (event_id, timestamp, job, subsystem, event,
+    severity, payload). A plain projection, for streams and tables alike."""
+    kind = F.col("event_type")
+    return events.select(
+        "event_id", F.col("ts").alias("timestamp"), F.col("user_id").alias("job"), media.event_subsystem(kind).alias("subsystem"), kind.alias("event"),
+        media.event_severity(kind).alias("severity"), F.col("props").alias("payload"),
+    )
+
+
 def sessions(events: DataFrame, gap: str = "6 hours", late: str = "2 hours") -> DataFrame:
     """Sessions of a user that end after ``gap`` without an event."""
     w = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id")

@@ -3,7 +3,7 @@ import math
 from pyspark.sql import functions as F
 
 from quern.functions import text, urls
-from quern.operators import diff, graph, ordered, rules
+from quern.operators import diff, failures, graph, ordered, rules
 from quern.sources import tables
 from quern.streaming import events
 
@@ -67,7 +67,9 @@ def test_graph_with_a_cycle(spark):
 
 
 def test_rules(spark):
-    assert one(spark, "timeout timeout login", lambda c: rules.first_match(c, [("n", "timeout", 2), ("a", "login", 4)], ("u", 0))["name"]) == "n"
+    table = (("n", 2, "low", "wait", ("time", "out")), ("a", 4, "low", "wait", ("login",)))
+    assert one(spark, "timeout login", lambda c: failures.classify(c, F.lit(0), F.lit(1), table)["failure"]) == "n"
+    assert tuple(one(spark, None, lambda c: failures.classify(c, F.lit(1), F.lit(1)))) == ("Unknown", 30, "medium", "do_not_retry")
     assert [one(spark, d, lambda c: rules.gate(c, 10), "double") for d in (None, 0.0, -4.9, -5.0)] == ["SKIP", "PASS", "WARN", "FAIL"]
 
 
