@@ -5,38 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions import text, urls
+from quern.functions import markup, text, urls
 from quern.operators import rules
-from quern.plans.web import sql_route
+from quern.plans.web import RICH_SQL, rich_pages, sql_route
 from quern.registry import query
 from quern.sources.tables import table
 
 WORDS_SQL = r"len(list_filter(string_split(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \t\n\r\f]+', ' ', 'g')), ' '), lambda w: w <> ''))"
 
 
-@query(rf"""
-WITH f AS (SELECT page_id, {sql_route('url')} AS route, {WORDS_SQL} AS words, len(regexp_extract_all(html, '<a[\s>]')) AS links, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages),
-s AS (SELECT page_id,
-  CASE WHEN regexp_matches(route, '^/(en|fr)/') THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN length(title) > 20 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN words >= 300 THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END AS article,
-  CASE WHEN regexp_matches(route, '/$') THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN length(title) <= 20 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN links > 5 THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END AS listing,
-  CASE WHEN route = '/' THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN contains(lower(title), 'home') THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN words < 300 THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END AS landing FROM f)
-SELECT page_id, CASE WHEN greatest(article, listing, landing) = article THEN 'ARTICLE' WHEN greatest(article, listing, landing) = listing THEN 'LISTING' ELSE 'LANDING' END AS kind,
-  greatest(article, listing, landing) AS score FROM s
+def _content_sql() -> str:
+    """Scores of the eight types over f(page_id, url, name, words, images, depth, root, about)."""
+    images = {
+        "ARTICLE": "CASE WHEN images > 0 THEN 0.7 ELSE 0.5 END", "BLOG": "CASE WHEN images > 0 THEN 0.7 ELSE 0.5 END", "GUIDE": "CASE WHEN images > 0 THEN 0.8 ELSE 0.6 END",
+        "LANDING_PAGE": "CASE WHEN images > 0 THEN 0.8 ELSE 0.3 END", "PORTFOLIO": "CASE WHEN images::DOUBLE / greatest(words, 1) > 0.02 THEN 1 ELSE images::DOUBLE / greatest(words, 1) * 50 END",
+        "GALLERY": "CASE WHEN images::DOUBLE / greatest(words, 1) > 0.05 THEN 1 ELSE images::DOUBLE / greatest(words, 1) * 20 END", "FAQ": "CASE WHEN images <= 3 THEN 0.9 ELSE 0.5 END",
+        "DOCS": "CASE WHEN images <= 5 THEN 0.9 ELSE 0.5 END",
+    }
+    depths = {"ARTICLE": (0.2, 0.6, 0.9), "BLOG": (0.2, 0.6, 0.9), "GUIDE": (0.4, 0.8, 0.8), "LANDING_PAGE": (1, 0.6, 0.2), "PORTFOLIO": (0.4, 0.8, 0.8), "GALLERY": (0.4, 0.8, 0.8), "FAQ": (0.5, 0.9, 0.9), "DOCS": (0.5, 0.5, 0.9)}
+    out = []
+    for i, (kind, (links, titles, (low, high))) in enumerate(rules.CONTENT_TYPES.items()):
+        words = f"CASE WHEN words BETWEEN {low} AND {high} THEN 1 WHEN words < {low} THEN words::DOUBLE / {max(low, 1)} ELSE greatest(0, 1 - (words - {high})::DOUBLE / {high}) END"
+        score = (
+            f"CASE WHEN regexp_matches(url, '{'|'.join(links)}', 'i') THEN 0.35::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(name, '{'|'.join(titles)}', 'i') THEN 0.25::DOUBLE ELSE 0 END"
+            f" + ({words})::DOUBLE * 0.15::DOUBLE + ({images[kind]})::DOUBLE * 0.10::DOUBLE + ({list(depths[kind])}[least(depth, 2) + 1])::DOUBLE * 0.08::DOUBLE"
+            f" + (CASE WHEN root THEN {1 if kind == 'LANDING_PAGE' else 0.1} ELSE 0.6 END)::DOUBLE * 0.05::DOUBLE + CASE WHEN length(about) > 20 THEN 0.02::DOUBLE ELSE 0 END"
+        )
+        out.append(f"{{'s': least(1, {score}), 'o': -{i}, 'k': '{kind}'}}")
+    return f"list_sort([{', '.join(out)}], 'DESC')"
+
+
+@query(rf"""{RICH_SQL}, p AS (SELECT page_id, html, CASE page_id % 5 WHEN 0 THEN url || '/blog/x/' WHEN 1 THEN url || '/docs/api/' WHEN 2 THEN url || '/gallery/' ELSE url END AS url FROM pages_rich),
+f AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)', 1) || ' ' || regexp_extract(html, '<meta name="description" content="([^"]*)"', 1) AS name, regexp_extract(html, '<meta name="description" content="([^"]*)"', 1) AS about,
+  {WORDS_SQL} AS words, len(regexp_extract_all(html, '<img[\s>]')) AS images, CAST(len(list_filter(string_split({sql_route('url')}, '/'), lambda s: s <> '')) AS INTEGER) AS depth, {sql_route('url')} = '/' AS root FROM p),
+r AS (SELECT page_id, {_content_sql()} AS l FROM f)
+SELECT page_id, l[1].k AS kind, floor(l[1].s * 100 + 0.5) / 100 AS confidence, array_to_string(list_transform(list_filter(l[2:4], lambda e: e.s > 0.1), lambda e: e.k || ':' || CAST(CAST(floor(e.s * 100 + 0.5) AS INTEGER) AS VARCHAR)), ',') AS others FROM r
 """)
 def content_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html, title, route = F.col("html"), F.regexp_extract("html", "<title>([^<]*)", 1), urls.route(F.col("url"))
-    f = table(spark, sf_dir, "pages").select(
-        "page_id", route.alias("route"), title.alias("title"), F.size(text.words(F.regexp_replace(html, "<[^>]+>", " "))).alias("words"),
-        F.regexp_count(html, F.lit(r"<a[\s>]")).alias("links"),
+    """The content type of each page and the types that come next. Three in five pages get a
+    longer URL, as those of the table name no type."""
+    tail = F.get(F.array(F.lit("/blog/x/"), F.lit("/docs/api/"), F.lit("/gallery/")), (F.col("page_id") % 5).cast("int"))
+    p = rich_pages(spark, sf_dir).withColumn("url", F.concat("url", F.coalesce(tail, F.lit(""))))
+    html, route = F.col("html"), urls.route(F.col("url"))
+    f = p.select(
+        "page_id", "url", F.regexp_extract(html, "<title>([^<]*)", 1).alias("title"), markup.meta_content(html, "description").alias("about"),
+        F.size(text.words(F.regexp_replace(html, "<[^>]+>", " "))).alias("words"), F.size(markup.tags(html, "img")).alias("images"), F.size(urls.segments(route)).alias("depth"),
+        F.when(route == "/", "root").otherwise("article").alias("node"),
     )
-    best = rules.arg_max(
-        {
-            "ARTICLE": rules.weighted({"url": F.col("route").rlike("^/(en|fr)/"), "title": F.length("title") > 20, "words": F.col("words") >= 300}),
-            "LISTING": rules.weighted({"url": F.col("route").endswith("/"), "title": F.length("title") <= 20, "words": F.col("links") > 5}),
-            "LANDING": rules.weighted({"url": F.col("route") == "/", "title": F.contains(F.lower("title"), F.lit("home")), "words": F.col("words") < 300}),
-        }
-    )
-    return f.select("page_id", best.alias("b")).select("page_id", F.col("b.name").alias("kind"), "b.score")
+    b = f.select("page_id", rules.best_types(rules.content_scores(*map(F.col, ("url", "title", "about", "words", "images", "depth", "node")))).alias("b"))
+    others = F.transform("b.others", lambda o: F.concat(o["kind"], F.lit(":"), F.floor(o["confidence"] * 100 + 0.5).cast("string")))
+    return b.select("page_id", "b.kind", "b.confidence", F.array_join(others, ",").alias("others"))
 
 
 @query("""
@@ -98,13 +116,20 @@ def certification_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH g AS (SELECT p_brand, count(*) AS pages, avg(p_retailprice) AS price, avg(p_size) AS size FROM part GROUP BY 1)
-SELECT p_brand, pages FROM g ORDER BY pages DESC, p_brand LIMIT 3
+WITH g AS (SELECT p_partkey, p_type AS type, (p_partkey % 100) / 100.0::DOUBLE * 0.30::DOUBLE + least(1, p_size / 50.0::DOUBLE) * 0.25::DOUBLE + (CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END) * 0.20::DOUBLE
+  + (CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END) * 0.15::DOUBLE + (1 - least(1, (p_partkey % 5) / 5.0::DOUBLE)) * 0.10::DOUBLE AS score FROM part)
+SELECT p_partkey, round(score, 6) AS score FROM g ORDER BY round(score, 6) DESC, p_partkey LIMIT 3
 """)
 def featured_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A top-3 report over groups."""
-    g = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("pages"))
-    return g.orderBy(F.desc("pages"), "p_brand").limit(3)
+    """A top-3 report: nodes by confidence, words, images, description and depth, weighted; the
+    five figures follow from part keys and sizes."""
+    key = F.col("p_partkey")
+    parts = (
+        ((key % 100) / 100.0, 0.30), (F.least(F.lit(1.0), F.col("p_size") / 50.0), 0.25), (F.when(key % 2 == 0, 1.0).otherwise(0.0), 0.20),
+        (F.when(key % 3 == 0, 1.0).otherwise(0.0), 0.15), (1 - F.least(F.lit(1.0), (key % 5) / 5.0), 0.10),
+    )
+    score = F.round(rules.weighted_sum(parts), 6)
+    return table(spark, sf_dir, "part").select("p_partkey", score.alias("score")).orderBy(F.desc("score"), "p_partkey").limit(3)
 
 
 @query(r"""
