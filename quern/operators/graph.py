@@ -58,3 +58,26 @@ def _up(walk: DataFrame, parents: DataFrame) -> DataFrame:
         .otherwise(F.concat("trail", F.array("_up")))
         .alias("trail"),
     )
+
+
+def longest_levels(needs: DataFrame, max_depth: int = 1000) -> DataFrame:
+    """(node, depth) for a graph without cycles of (child, parent): the length of the longest way
+    to each node, so that ordering by it puts every parent before its children.
+
+    Each round takes off the nodes whose parents are all placed; a cycle is an error. The
+    rounds are as many as the longest way is long.
+    """
+    needs = materialize(needs.select("child", "parent").distinct(), "needs")
+    open_ = materialize(needs.select(F.explode(F.array("child", "parent")).alias("node")).distinct(), "open")
+    placed, depth = None, 0
+    while not open_.isEmpty():
+        if depth > max_depth:
+            raise ValueError("the graph has a cycle")
+        waiting = needs.join(open_.withColumnRenamed("node", "parent"), "parent", "left_semi").select(F.col("child").alias("node"))
+        level = materialize(open_.join(waiting, "node", "left_anti").withColumn("depth", F.lit(depth)), "level")
+        if level.isEmpty():
+            raise ValueError("the graph has a cycle")
+        placed = level if placed is None else placed.unionByName(level)
+        open_ = materialize(open_.join(level, "node", "left_anti"), "open")
+        depth += 1
+    return placed if placed is not None else open_.withColumn("depth", F.lit(0))
