@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions import urls
-from quern.operators import merge
-from quern.plans.web import sql_route
+from quern.functions import markup, text, urls
+from quern.operators import layouts, merge
+from quern.plans.scoring import WORDS_SQL
+from quern.plans.web import RICH_SQL, rich_pages, sql_route
 from quern.registry import query
 from quern.sources.tables import table
 
@@ -148,3 +149,97 @@ def route_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     open_ = d.filter("k % 3 = 0 and route != '/'").select((F.col("k") * 2 + 1).alias("ord"), F.regexp_replace("route", "[^/]+$", "[id]").alias("pattern"), F.lit("EXTEND").alias("action"))
     fixed = spark.createDataFrame([(900000, "/en/[...rest]", "CREATE"), (900001, "/[lang]/[page]", "IGNORE")], "ord long, pattern string, action string")
     return merge.pattern_matches(r, own.unionByName(open_).unionByName(fixed))
+
+
+_LAYOUT_SQL = "CASE page_id % 9 WHEN 0 THEN 'ArticleLayout' WHEN 1 THEN 'ArticleLayout' WHEN 2 THEN 'DocumentationLayout' WHEN 3 THEN 'LandingLayout' WHEN 4 THEN 'PortfolioLayout' WHEN 5 THEN 'GalleryLayout' WHEN 6 THEN 'DocumentationLayout' WHEN 7 THEN 'DocumentationLayout' ELSE 'ArticleLayout' END"
+
+
+@query(rf"""{RICH_SQL}, n AS (SELECT page_id, {WORDS_SQL} AS words, len(regexp_extract_all(html, '<img[\s>]')) + page_id % 6 AS images, CAST(len(list_filter(string_split({sql_route('url')}, '/'), lambda s: s <> '')) AS INTEGER) AS depth,
+  ['article', 'root', 'index', 'pagination', 'article'][page_id % 5 + 1] AS node, regexp_matches(html, '<(table|ul|ol|dl|pre|code|blockquote|details)', 'i') AS structured, {_LAYOUT_SQL} AS base FROM pages_rich)
+SELECT page_id, CASE WHEN images >= 8 THEN 'GalleryLayout' WHEN words < 50 AND images = 0 AND node = 'article' THEN 'MinimalLayout' WHEN (node IN ('root', 'index') OR depth = 0) AND base <> 'LandingLayout' THEN 'LandingLayout'
+  WHEN structured AND words > 1000 AND base = 'ArticleLayout' THEN 'DocumentationLayout' WHEN node = 'pagination' THEN 'IndexLayout' ELSE base END AS layout,
+  CAST(CASE WHEN images >= 8 THEN 0.92 WHEN words < 50 AND images = 0 AND node = 'article' THEN 0.80 WHEN (node IN ('root', 'index') OR depth = 0) AND base <> 'LandingLayout' THEN 0.85
+  WHEN structured AND words > 1000 AND base = 'ArticleLayout' THEN 0.78 WHEN node = 'pagination' THEN 0.90 ELSE 0.75 END AS DOUBLE) AS confidence FROM n""")
+def layout_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layout of each page. One in nine has no content type and counts as an article."""
+    k, html = F.col("page_id"), F.col("html")
+    content = F.get(F.array(*map(F.lit, _CONTENTS)), (k % 9).cast("int"))
+    n = rich_pages(spark, sf_dir).select(
+        k, content.alias("content"), _nth(("article", "root", "index", "pagination", "article"), k).alias("node"), F.size(urls.segments(urls.route(F.col("url")))).alias("depth"),
+        F.size(text.words(F.regexp_replace(html, "<[^>]+>", " "))).alias("words"), (F.size(markup.tags(html, "img")) + k % 6).alias("images"),
+        html.rlike("(?i)<(table|ul|ol|dl|pre|code|blockquote|details)").alias("structured"),
+    )
+    found = n.select("page_id", layouts.layout(*map(F.col, ("content", "node", "depth", "words", "images", "structured"))).alias("l"))
+    return found.select("page_id", "l.layout", "l.confidence")
+
+
+@query("""
+WITH n AS (SELECT page_id, page_id % 8 AS c, page_id % 5 AS t FROM pages)
+SELECT page_id AS id, CASE WHEN t = 1 THEN '/' WHEN t IN (2, 3) THEN ['/blog', '/blog', '/docs/[slug]', '/', '/work/[id]', '/work/[id]', '/faq', '/docs/[slug]'][c + 1]
+  ELSE ['/posts/[slug]', '/blog/[slug]', '/docs/[slug]', '/faq', '/work/[id]', '/work/[id]', '/faq', '/docs/[slug]'][c + 1] END AS route,
+  CAST(CASE WHEN t = 1 THEN 1.0 WHEN t IN (2, 3) THEN 0.85 ELSE [0.95, 0.95, 0.75, 0.75, 0.95, 0.75, 0.95, 0.95][c + 1] END AS DOUBLE) AS quality FROM n
+""")
+def slot_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The route of a blueprint that each page fills."""
+    k = F.col("page_id")
+    nodes = table(spark, sf_dir, "pages").select(k.alias("id"), _nth(_CONTENTS, k).alias("content"), _nth(("article", "root", "index", "pagination", "article"), k).alias("node"), F.lit(1).alias("depth"))
+    routes = spark.createDataFrame(
+        [(1, "/", "homepage", False), (2, "/posts/[slug]", "article", True), (3, "/blog", "blog", False), (4, "/blog/[slug]", "blog", True), (5, "/docs/[slug]", "docs", True), (6, "/faq", "faq", False), (7, "/work/[id]", "portfolio", True)],
+        "ord int, pattern string, kind string, dynamic boolean",
+    )
+    return layouts.slots(nodes, routes)
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS id, ['/api/b' || p_size, '/b' || p_size || '/:id', '/b' || p_size || '/x' || p_partkey % 7, '/w' || p_size || '/**', '/api/n' || p_size][p_partkey % 5 + 1] AS path, CASE p_partkey % 3 WHEN 0 THEN ['GET'] WHEN 1 THEN ['GET', 'POST'] ELSE ['DELETE'] END AS methods, p_partkey % 5 IN (0, 4) AS api FROM part WHERE p_partkey % 2 = 0),
+b AS (SELECT p_partkey AS id, ['/api/b' || p_size, '/b' || p_size || '/y' || p_partkey % 7, '/b' || p_size || '/:slug', '/w' || p_size || '/a/c', '/api/n' || p_size || '/k'][p_partkey % 5 + 1] AS path, ['POST', 'GET'] AS methods, p_partkey % 5 IN (0, 4) AS api FROM part WHERE p_partkey % 2 = 1),
+x AS (SELECT p.id, b.id AS other, p.path AS pp, b.path AS bp, p.api OR b.api AS api, p.api AND b.api AS both_api, len(p.methods) AS n, len(list_intersect(p.methods, b.methods)) AS shared, list_filter(string_split(p.path, '/'), lambda s: s <> '') AS ps, list_filter(string_split(b.path, '/'), lambda s: s <> '') AS bs FROM p CROSS JOIN b),
+h AS (SELECT *, CASE WHEN pp = bp THEN CASE WHEN shared > 0 AND api THEN 'BLOCK/exact' ELSE 'MERGE/exact' END WHEN ps[-1] = '**' AND ps[1] = bs[1] AND len(bs) >= len(ps) THEN 'BLOCK/wildcard'
+  WHEN len(ps) = len(bs) AND len(list_filter(range(1, len(ps) + 1), lambda i: NOT (starts_with(ps[i], ':') OR starts_with(bs[i], ':') OR ps[i] = bs[i]))) = 0 THEN CASE WHEN shared > 0 THEN 'BLOCK/parameter' ELSE 'MERGE/parameter' END END AS hit FROM x),
+f AS (SELECT id, arg_min(hit, other) AS hit, min(other) AS other FROM h WHERE hit IS NOT NULL GROUP BY id), a AS (SELECT id, min(other) AS other FROM x WHERE both_api AND starts_with(bp, pp || '/') AND shared > 0 GROUP BY id)
+SELECT p.id, CASE WHEN f.hit IS NOT NULL THEN split_part(f.hit, '/', 1) WHEN a.other IS NOT NULL THEN 'RENAME' ELSE 'SAFE' END AS resolution, CASE WHEN f.hit IS NOT NULL THEN split_part(f.hit, '/', 2) WHEN a.other IS NOT NULL THEN 'api' END AS kind, coalesce(f.other, a.other) AS other
+FROM p LEFT JOIN f USING (id) LEFT JOIN a USING (id)
+""")
+def merged_route_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes of one code base (even parts) against those of another (odd parts)."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    say = lambda *c: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in c))
+    part = table(spark, sf_dir, "part")
+    mine = F.array(say("/api/b", size), say("/b", size, "/:id"), say("/b", size, "/x", (k % 7).cast("string")), say("/w", size, "/**"), say("/api/n", size))
+    theirs = F.array(say("/api/b", size), say("/b", size, "/y", (k % 7).cast("string")), say("/b", size, "/:slug"), say("/w", size, "/a/c"), say("/api/n", size, "/k"))
+    verbs = lambda *v: F.array(*map(F.lit, v))
+    api = (k % 5).isin(0, 4)
+    p = part.filter(k % 2 == 0).select(k.alias("id"), F.get(mine, (k % 5).cast("int")).alias("path"), F.when(k % 3 == 0, verbs("GET")).when(k % 3 == 1, verbs("GET", "POST")).otherwise(verbs("DELETE")).alias("methods"), api.alias("api"))
+    b = part.filter(k % 2 == 1).select(k.alias("id"), F.get(theirs, (k % 5).cast("int")).alias("path"), verbs("POST", "GET").alias("methods"), api.alias("api"))
+    return layouts.collisions(p, b)
+
+
+@query("""
+WITH d AS (SELECT o_custkey, avg(o_orderkey % 100) * 0.25::DOUBLE + avg(o_orderkey * 3 % 100) * 0.30::DOUBLE + avg(o_orderkey * 7 % 100) * 0.20::DOUBLE + avg(o_orderkey * 9 % 100) * 0.15::DOUBLE + avg(o_orderkey * 11 % 100) * 0.10::DOUBLE AS w FROM orders GROUP BY 1),
+r AS (SELECT o_custkey, CAST(least(100, floor(round(w, 9) + 0.5)) AS BIGINT) AS risk FROM d) SELECT *, CASE WHEN risk <= 10 THEN 'A' WHEN risk <= 30 THEN 'B' WHEN risk <= 50 THEN 'C' WHEN risk <= 70 THEN 'D' ELSE 'F' END AS grade FROM r
+""")
+def simulation_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risk of a simulated merge: routes, database, components, APIs and assets, weighted; graded."""
+    weights = ((1, 0.25), (3, 0.30), (7, 0.20), (9, 0.15), (11, 0.10))
+    k = F.col("o_orderkey")
+    d = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(*(F.avg(k * m % 100).alias(f"d{m}") for m, _ in weights))
+    total = sum((F.col(f"d{m}") * w for m, w in weights[1:]), F.col("d1") * 0.25)
+    r = d.select("o_custkey", F.least(F.lit(100), F.floor(F.round(total, 9) + 0.5)).cast("long").alias("risk"))
+    return r.withColumn("grade", F.when(F.col("risk") <= 10, "A").when(F.col("risk") <= 30, "B").when(F.col("risk") <= 50, "C").when(F.col("risk") <= 70, "D").otherwise("F"))
+
+
+@query("""
+WITH c AS (SELECT event_id, ['structureChanged', 'titleChanged', 'metadataChanged', 'wordCount', 'imageSetChanged'][event_id % 5 + 1] AS reason, ['new', 'changed', 'deleted'][event_id % 3 + 1] AS class FROM events)
+SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'critical' WHEN event_id % 5 IN (1, 4) THEN 'high' WHEN event_id % 5 = 2 THEN 'normal' WHEN class = 'new' THEN 'high' WHEN class = 'deleted' THEN 'low' ELSE 'normal' END AS priority FROM c
+""")
+def regeneration_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How urgent a changed page is, by its reasons, then its class."""
+    k = F.col("event_id")
+    reasons = F.array(_nth(("structureChanged", "titleChanged", "metadataChanged", "wordCount", "imageSetChanged"), k))
+    class_ = _nth(("new", "changed", "deleted"), k)
+    has = lambda *r: F.arrays_overlap(reasons, F.array(*map(F.lit, r)))
+    priority = (
+        F.when(has("structureChanged", "contentHashChanged"), "critical").when(has("titleChanged", "imageSetChanged"), "high").when(has("metadataChanged"), "normal")
+        .when(class_ == "new", "high").when(class_ == "deleted", "low").otherwise("normal")
+    )
+    return table(spark, sf_dir, "events").select(k, priority.alias("priority"))
