@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -60,25 +61,61 @@ def legal(before: Column, now: Column) -> Column:
     return before.isNull() | F.coalesce(F.try_element_at(allowed, F.concat_ws(">", before, now)), F.lit(False))
 
 
+#: A user's last event is forgotten after so many milliseconds of event time without another.
+FORGET_MS = 24 * 3600 * 1000
+
+
 def _step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    last = state.get[0] if state.exists else None
-    rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+    """Holds events back until the watermark passes them, then takes them in order of time."""
+    last, waiting = None, []
+    if state.exists:
+        last, times, ids, kinds = state.get
+        waiting = list(zip(times, ids, kinds, strict=True))
+    due = state.getCurrentWatermarkMs()
+    if not state.hasTimedOut:
+        for rows in frames:
+            micros = rows["ts"].astype("datetime64[us]").astype("int64")
+            waiting += [(int(t), int(i), k) for t, i, k in zip(micros, rows["event_id"], rows["event_type"], strict=True) if t >= due * 1000]
+    waiting.sort()
+    ready = [w for w in waiting if w[0] < due * 1000]
+    waiting = waiting[len(ready) :]
     wrong = []
-    for event_id, kind in zip(rows["event_id"], rows["event_type"], strict=True):
+    for _, event_id, kind in ready:
         if last is not None and kind not in NEXT.get(last, ()):
             wrong.append((key[0], event_id, last, kind))
         last = kind
-    state.update((last,))
-    state.setTimeoutDuration(24 * 3600 * 1000)
+    if state.hasTimedOut and not ready and not waiting:
+        state.remove()
+    else:
+        state.update((last, [w[0] for w in waiting], [w[1] for w in waiting], [w[2] for w in waiting]))
+        state.setTimeoutTimestamp(waiting[0][0] // 1000 + 1 if waiting else due + FORGET_MS)
     yield pd.DataFrame(wrong, columns=["user_id", "event_id", "before", "event_type"])
 
 
-def transitions(events: DataFrame) -> DataFrame:
-    """Illegal transitions of each user, the last event kept as state and given up after a
-    day without one. Order holds within a micro-batch."""
-    return events.groupBy("user_id").applyInPandasWithState(
-        _step, "user_id long, event_id long, before string, event_type string", "last string", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+def transitions(events: DataFrame, late: str = "2 hours") -> DataFrame:
+    """Illegal transitions of each user in order of event time, across micro-batches.
+
+    An event waits in the state until the watermark (``late`` behind the newest event) has
+    passed it; one that comes later than that is not counted. A user's last event is kept
+    for a day of event time. A stream that ends leaves its last ``late`` of events waiting.
+    """
+    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(
+        _step, "user_id long, event_id long, before string, event_type string", "last string, times array<long>, ids array<long>, kinds array<string>",
+        "append", GroupStateTimeout.EventTimeTimeout,
+    )
+
+
+def report_sink(folder: str, keep: int = 1000):
+    """For ``foreachBatch``: keeps the newest ``keep`` events of the stream as one JSON report in
+    ``folder``/n, n the batch, written anew with each; a batch that is tried again writes the same."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        newest = batch
+        try:
+            newest = batch.unionByName(batch.sparkSession.read.schema(batch.schema).json(f"{folder}/{n - 1}"))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        newest.orderBy(F.desc("ts"), F.desc("event_id")).limit(keep).coalesce(1).write.mode("overwrite").json(f"{folder}/{n}")
+
+    return write

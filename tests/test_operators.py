@@ -1,7 +1,11 @@
+import datetime
 import math
+import time
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quern.catalog import QUERIES
 from quern.functions import text, urls
 from quern.operators import diff, failures, graph, ordered, rules
 from quern.sources import tables
@@ -95,6 +99,37 @@ def test_streams_agree_with_batches(spark, tmp_path):
     assert hours[0] == batch.count() and math.isclose(hours[1], batch.agg(F.sum("value")).first()[0])
     twice = events.deduplicated(stream.unionAll(stream))
     assert run_stream(spark, tmp_path, twice, "once", "append").count() == batch.count()
-    wrong = run_stream(spark, tmp_path, events.transitions(stream), "wrong", "append")
-    w = F.lag("event_type").over(__import__("pyspark").sql.Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    assert wrong.count() == batch.withColumn("before", w).filter(~events.legal(F.col("before"), F.col("event_type"))).count()
+    rows = run_stream(spark, tmp_path, events.sessions(stream), "open", "append").collect()
+    ended = {(r.user_id, r.n) for r in rows}
+    assert ended and ended <= {(r.user_id, r.n) for r in QUERIES["sessions"](spark, "/root/testdata/sf0.001").collect()}
+    assert run_stream(spark, tmp_path, events.envelope(stream), "wrapped", "append").count() == batch.count()
+
+
+def test_transitions_follow_event_time_across_batches(spark, tmp_path):
+    batch = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    # Each file is a micro-batch; within an hour, events of odd ids come a file later.
+    hour = F.floor(F.unix_timestamp("ts") / 200_000) + F.when(F.col("event_id") % 2 == 1, 1).otherwise(0)
+    parts = batch.withColumn("part", hour)
+    numbers = sorted(r.part for r in parts.select("part").distinct().collect())
+    for n in numbers:
+        parts.filter(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    end = batch.limit(1).withColumns({"ts": F.timestamp_micros(F.lit(4_000_000_000_000_000)), "user_id": F.lit(-1).cast("long"), "event_id": F.lit(-1).cast("long")})
+    for _ in range(2):
+        end.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = events.read_events(spark, str(tmp_path / "in"), max_files=1)
+    wrong = run_stream(spark, tmp_path, events.transitions(stream, late="30 days"), "wrong", "append")
+    w = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    want = batch.withColumn("before", w).filter(~events.legal(F.col("before"), F.col("event_type"))).select("user_id", "event_id", "before", "event_type")
+    assert sorted(map(tuple, wrong.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_the_report_holds_the_newest_events(spark, tmp_path):
+    for a, b in ((0, 3), (3, 5)):
+        rows = [(i, datetime.datetime(2026, 1, 1, i), 1, "view", 1.0, None) for i in range(a, b)]
+        spark.createDataFrame(rows, events.SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q = events.read_events(spark, str(tmp_path / "in"), max_files=1).writeStream.foreachBatch(events.report_sink(str(tmp_path / "report"), keep=3))
+    q = q.option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert q.exception() is None
+    assert sorted(r.event_id for r in spark.read.json(str(tmp_path / "report" / "1")).collect()) == [2, 3, 4]
