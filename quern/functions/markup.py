@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quern.functions import urls
+from quern.functions.binding import bound
 
 #: Attributes that hold the image of a lazily loaded tag, in order of preference.
 LAZY = ("data-src", "data-original", "data-lazy-src", "data-lazy", "data-defer-src", "data-echo", "data-cfsrc", "data-img-src", "data-delayed-src")
@@ -162,14 +163,14 @@ def images(html: Column, url: Column) -> Column:
         found(F.array_compact(F.transform(imgs, lambda t: best_of_srcset(attribute(t, "srcset")))), "srcset_best"),
         found(F.flatten(F.transform(F.regexp_extract_all(shown, F.lit(r"""(?i)\sstyle\s*=\s*"([^"]*)\""""), F.lit(1)), css_backgrounds)), "css_background_inline"),
     )
-    resolved = F.transform(candidates, lambda c: F.struct(urls.normalize(urls.resolve(url, c["raw"]), ("",)).alias("url"), c["method"].alias("method")))
-    return _first_of(F.filter(resolved, lambda c: c["url"].isNotNull()), "url")
+    full = lambda raw: bound(urls.resolve(url, raw), lambda link: urls.normalize(link, ("",)))
+    resolved = F.transform(candidates, lambda c: F.named_struct(F.lit("url"), full(c["raw"]), F.lit("method"), c["method"]))
+    return bound(F.filter(resolved, lambda c: c["url"].isNotNull()), lambda rows: _first_of(rows, "url"))
 
 
 def _first_of(rows: Column, key: str) -> Column:
     """The first struct of each ``key``, in order."""
-    keys = F.transform(rows, lambda r: r[key])
-    return F.filter(rows, lambda r, i: F.array_position(keys, r[key]) == i + 1)
+    return bound(F.transform(rows, lambda r: r[key]), lambda keys: F.filter(rows, lambda r, i: F.array_position(keys, r[key]) == i + 1))
 
 
 def embed_provider(host: Column) -> Column:
@@ -182,7 +183,11 @@ def embed_provider(host: Column) -> Column:
 
 def embed_canonical(url: Column) -> Column:
     """The page that an embed shows; null where its URL does not tell."""
-    host, path = urls.host(url), urls.route(url)
+    parts = F.struct(url.alias("url"), urls.host(url).alias("host"), urls.route(url).alias("path"), embed_provider(urls.host(url))["provider"].alias("kind"))
+    return bound(parts, lambda p: _canonical(p["url"], p["host"], p["path"], p["kind"]))
+
+
+def _canonical(url: Column, host: Column, path: Column, kind: Column) -> Column:
 
     def part(pattern: str, before: str) -> Column:
         found = F.regexp_extract(path, pattern, 1)
@@ -193,7 +198,6 @@ def embed_canonical(url: Column) -> Column:
     keyed = F.regexp_extract(url, "[?&]v=([^&#]+)", 1)
     youtube = F.coalesce(part(r"/embed/([a-zA-Z0-9_-]{11})", watch), short, F.when(keyed != "", F.concat(F.lit(watch), keyed)))
     track = F.regexp_extract(url, "[?&]url=([^&#]+)", 1)
-    kind = embed_provider(host)["provider"]
     return (
         F.when(kind == "youtube", youtube)
         .when(kind == "vimeo", F.coalesce(part("/video/([0-9]+)", "https://vimeo.com/"), part("^/([0-9]+)", "https://vimeo.com/")))
@@ -218,22 +222,23 @@ def embeds(html: Column, url: Column) -> Column:
     def native(name: str) -> Column:
         inside = F.array_join(F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b[^>]*>(.*?)</{name}>"), F.lit(1)), " ")
         both = F.concat(values(html, name, "src"), values(inside, "source", "src"))
-        return F.transform(F.filter(both, lambda s: ~s.startswith("data:")), lambda s: made(urls.resolve(url, s), f"native_{name}", name))
+        links = F.transform(F.filter(both, lambda s: ~s.startswith("data:")), lambda s: urls.resolve(url, s))
+        return F.transform(links, lambda link: made(link, F.lit(f"native_{name}"), F.lit(name), link))
 
-    def made(link: Column, provider: str, media: str) -> Column:
-        return F.struct(link.alias("url"), F.lit(provider).alias("provider"), F.lit(media).alias("media"), link.alias("canonical"))
+    def made(link: Column, provider: Column, media: Column, canonical: Column) -> Column:
+        return F.named_struct(F.lit("url"), link, F.lit("provider"), provider, F.lit("media"), media, F.lit("canonical"), canonical)
 
     def framed(src: Column) -> Column:
-        link = urls.resolve(url, src)
-        kind = embed_provider(urls.host(link))
-        return F.struct(link.alias("url"), kind["provider"].alias("provider"), kind["media"].alias("media"), embed_canonical(link).alias("canonical"))
+        kind = lambda link: bound(embed_provider(urls.host(link)), lambda k: made(link, k["provider"], k["media"], embed_canonical(link)))
+        return bound(urls.resolve(url, src), kind)
 
     frames = F.array_compact(F.transform(tags(html, "iframe"), lambda t: F.coalesce(F.nullif(attribute(t, "src"), F.lit("")), attribute(t, "data-src"))))
     frames = F.filter(frames, lambda s: (s != "") & ~s.rlike("^(about:|javascript:|data:)"))
     heard = F.filter(F.transform(hrefs(html), lambda h: urls.resolve(url, h)), is_audio)
-    rows = F.concat(native("video"), native("audio"), F.transform(frames, framed), F.transform(heard, lambda link: made(link, "unknown_audio", "audio")))
-    keyed = F.transform(rows, lambda r: r.withField("key", F.regexp_replace(F.lower(F.trim(r["url"])), "#.*$", "")))
-    return F.transform(_first_of(F.filter(keyed, lambda r: r["url"].isNotNull()), "key"), lambda r: r.dropFields("key"))
+    heard = F.transform(heard, lambda link: made(link, F.lit("unknown_audio"), F.lit("audio"), link))
+    rows = F.concat(native("video"), native("audio"), F.transform(frames, framed), heard)
+    keyed = F.transform(rows, lambda r: F.named_struct(F.lit("key"), F.regexp_replace(F.lower(F.trim(r["url"])), "#.*$", ""), F.lit("r"), r))
+    return bound(F.filter(keyed, lambda k: k["key"].isNotNull()), lambda rows_: F.transform(_first_of(rows_, "key"), lambda k: k["r"]))
 
 
 #: Labels of what pages of a framework hold, with the patterns.
@@ -282,7 +287,10 @@ def next_page(html: Column, url: Column) -> Column:
     host that names the page number after this one's; null where there is none."""
     linked = F.concat(_with(html, "a", rel="next"), _with(html, "link", rel="next"))
     by_rel = F.get(F.filter(F.transform(linked, lambda t: urls.resolve(url, attribute(t, "href"))), lambda u: u.isNotNull()), 0)
-    anchors = F.regexp_extract_all(html, F.lit(r"(?is)<a\s[^>]*>.*?</a>"), F.lit(0))
+    return F.coalesce(by_rel, bound(F.regexp_extract_all(html, F.lit(r"(?is)<a\s[^>]*>.*?</a>"), F.lit(0)), lambda anchors: _next_of(anchors, url)))
+
+
+def _next_of(anchors: Column, url: Column) -> Column:
     says = r"(?i)^(next|next\s*page|›|»|→|>|&gt;)$"
 
     def says_next(a: Column) -> Column:
@@ -295,7 +303,7 @@ def next_page(html: Column, url: Column) -> Column:
     same = lambda u: u.isNotNull() & (urls.authority(u) == urls.authority(url))
     by_text = F.get(F.filter(F.transform(F.filter(anchors, says_next), target), same), 0)
     by_number = F.get(F.filter(F.transform(anchors, target), lambda u: same(u) & urls.is_page_of_list(u, urls.page_number(url) + 1)), 0)
-    return F.coalesce(by_rel, by_text, by_number)
+    return F.coalesce(by_text, by_number)
 
 
 def resources(html: Column, url: Column) -> Column:
@@ -320,5 +328,5 @@ def resources(html: Column, url: Column) -> Column:
         group(r"""(?i)<(?:video|audio)[^>]+src=["']([^"']+)["']""", "media"),
     )
     rows = F.filter(rows, lambda r: ~r["raw"].startswith("#") & ~((r["kind"] == "css") & r["raw"].startswith("data:")))
-    made = F.transform(rows, lambda r: F.struct(urls.resolve(url, r["raw"]).alias("url"), r["kind"].alias("kind")))
-    return _first_of(F.filter(made, lambda r: r["url"].isNotNull()), "url")
+    made = F.transform(rows, lambda r: F.named_struct(F.lit("url"), urls.resolve(url, r["raw"]), F.lit("kind"), r["kind"]))
+    return bound(F.filter(made, lambda r: r["url"].isNotNull()), lambda found: _first_of(found, "url"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.binding import bound
+
 #: Lowest score of each grade, best first.
 GRADES = {
     "qa": ((95, "A+"), (85, "A"), (75, "B"), (65, "C"), (50, "D")),
@@ -154,12 +156,13 @@ def hsl_hex(h: Column, s: Column, light: Column) -> Column:
     s, light = s / 100.0, light / 100.0
     span = s * F.least(light, 1 - light)
 
-    def channel(n: int) -> Column:
-        k = (F.lit(float(n)) + h / 30.0) % 12
-        value = light - span * F.greatest(F.least(k - 3, 9 - k, F.lit(1.0)), F.lit(-1.0))
+    def channel(n: int, p: Column) -> Column:
+        k = (F.lit(float(n)) + p["h"] / 30.0) % 12
+        value = p["light"] - p["span"] * F.greatest(F.least(k - 3, 9 - k, F.lit(1.0)), F.lit(-1.0))
         return F.lpad(F.hex(js_round(255 * value).cast("long")), 2, "0")
 
-    return F.lower(F.concat(F.lit("#"), channel(0), channel(8), channel(4)))
+    parts = F.struct(h.alias("h"), light.alias("light"), span.alias("span"))
+    return bound(parts, lambda p: F.lower(F.concat(F.lit("#"), channel(0, p), channel(8, p), channel(4, p))))
 
 
 def normalize_color(raw: Column) -> Column:
@@ -185,9 +188,8 @@ def hsl_distance(a: Column, b: Column) -> Column:
 
 def color_scale(hex_: Column) -> Column:
     """Nine tones of a colour, 100 the lightest: map of stop to ``#rrggbb``."""
-    c = rgb(hex_)
-    base = hsl(c["r"], c["g"], c["b"])
-    return F.create_map(*(x for i, tone in enumerate(range(90, 0, -10)) for x in (F.lit(str((i + 1) * 100)), hsl_hex(base["h"], base["s"], F.lit(tone)))))
+    tones = lambda base: F.create_map(*(x for i, tone in enumerate(range(90, 0, -10)) for x in (F.lit(str((i + 1) * 100)), hsl_hex(base["h"], base["s"], F.lit(tone)))))
+    return bound(rgb(hex_), lambda c: bound(hsl(c["r"], c["g"], c["b"]), tones))
 
 
 def palette_similarity(source: Column, made: Column) -> Column:

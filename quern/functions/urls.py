@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.binding import bound
+
 #: Query parameters that do not tell pages apart.
 TRACKING = (
     "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "utm_reader", "fbclid", "gclid", "gclsrc",
@@ -98,7 +100,7 @@ def resolve(base: Column, href: Column) -> Column:
         .when(link.startswith("#"), F.concat(F.regexp_replace(F.trim(base), "#.*$", ""), link))
         .otherwise(F.concat(origin, folder, link))
     )
-    return F.when(whole.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]"), _tidy(whole)).otherwise(whole)
+    return bound(whole, lambda w: F.when(w.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]"), _tidy(w)).otherwise(w))
 
 
 def _tidy(url: Column) -> Column:
@@ -115,7 +117,7 @@ def _tidy(url: Column) -> Column:
 
 
 def resolve_normalized(base: Column, href: Column) -> Column:
-    return normalize(resolve(base, href))
+    return bound(resolve(base, href), lambda link: normalize(link))
 
 
 #: Paths and extensions that a page link may not have.

@@ -202,7 +202,7 @@ def page_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""
+@query(rf"""
 WITH r AS (SELECT page_id, {sql_host('url')} AS seed, unnest([{sql_host('url')}, 'assets.' || {sql_host('url')}, ['cdn.jsdelivr.net', 'x.cloudfront.net', 'example.net', ''][page_id % 4 + 1]]) AS h FROM pages)
 SELECT page_id, h AS host, CASE WHEN h = '' THEN 'data-uri' WHEN h = seed THEN 'same-domain' WHEN h = regexp_replace(seed, '^www\.', '') OR ends_with(h, '.' || regexp_replace(seed, '^www\.', '')) THEN 'subdomain'
   WHEN h IN ('cdn.jsdelivr.net', 'x.cloudfront.net') THEN 'cdn' ELSE 'external' END AS origin FROM r
