@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans import crawl, extract, failures, health, history, joins, merge, rollups, scalars, scoring, site, stream, web  # noqa: F401  they register
+from quern.plans import crawl, extract, failures, health, history, joins, merge, rollups, scalars, scores, scoring, site, stream, web  # noqa: F401  they register
 from quern.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -51,7 +51,7 @@ def stage_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH d AS (SELECT o_orderstatus, (epoch_us(max(l_shipdate)) - epoch_us(max(o_orderdate))) // 1000 AS ms
   FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus)
-SELECT o_orderstatus, count(*) AS n, CAST(sum(ms) AS BIGINT) AS total_ms, max(ms) AS longest_ms FROM d GROUP BY o_orderstatus
+SELECT o_orderstatus, count(*) AS n, CAST(floor(avg(ms) + 0.5) AS BIGINT) AS mean_ms, CAST(sum(ms) AS BIGINT) AS total_ms, max(ms) AS longest_ms FROM d GROUP BY o_orderstatus
 """)
 def latency_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Ship dates combine per order before the join: one row an order is shuffled.
@@ -59,7 +59,7 @@ def latency_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = table(spark, sf_dir, "orders").join(last, F.col("l_orderkey") == F.col("o_orderkey"))
     ms = F.expr("timestampdiff(MICROSECOND, o_orderdate, z) div 1000")
     return jobs.select("o_orderstatus", ms.alias("ms")).groupBy("o_orderstatus").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("ms").alias("total_ms"), F.max("ms").alias("longest_ms")
+        F.count(F.lit(1)).alias("n"), F.floor(F.avg("ms") + 0.5).cast("long").alias("mean_ms"), F.sum("ms").alias("total_ms"), F.max("ms").alias("longest_ms")
     )
 
 
@@ -108,12 +108,12 @@ def _grade_sql(score: str, scale: str) -> str:
 
 @query(f"""
 SELECT event_id, {_grade_sql('value * 2', 'qa')} AS qa, {_grade_sql('value * 2', 'reconstruction')} AS reconstruction,
-  {_grade_sql('value / 50', 'similarity')} AS similarity FROM events
+  {_grade_sql('value / 50', 'similarity')} AS similarity, {_grade_sql('value * 2', 'certification')} AS certification FROM events
 """)
 def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
     return table(spark, sf_dir, "events").select(
-        "event_id", letter_grade(v * 2, "qa").alias("qa"), letter_grade(v * 2, "reconstruction").alias("reconstruction"), letter_grade(v / 50, "similarity").alias("similarity")
+        "event_id", letter_grade(v * 2, "qa").alias("qa"), letter_grade(v * 2, "reconstruction").alias("reconstruction"), letter_grade(v / 50, "similarity").alias("similarity"), letter_grade(v * 2, "certification").alias("certification"),
     )
 
 

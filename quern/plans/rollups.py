@@ -226,3 +226,23 @@ def completed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each URL of a job once, by the first event that completes it, however often it is marked."""
     e = table(spark, sf_dir, "events").select(F.concat(F.lit("k"), (F.col("user_id") % 7).cast("string")).alias("job"), F.concat(F.lit("u"), (F.col("event_id") % 40).cast("string")).alias("url"), "event_id")
     return e.groupBy("job", "url").agg(F.min("event_id").alias("first_event"))
+
+
+@query(SNAP_SQL + """, d AS (UNPIVOT (SELECT event_id, fidelity, coverage, assets, effect FROM s) ON fidelity, coverage, assets, effect INTO NAME dimension VALUE v), t(dimension, warn, crit) AS (VALUES ('fidelity', 60, 40), ('coverage', 80, 60), ('assets', 85, 70), ('effect', 40, 0))
+SELECT event_id, dimension, CASE WHEN v < crit THEN 'CRITICAL' ELSE 'WARN' END AS severity FROM d JOIN t USING (dimension) WHERE v < warn""")
+def dimension_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of each snapshot for every dimension below its thresholds; higher is better."""
+    long = snapshots(spark, sf_dir).unpivot("event_id", list(DIMENSIONS), "dimension", "v")
+    limit = lambda i: F.try_element_at(F.create_map(*(F.lit(x) for k, t in THRESHOLDS.items() for x in (k, t[i]))), F.col("dimension"))
+    return long.filter(F.col("v") < limit(0)).select("event_id", "dimension", F.when(F.col("v") < limit(1), "CRITICAL").otherwise("WARN").alias("severity"))
+
+
+@query("""
+WITH r AS (SELECT s_suppkey AS id, ['immediate', 'urgent', 'planned', 'optional'][s_suppkey % 4 + 1] AS urgency, s_suppkey % 4 AS rank FROM supplier) SELECT id, urgency, CAST(row_number() OVER (ORDER BY rank, id) AS BIGINT) AS place FROM r
+""")
+def repair_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repairs (suppliers) in order of urgency, ranked in ranges."""
+    k = F.col("s_suppkey")
+    urgency = F.get(F.array(*map(F.lit, ("immediate", "urgent", "planned", "optional"))), (k % 4).cast("int"))
+    r = table(spark, sf_dir, "supplier").select(k.alias("id"), urgency.alias("urgency"), (k % 4).cast("double").alias("rank_"))
+    return ordered.ranked_total(r, "rank_", [F.col("id")], F.lit(1)).select("id", "urgency", F.col("rank").alias("place"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import markup, paths, text, urls
-from quern.plans.web import RICH_SQL, rich_pages, sql_host, sql_normalize, sql_resolve, sql_route
+from quern.operators import graph
+from quern.plans.web import LINKS_SQL, RICH_SQL, page_links, rich_pages, sql_host, sql_normalize, sql_resolve, sql_route
 from quern.registry import query
 from quern.sources.tables import table
 
@@ -252,3 +253,36 @@ def component_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = r.agg(F.countDistinct("l_orderkey")).first()[0]
     g = r.groupBy("type", "width", "height").agg(F.count(F.lit(1)).alias("regions"), F.countDistinct("l_orderkey").alias("pages"))
     return g.withColumn("is_global", F.col("pages") >= 0.5 * total)
+
+
+@query(rf"""{LINKS_SQL}, e AS (SELECT {sql_normalize('url')} AS parent, {sql_normalize('link')} AS child, {sql_host('url')} AS own, link FROM made),
+a AS (SELECT DISTINCT parent, child FROM e WHERE regexp_matches(link, '^https?://', 'i') AND {sql_host('link')} = own AND NOT regexp_matches({sql_route('link')}, '{urls.BLOCKED_EXTENSION}') AND NOT regexp_matches({sql_route('link')}, '{urls.BLOCKED_PATH}')),
+f AS (SELECT DISTINCT {sql_normalize('url')} AS node, 0 AS depth FROM pages WHERE page_id % 10 = 0), g AS (SELECT * FROM f UNION SELECT child, 1 FROM a JOIN f ON parent = node), h AS (SELECT * FROM g UNION SELECT child, 2 FROM a JOIN g ON parent = node AND depth = 1), i AS (SELECT * FROM h UNION SELECT child, 3 FROM a JOIN h ON parent = node AND depth = 2)
+SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM i GROUP BY node""")
+def frontier_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breadth first over the links that a crawl admits, three levels from every tenth page."""
+    pages = rich_pages(spark, sf_dir)
+    links = page_links(pages).filter(urls.skip_reason(F.col("link"), urls.host(F.col("url"))).isNull())
+    edges = links.select(urls.normalize(F.col("url")).alias("parent"), urls.normalize(F.col("link")).alias("child"))
+    roots = pages.filter("page_id % 10 = 0").select(urls.normalize(F.col("url")).alias("node"))
+    return graph.levels(edges, roots, max_depth=3)
+
+
+@query(rf"""{LINKS_SQL}, r AS (SELECT 'route-link' AS kind, page_id, link AS target FROM made UNION SELECT 'route-layout', page_id, ['Article', 'Grid', 'Landing'][page_id % 3 + 1] FROM pages
+  UNION SELECT 'route-component', page_id, unnest(regexp_extract_all(html, 'class="([^"]*)"', 1)) FROM pages_rich)
+SELECT kind, count(*) AS edges, count(DISTINCT target) AS targets FROM r GROUP BY kind""")
+def relationship_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges from pages to links, layouts (by number) and components (classes), once each."""
+    pages = rich_pages(spark, sf_dir)
+    layout = F.get(F.array(*map(F.lit, ("Article", "Grid", "Landing"))), (F.col("page_id") % 3).cast("int"))
+    classes = F.explode(text.extract_all(F.col("html"), 'class="([^"]*)"'))
+    kinds = {
+        "route-link": page_links(pages).select("page_id", F.col("link").alias("target")),
+        "route-layout": pages.select("page_id", layout.alias("target")),
+        "route-component": pages.select("page_id", classes.alias("target")),
+    }
+    every = None
+    for kind, df in kinds.items():
+        e = df.select(F.lit(kind).alias("kind"), "page_id", "target")
+        every = e if every is None else every.unionByName(e)
+    return every.distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("target").alias("targets"))
