@@ -117,12 +117,17 @@ def _explode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _counts(told: pa.Table, hashes: np.ndarray, ok: np.ndarray) -> np.ndarray:
     """The count of the n-gram at each word, 0 where there is none or too few documents hold it."""
     grams, counts = (np.ascontiguousarray(told[c].to_numpy()) for c in ("gram", "c"))
-    if not len(grams):
-        return np.zeros(len(hashes), np.int64)
+    out = np.zeros(len(hashes), np.int64)
+    at = np.flatnonzero(ok)
+    if not len(grams) or not len(at):
+        return out
     order = np.argsort(grams)
-    grams, counts, wanted = grams[order], counts[order], hashes.view(np.int64)
-    at = np.minimum(np.searchsorted(grams, wanted), len(grams) - 1)
-    return np.where(ok & (grams[at] == wanted), counts[at], 0)
+    grams, counts, wanted = grams[order], counts[order], hashes.view(np.int64)[at]
+    turn = np.argsort(wanted)  # in order the searches touch neighbours, which is faster by more than the sort takes
+    at, wanted = at[turn], wanted[turn]
+    place = np.minimum(np.searchsorted(grams, wanted), len(grams) - 1)
+    out[at] = np.where(grams[place] == wanted, counts[place], 0)
+    return out
 
 
 def _explode(n: int):
@@ -132,7 +137,7 @@ def _explode(n: int):
         out = [_distinct(0, np.empty(0, np.uint64), np.empty(0, np.int64))]
         for row in chunks.to_pylist():
             bounds, grams = ngrams(_unpack(row["blob"], row["lengths"]), n)
-            held = _counts(told, *grams[n - 2]) > 0
+            held = _counts(told, *grams[n - 2]) > 0  # also says that both lie in one text
             hashes, ok = grams[n - 1]
             ok = ok & held & np.concatenate([[False], held[:-1]])[: len(held)]
             out.append(_distinct(row["chunk"], hashes[ok], _texts_of(bounds)[ok]))
