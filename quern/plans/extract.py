@@ -9,6 +9,7 @@ from quern.functions import markup, text, urls
 from quern.operators import frameworks
 from quern.plans.web import LINKS_SQL, RICH_SQL, rich_pages, sql_authority, sql_normalize, sql_resolve
 from quern.registry import query
+from quern.sources.tables import table
 
 BEST_SQL = """list_sort(list_transform(list_filter(list_transform(string_split({0}, ','), lambda p: trim(p)), lambda p: p <> ''), lambda p, i:
   {{'w': coalesce(try_cast(nullif(regexp_extract(p, ' ([0-9]+)w$', 1), '') AS INTEGER), -1), 'd': coalesce(try_cast(nullif(regexp_extract(p, ' ([0-9.]+)x$', 1), '') AS DOUBLE), -1.0), 'i': -i, 'u': split_part(p, ' ', 1)}}), 'DESC')[1].u"""
@@ -217,3 +218,41 @@ def meta_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", F.coalesce(F.try_element_at("m", F.lit("generator")), F.lit("")).alias("generator"), F.size("m").alias("names"),
         F.size(F.split(text.strip_tags(F.col("html")), " ")).alias("pieces"),
     )
+
+
+_FILES = (
+    ("package.json", '{"dependencies": {"next": "15", "react": "19", "react-dom": "19"}}'), ("pages/_app.tsx", "x"), ("astro.config.mjs", None), ("src/pages/a.astro", ""),
+    ("server/index.js", "const app = express()"), ("routes/web.php", ""), ("artisan", ""), ("wp-config.php", ""), ("style.css", "/* Theme Name: T */"),
+)
+
+
+@query("""
+WITH f AS (SELECT p_partkey % 40 AS base, p_partkey // 40 % 9 AS k FROM part), h AS (SELECT base, max(CASE WHEN k = 0 THEN 1 ELSE 0 END) AS a, max(CASE WHEN k = 1 THEN 1 ELSE 0 END) AS b, max(CASE WHEN k = 2 THEN 1 ELSE 0 END) AS c, max(CASE WHEN k = 3 THEN 1 ELSE 0 END) AS d, max(CASE WHEN k = 4 THEN 1 ELSE 0 END) AS e,
+  max(CASE WHEN k = 5 THEN 1 ELSE 0 END) AS f, max(CASE WHEN k = 6 THEN 1 ELSE 0 END) AS g, max(CASE WHEN k = 7 THEN 1 ELSE 0 END) AS h, max(CASE WHEN k = 8 THEN 1 ELSE 0 END) AS i FROM f GROUP BY base),
+s AS (SELECT base, list_sort([{'s': 60 * a + 20 * b, 'o': 0, 'n': 'nextjs', 'm': 115}, {'s': 30 * a + 10 * b, 'o': -1, 'n': 'react', 'm': 80}, {'s': 20 * c + 20 * d, 'o': -2, 'n': 'astro', 'm': 100}, {'s': 20 * e + 10 * f, 'o': -3, 'n': 'express', 'm': 80}, {'s': 20 * g + 15 * f, 'o': -4, 'n': 'laravel', 'm': 125}, {'s': 60 * h + 20 * i, 'o': -5, 'n': 'wordpress', 'm': 160}], 'DESC') AS l FROM h)
+SELECT base, CASE WHEN l[1].s >= 20 THEN l[1].n ELSE 'unknown' END AS framework, l[1].s AS score, CASE WHEN l[1].s >= 20 THEN round(l[1].s / l[1].m::DOUBLE, 3) ELSE 0.0 END AS confidence, array_to_string(list_transform(list_filter(l[2:6], lambda x: x.s >= 20), lambda x: x.n), ',') AS others FROM s
+""")
+def codebase_frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The framework of each code base; files are a fixture, dealt to bases by part keys."""
+    k = F.col("p_partkey")
+    files = F.array(*(F.struct(F.lit(p).alias("path"), F.lit(c).cast("string").alias("content")) for p, c in _FILES))
+    f = table(spark, sf_dir, "part").select((k % 40).alias("base"), F.get(files, (F.floor(k / 40) % 9).cast("int")).alias("f")).select("base", "f.*")
+    return frameworks.detect_codebase(f).withColumn("others", F.array_join("others", ","))
+
+
+@query("""
+WITH e AS (SELECT s_suppkey AS id, ['react', 'nextjs', 'laravel', 'other'][s_suppkey % 4 + 1] AS fw, [NULL, 'sqlite', 'postgres', 'oracle'][s_suppkey // 4 % 4 + 1] AS db, [NULL, 'r2', 's3'][s_suppkey % 3 + 1] AS st, ['cloudflare', 'replit'][s_suppkey % 2 + 1] AS target, s_suppkey % 3 AS missing, ['high', 'medium', 'low'][s_suppkey // 2 % 3 + 1] AS conf FROM supplier),
+s AS (SELECT *, 80 + CASE WHEN db IS NULL THEN 10 WHEN db = 'sqlite' THEN 5 ELSE -5 END + CASE WHEN st IS NULL THEN 5 WHEN st = 'r2' AND target = 'cloudflare' THEN 10 ELSE 0 END + CASE WHEN missing > 0 THEN -8 * missing ELSE 5 END
+  + CASE fw WHEN 'react' THEN 5 WHEN 'laravel' THEN -10 ELSE 0 END + CASE conf WHEN 'high' THEN 10 WHEN 'medium' THEN 5 ELSE 0 END + CASE WHEN target = 'replit' THEN 5 ELSE 0 END AS raw FROM e),
+c AS (SELECT *, CAST(greatest(0, least(100, raw)) AS INTEGER) AS score, CASE WHEN db IN ('postgres', 'oracle') THEN 1 ELSE 0 END + CASE WHEN fw = 'laravel' THEN 1 ELSE 0 END AS medium FROM s)
+SELECT id, score, CASE WHEN missing > 0 THEN 'HIGH' WHEN medium >= 2 OR score < 60 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM c
+""")
+def deployment_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risk of deployments whose environments follow from supplier keys."""
+    k = F.col("s_suppkey")
+    pick = lambda values, at: F.get(F.array(*(F.lit(v).cast("string") for v in values)), (at % len(values)).cast("int"))
+    risk = frameworks.deployment_risk(
+        pick(("react", "nextjs", "laravel", "other"), k), pick((None, "sqlite", "postgres", "oracle"), F.floor(k / 4)), pick((None, "r2", "s3"), k), pick(("cloudflare", "replit"), k),
+        F.lit("replit"), k % 3, pick(("high", "medium", "low"), F.floor(k / 2)),
+    )
+    return table(spark, sf_dir, "supplier").select(k.alias("id"), risk.alias("r")).select("id", "r.*")
