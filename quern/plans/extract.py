@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import markup, text, urls
 from quern.operators import frameworks
-from quern.plans.web import LINKS_SQL, RICH_SQL, rich_pages, sql_authority, sql_normalize, sql_resolve
+from quern.plans.web import LINKS_SQL, RICH_SQL, rich_pages, sql_normalize, sql_resolve
 from quern.registry import query
 from quern.sources.tables import table
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text, urls
-from quern.operators import diff, graph, match, related
+from quern.operators import graph, match, related
 from quern.plans.scoring import WORDS_SQL
 from quern.plans.web import sql_host, sql_normalize, sql_route
 from quern.registry import query
