@@ -3,8 +3,8 @@
 Documents are packed into chunks of bounded size. For n = 1, 2, .. a chunk is exploded to its
 distinct n-grams (hash, occurrences, documents), a row each; rows are partitioned by hash,
 where a window counts each n-gram over the corpus and joins the count to its rows in one
-exchange; n-grams of too few documents go, and the others tell their chunks, which add up
-the scores of their documents. An n-gram can be
+exchange; n-grams of too few documents go, and the others tell their chunks, by their place
+among the chunk's own, which add up the scores of their documents. An n-gram can be
 in enough documents only if the two shorter ones in it are, so only such n-grams are
 exploded. Every n-gram is a row of its own, and rows are no more than words times
 ``order``: work grows with the corpus. The most frequent n-gram has a row a chunk.
@@ -16,6 +16,7 @@ with a chance of 3 in 100, and 10^12 have about 27,000 such pairs, too few to mo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import log
 
 import numpy as np
@@ -32,6 +33,9 @@ from quern.llm.hashing import mix, word_hashes, word_total
 
 #: UTF-8 bytes of texts in a chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 8 << 20
+#: From n = 2 on, n-grams are counted in so many rounds, by hash, so that only the rows of one
+#: round are on disk at once.
+ROUNDS = 2
 #: n-grams in fewer documents count as unseen: what only one document holds says nothing about it.
 MIN_DOCS = 2
 
@@ -85,62 +89,72 @@ def ngrams(texts: list[bytes], order: int) -> tuple[np.ndarray, list[tuple[np.nd
     return bounds, out
 
 
-_GRAMS = "chunk long, gram long, n long, d long"
+_GRAMS = "chunk long, at int, gram long, n long, d long"
 
 
-def _distinct(chunk: int, hashes: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
-    """Rows of _GRAMS: each hash, how often it occurs and in how many texts. ``docs`` ascends."""
-    at = np.argsort(hashes, kind="stable")  # the texts of an n-gram stay in order
-    hashes, docs = hashes[at], docs[at]
-    new = np.ones(len(hashes), bool)
-    new[1:] = hashes[1:] != hashes[:-1]
-    other = new.copy()
-    other[1:] |= docs[1:] != docs[:-1]
-    first = np.flatnonzero(new)
-    number = np.diff(np.append(first, len(hashes)))
-    texts = np.add.reduceat(other.astype(np.int64), first) if len(first) else number
-    columns = [np.full(len(first), chunk, np.int64), hashes[first].view(np.int64), number.astype(np.int64), texts]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["chunk", "gram", "n", "d"])
-
-
-def _texts_of(bounds: np.ndarray) -> np.ndarray:
-    return np.repeat(np.arange(len(bounds) - 1, dtype=np.int64), np.diff(bounds))
+def _places(hashes: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words at which an n-gram ends (``ok``) in order of its hash, the sorted distinct hashes,
+    and for each of those words the place of its hash among them."""
+    at = np.flatnonzero(ok)
+    at = at[np.argsort(hashes[at], kind="stable")]  # words of an n-gram stay in order, and so do texts
+    found = hashes[at]
+    new = np.ones(len(found), bool)
+    new[1:] = found[1:] != found[:-1]
+    return at, found[new], np.cumsum(new, dtype=np.int32) - 1
+
+
+def _rows(chunk: int, hashes: np.ndarray, ok: np.ndarray, bounds: np.ndarray, part: int, parts: int) -> pa.RecordBatch:
+    """Rows of _GRAMS: the place of each distinct hash of a round among all of the chunk's, the
+    hash, how often it occurs and in how many texts."""
+    at, distinct, place = _places(hashes, ok)
+    docs = np.repeat(np.arange(len(bounds) - 1, dtype=np.int64), np.diff(bounds))[at]
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    number = np.diff(np.append(first, len(at)))
+    other = np.ones(len(at), np.int64)
+    other[1:] = (place[1:] != place[:-1]) | (docs[1:] != docs[:-1])
+    texts = np.add.reduceat(other, first) if len(first) else number
+    mine = np.flatnonzero(distinct % np.uint64(parts) == part)
+    columns = [np.full(len(mine), chunk, np.int64), mine.astype(np.int32), distinct[mine].view(np.int64), number[mine].astype(np.int64), texts[mine].astype(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["chunk", "at", "gram", "n", "d"])
+
+
+def _levels(grams: list[tuple[np.ndarray, np.ndarray]], told: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each n that ``told`` counts, the count of the n-gram at each word (0: too few documents
+    hold it); and at which words the next longer n-gram can be in enough documents."""
+    sizes, ats, counts = (told[c].to_numpy() for c in ("size", "at", "c"))
+    out: list[np.ndarray] = []
+    ok = grams[0][1]
+    for n in range(1, (int(sizes.max()) if len(sizes) else 0) + 1):
+        at, distinct, place = _places(grams[n - 1][0], ok)
+        mine = sizes == n
+        by_place = np.zeros(len(distinct), np.int64)
+        by_place[ats[mine]] = counts[mine]
+        count = np.zeros(len(ok), np.int64)
+        count[at] = by_place[place]
+        out.append(count)
+        if n < len(grams):
+            held = count > 0
+            ok = grams[n][1] & held & np.concatenate([[False], held[:-1]])[: len(held)]
+    return out, ok
 
 
 def _explode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            bounds, [(hashes, _)] = ngrams(_unpack(row["blob"], row["lengths"]), 1)
-            yield _distinct(row["chunk"], hashes, _texts_of(bounds))
-
-
-def _counts(told: pa.Table, hashes: np.ndarray, ok: np.ndarray) -> np.ndarray:
-    """The count of the n-gram at each word, 0 where there is none or too few documents hold it."""
-    grams, counts = (np.ascontiguousarray(told[c].to_numpy()) for c in ("gram", "c"))
-    out = np.zeros(len(hashes), np.int64)
-    at = np.flatnonzero(ok)
-    if not len(grams) or not len(at):
-        return out
-    order = np.argsort(grams)
-    grams, counts, wanted = grams[order], counts[order], hashes.view(np.int64)[at]
-    turn = np.argsort(wanted)  # in order the searches touch neighbours, which is faster by more than the sort takes
-    at, wanted = at[turn], wanted[turn]
-    place = np.minimum(np.searchsorted(grams, wanted), len(grams) - 1)
-    out[at] = np.where(grams[place] == wanted, counts[place], 0)
-    return out
+            bounds, [(hashes, ok)] = ngrams(_unpack(row["blob"], row["lengths"]), 1)
+            yield _rows(row["chunk"], hashes, ok, bounds, 0, 1)
 
 
-def _explode(n: int):
-    """The n-grams of a chunk whose two shorter n-grams ``told`` counts."""
+def _explode(n: int, part: int, parts: int):
+    """The n-grams of a chunk, those of one round, whose two shorter n-grams ``told`` counts."""
 
     def run(chunks: pa.Table, told: pa.Table) -> pa.Table:
-        out = [_distinct(0, np.empty(0, np.uint64), np.empty(0, np.int64))]
+        out = [_rows(0, np.empty(0, np.uint64), np.empty(0, bool), np.zeros(1, np.int64), 0, 1)]
         for row in chunks.to_pylist():
             bounds, grams = ngrams(_unpack(row["blob"], row["lengths"]), n)
-            held = _counts(told, *grams[n - 2]) > 0  # also says that both lie in one text
-            hashes, ok = grams[n - 1]
-            ok = ok & held & np.concatenate([[False], held[:-1]])[: len(held)]
-            out.append(_distinct(row["chunk"], hashes[ok], _texts_of(bounds)[ok]))
+            counts, ok = _levels(grams, told)
+            if len(counts) == n - 1:  # else no n-gram that short is frequent here
+                out.append(_rows(row["chunk"], grams[n - 1][0], ok, bounds, part, parts))
         return pa.Table.from_batches(out[1:] or out)
 
     return run
@@ -149,10 +163,10 @@ def _explode(n: int):
 def _score(order: int, alpha: float, words: int, schema: pa.Schema):
     def run(chunks: pa.Table, told: pa.Table) -> pa.Table:
         out = []
-        size = told["size"].to_numpy()
         for row in chunks.to_pylist():
             bounds, grams = ngrams(_unpack(row["blob"], row["lengths"]), order)
-            of = [_counts(told.filter(pa.array(size == n)), *grams[n - 1]) for n in range(1, order + 1)]
+            of, _ = _levels(grams, told)
+            of += [np.zeros(bounds[-1], np.int64)] * (order - len(of))
             value = np.full(bounds[-1], -log(words or 1))  # a word of no other document: one in all words
             backed = np.minimum(np.arange(bounds[-1]) - np.repeat(bounds[:-1], np.diff(bounds)), order - 1) + 1
             level = np.zeros(bounds[-1], np.int64)
@@ -210,16 +224,19 @@ def score_documents(
         texts = chunks.select("chunk", "lengths", "blob")
         told: list[DataFrame] = []
         for n in range(1, order + 1):
-            exploded = texts.mapInArrow(_explode_words, _GRAMS) if n == 1 else _meet(texts, told[-1]).applyInArrow(_explode(n), _GRAMS)
+            parts = 1 if n == 1 else ROUNDS
+            exploded = [texts.mapInArrow(_explode_words, _GRAMS)] if n == 1 else [_meet(texts, _union(told)).applyInArrow(_explode(n, r, parts), _GRAMS) for r in range(parts)]
             same = Window.partitionBy("gram")
-            counted = exploded.withColumns({"c": F.sum("n").over(same), "docs": F.sum("d").over(same)}).filter(F.col("docs") >= min_docs)
-            told.append(materialize(counted.select("chunk", "gram", "c", F.lit(n).alias("size")), "told"))
+            for rows_ in exploded:
+                counted = rows_.withColumns({"c": F.sum("n").over(same), "docs": F.sum("d").over(same)}).filter(F.col("docs") >= min_docs)
+                told.append(materialize(counted.select("chunk", F.lit(n).alias("size"), "at", "c"), "told"))
         kept += told
     out = T.StructType([T.StructField(id_col, id_type), *(T.StructField(c, T.LongType()) for c in ("n_words", "n_top", "log_micro"))])
-    every = told[0]
-    for t in told[1:]:
-        every = every.unionByName(t)
-    return _meet(chunks, every).applyInArrow(_score(order, alpha, int(words), to_arrow_schema(out)), out)
+    return _meet(chunks, _union(told)).applyInArrow(_score(order, alpha, int(words), to_arrow_schema(out)), out)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
 
 
 def _meet(chunks: DataFrame, told: DataFrame) -> PandasCogroupedOps:
