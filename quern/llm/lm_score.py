@@ -3,10 +3,10 @@
 Documents are packed into chunks of bounded size. For n = 1, 2, .. a chunk is exploded to its
 distinct n-grams (hash, occurrences, documents), a row each; rows are partitioned by hash,
 where a window counts each n-gram over the corpus and joins the count to its rows in one
-exchange; n-grams of too few documents go, and the others tell their chunks, by their place
-among the chunk's own, which add up the scores of their documents. An n-gram can be
-in enough documents only if the two shorter ones in it are, so only such n-grams are
-exploded. Every n-gram is a row of its own, and rows are no more than words times
+exchange; n-grams of too few documents go, and the others are gathered by chunk, as places
+among the chunk's own n-grams, and chunks add up the scores of their documents. An n-gram
+can be in enough documents only if the two shorter ones in it are, so from n = 3 on only
+such n-grams are exploded. Every n-gram is a row of its own, and rows are no more than words times
 ``order``: work grows with the corpus. The most frequent n-gram has a row a chunk.
 
 n-grams are named by 64-bit hashes. With 10^9 distinct ones, two of them share a hash
@@ -121,23 +121,31 @@ def _rows(chunk: int, hashes: np.ndarray, ok: np.ndarray, bounds: np.ndarray, pa
 def _levels(grams: list[tuple[np.ndarray, np.ndarray]], told: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
     """For each n that ``told`` counts, the count of the n-gram at each word (0: too few documents
     hold it); and at which words the next longer n-gram can be in enough documents."""
-    sizes, ats, counts = (told[c].to_numpy() for c in ("size", "at", "c"))
+    sizes = told["size"].to_numpy()
     out: list[np.ndarray] = []
     ok = grams[0][1]
     for n in range(1, (int(sizes.max()) if len(sizes) else 0) + 1):
         at, distinct, place = _places(grams[n - 1][0], ok)
-        mine = sizes == n
         by_place = np.zeros(len(distinct), np.int64)
-        by_place[ats[mine]] = counts[mine]
+        for i in np.flatnonzero(sizes == n):  # a row a round
+            by_place[told["at"][i].values.to_numpy()] = told["c"][i].values.to_numpy()
         count = np.zeros(len(ok), np.int64)
         count[at] = by_place[place]
         out.append(count)
         if n < len(grams):
-            held = count > 0
-            ok = grams[n][1] & held & np.concatenate([[False], held[:-1]])[: len(held)]
+            ok = _longer(grams[n][1], count, n + 1)
     return out, ok
 
 
+def _longer(ok: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """At which words the n-grams that are exploded end: pairs all, longer ones where both shorter
+    n-grams count."""
+    if n == 2:
+        return ok
+    held = count > 0
+    return ok & held & np.concatenate([[False], held[:-1]])[: len(held)]
+
+
 def _explode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
@@ -145,6 +153,16 @@ def _explode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield _rows(row["chunk"], hashes, ok, bounds, 0, 1)
 
 
+def _explode_pairs(part: int, parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                bounds, grams = ngrams(_unpack(row["blob"], row["lengths"]), 2)
+                yield _rows(row["chunk"], *grams[1], bounds, part, parts)
+
+    return run
+
+
 def _explode(n: int, part: int, parts: int):
     """The n-grams of a chunk, those of one round, whose two shorter n-grams ``told`` counts."""
 
@@ -225,11 +243,18 @@ def score_documents(
         told: list[DataFrame] = []
         for n in range(1, order + 1):
             parts = 1 if n == 1 else ROUNDS
-            exploded = [texts.mapInArrow(_explode_words, _GRAMS)] if n == 1 else [_meet(texts, _union(told)).applyInArrow(_explode(n, r, parts), _GRAMS) for r in range(parts)]
+            if n == 1:
+                exploded = [texts.mapInArrow(_explode_words, _GRAMS)]
+            elif n == 2:
+                exploded = [texts.mapInArrow(_explode_pairs(r, parts), _GRAMS) for r in range(parts)]
+            else:
+                exploded = [_meet(texts, _union(told)).applyInArrow(_explode(n, r, parts), _GRAMS) for r in range(parts)]
             same = Window.partitionBy("gram")
             for rows_ in exploded:
                 counted = rows_.withColumns({"c": F.sum("n").over(same), "docs": F.sum("d").over(same)}).filter(F.col("docs") >= min_docs)
-                told.append(materialize(counted.select("chunk", F.lit(n).alias("size"), "at", "c"), "told"))
+                # A chunk's counts of a round in one row: as many as a chunk has n-grams at most.
+                gathered = counted.groupBy("chunk").agg(F.collect_list(F.struct("at", "c")).alias("told"))
+                told.append(materialize(gathered.select("chunk", F.lit(n).alias("size"), "told.at", "told.c"), "told"))
         kept += told
     out = T.StructType([T.StructField(id_col, id_type), *(T.StructField(c, T.LongType()) for c in ("n_words", "n_top", "log_micro"))])
     return _meet(chunks, _union(told)).applyInArrow(_score(order, alpha, int(words), to_arrow_schema(out)), out)
