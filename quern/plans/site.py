@@ -134,6 +134,8 @@ def keyword_overlap(pages: DataFrame, endpoints: DataFrame, families: bool = Tru
     has a word at the endpoint. The best of each page, the first of equals.
 
     Words and families are exploded and joined by equality; pairs without either are never made.
+    A word that many pages and many endpoints have still makes a row for each such pair: leave
+    out words that tell nothing.
     """
     p = pages.select("page", F.explode(F.array_distinct("words")).alias("word"))
     e = endpoints.select("endpoint", F.explode(F.array_distinct("words")).alias("word"))
@@ -153,7 +155,7 @@ _KINDS = ("user", "post", "order", "invoice", "upload", "chat", "category", "fin
 
 @query(rf"""
 WITH p AS (SELECT page_id AS page, list_distinct(list_filter(list_append(regexp_split_to_array(lower({sql_route('url')}), '[^a-z0-9àâäçéèêëîïôöûüßñóíúá]+'), {list(_KINDS)}[page_id % 10 + 1]), lambda w: w <> '')) AS words FROM pages),
-e AS (SELECT p_partkey AS endpoint, list_distinct(['api', {list(_KINDS)}[p_partkey % 10 + 1] || CASE p_partkey % 2 WHEN 0 THEN 's' ELSE '' END, 'en', CAST(p_partkey AS VARCHAR)]) AS words FROM part),
+e AS (SELECT p_partkey AS endpoint, list_distinct(['api', {list(_KINDS)}[p_partkey % 10 + 1] || CASE p_partkey % 2 WHEN 0 THEN 's' ELSE '' END, CAST(p_partkey AS VARCHAR)]) AS words FROM part),
 f(family, names) AS (VALUES ('user', ['user', 'users']), ('post', ['post', 'posts', 'blog']), ('order', ['order', 'orders', 'cart']), ('payment', ['invoice', 'invoices']), ('file', ['upload', 'uploads']), ('message', ['chat']), ('tag', ['category']), ('search', ['find'])),
 pw AS (SELECT page, unnest(words) AS word FROM p), ew AS (SELECT endpoint, unnest(words) AS word FROM e),
 s AS (SELECT page, endpoint, count(*) * 10 AS score FROM pw JOIN ew USING (word) GROUP BY 1, 2
@@ -168,7 +170,7 @@ def endpoint_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("page"), F.array_append(words, kind(F.col("page_id"))).alias("words"))
     k = F.col("p_partkey")
     plural = F.concat(kind(k), F.when(k % 2 == 0, "s").otherwise(""))
-    e = table(spark, sf_dir, "part").select(k.alias("endpoint"), F.array(F.lit("api"), plural, F.lit("en"), k.cast("string")).alias("words"))
+    e = table(spark, sf_dir, "part").select(k.alias("endpoint"), F.array(F.lit("api"), plural, k.cast("string")).alias("words"))
     return keyword_overlap(p, e)
 
 
