@@ -241,9 +241,9 @@ def codebase_frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT s_suppkey AS id, ['react', 'nextjs', 'laravel', 'other'][s_suppkey % 4 + 1] AS fw, [NULL, 'sqlite', 'postgres', 'oracle'][s_suppkey // 4 % 4 + 1] AS db, [NULL, 'r2', 's3'][s_suppkey % 3 + 1] AS st, ['cloudflare', 'replit'][s_suppkey % 2 + 1] AS target, s_suppkey % 3 AS missing, ['high', 'medium', 'low'][s_suppkey // 2 % 3 + 1] AS conf FROM supplier),
+WITH e AS (SELECT s_suppkey AS id, ['react', 'nextjs', 'laravel', 'other'][s_suppkey % 4 + 1] AS fw, [NULL, 'sqlite', 'postgres', 'oracle'][s_suppkey // 4 % 4 + 1] AS db, [NULL, 'r2', 's3'][s_suppkey % 3 + 1] AS st, ['cloudflare', 'own-host'][s_suppkey % 2 + 1] AS target, s_suppkey % 3 AS missing, ['high', 'medium', 'low'][s_suppkey // 2 % 3 + 1] AS conf FROM supplier),
 s AS (SELECT *, 80 + CASE WHEN db IS NULL THEN 10 WHEN db = 'sqlite' THEN 5 ELSE -5 END + CASE WHEN st IS NULL THEN 5 WHEN st = 'r2' AND target = 'cloudflare' THEN 10 ELSE 0 END + CASE WHEN missing > 0 THEN -8 * missing ELSE 5 END
-  + CASE fw WHEN 'react' THEN 5 WHEN 'laravel' THEN -10 ELSE 0 END + CASE conf WHEN 'high' THEN 10 WHEN 'medium' THEN 5 ELSE 0 END + CASE WHEN target = 'replit' THEN 5 ELSE 0 END AS raw FROM e),
+  + CASE fw WHEN 'react' THEN 5 WHEN 'laravel' THEN -10 ELSE 0 END + CASE conf WHEN 'high' THEN 10 WHEN 'medium' THEN 5 ELSE 0 END + CASE WHEN target = 'own-host' THEN 5 ELSE 0 END AS raw FROM e),
 c AS (SELECT *, CAST(greatest(0, least(100, raw)) AS INTEGER) AS score, CASE WHEN db IN ('postgres', 'oracle') THEN 1 ELSE 0 END + CASE WHEN fw = 'laravel' THEN 1 ELSE 0 END AS medium FROM s)
 SELECT id, score, CASE WHEN missing > 0 THEN 'HIGH' WHEN medium >= 2 OR score < 60 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM c
 """)
@@ -252,7 +252,7 @@ def deployment_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     pick = lambda values, at: F.get(F.array(*(F.lit(v).cast("string") for v in values)), (at % len(values)).cast("int"))
     risk = frameworks.deployment_risk(
-        pick(("react", "nextjs", "laravel", "other"), k), pick((None, "sqlite", "postgres", "oracle"), F.floor(k / 4)), pick((None, "r2", "s3"), k), pick(("cloudflare", "replit"), k),
-        F.lit("replit"), k % 3, pick(("high", "medium", "low"), F.floor(k / 2)),
+        pick(("react", "nextjs", "laravel", "other"), k), pick((None, "sqlite", "postgres", "oracle"), F.floor(k / 4)), pick((None, "r2", "s3"), k), pick(("cloudflare", "own-host"), k),
+        F.lit("own-host"), k % 3, pick(("high", "medium", "low"), F.floor(k / 2)),
     )
     return table(spark, sf_dir, "supplier").select(k.alias("id"), risk.alias("r")).select("id", "r.*")
