@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import LOWER, UPPER
+from quern.functions.binding import bound
+from quern.llm.common import LOWER, UPPER, WORD
 from quern.llm.fingerprint import fingerprint_versions, with_next
 from quern.llm.line_dedup import drop_common_lines
 from quern.llm.lm_score import score_documents
@@ -16,6 +17,7 @@ from quern.llm.near_dedup import near_duplicates
 from quern.llm.pieces import encode
 from quern.llm.pii import BASE, detect_pii
 from quern.llm.quality import score_quality
+from quern.llm.runs import periodic_runs
 from quern.llm.sharding import external_shuffle, record_size
 from quern.llm.topk import top_k
 
@@ -299,3 +301,38 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same pieces as a unigram model: the segmentation with the best sum of scores."""
     return piece_digests(_table(spark, sf_dir, "documents"), viterbi=True)
+
+
+def _periodic(doc_id, text):
+    """The text that op11 is asked about: a tenth of the documents repeat a stretch of their
+    words, picked by the checksum of their id, up to their end."""
+    crc = F.crc32(doc_id.cast("string").cast("binary"))
+
+    def repeated(words):
+        g, n = F.floor(crc / 10).cast("long"), F.size(words).cast("long")
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        rest = (n - a).cast("int")
+        times = F.ceil(rest / p).cast("int")
+        return F.concat(F.slice(words, F.lit(1), a), F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), times)), F.lit(1), rest))
+
+    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+    chosen = (crc % 10 == 0) & text.rlike(WORD)
+    return F.when(chosen, bound(words, lambda w: F.array_join(repeated(w), " "))).otherwise(text)
+
+
+@_query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", _periodic(F.col("doc_id"), F.col("text")).alias("text"))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return periodic_runs(docs, min_length=12).withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.s")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.p")).alias("period"),
+        F.expr("1000 * longest.length div -longest.p").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
