@@ -20,6 +20,7 @@ from quern.llm.quality import score_quality
 from quern.llm.runs import periodic_runs
 from quern.llm.sharding import external_shuffle, record_size
 from quern.llm.topk import top_k
+from quern.llm.vector_join import near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -336,3 +337,33 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@_query
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.9)
+
+
+ORACLE["op13_embedding_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, row_number() OVER () AS r,
+         CASE WHEN embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                   AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN CAST(embedding AS DOUBLE[]) END AS e
+  FROM embeddings
+), links AS (
+  SELECT a.r AS u, b.r AS v FROM v a JOIN v b ON a.r <> b.r AND a.e IS NOT NULL AND b.e IS NOT NULL
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT u AS r, v AS other FROM links
+  UNION
+  SELECT reach.r, links.v FROM reach JOIN links ON reach.other = links.u
+), least AS (
+  SELECT reach.r, min(o.vec_id) AS least FROM reach JOIN v o ON o.r = reach.other GROUP BY reach.r
+), counted AS (
+  SELECT u AS r, count(*) AS n FROM links GROUP BY u
+), out AS (
+  SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least.least, vec_id)) AS component_id
+  FROM v LEFT JOIN least USING (r) LEFT JOIN counted USING (r)
+)
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM out
+"""
