@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.binding import bound
-from quern.llm.common import LOWER, UPPER, WORD
+from quern.llm.common import LOWER, UPPER, WORD, look_up, materialize, passing
 from quern.llm.fingerprint import fingerprint_versions, with_next
 from quern.llm.line_dedup import drop_common_lines
 from quern.llm.lm_score import score_documents
@@ -16,11 +18,13 @@ from quern.llm.mixing import mix_plan, taken_words
 from quern.llm.near_dedup import near_duplicates
 from quern.llm.pieces import encode
 from quern.llm.pii import BASE, detect_pii
+from quern.llm.prefix_trie import encoded_turns, prefix_trie
 from quern.llm.quality import score_quality
 from quern.llm.runs import periodic_runs
 from quern.llm.sharding import external_shuffle, record_size
 from quern.llm.topk import top_k
 from quern.llm.vector_join import near_vectors
+from quern.operators.ordered import ranged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -367,3 +371,105 @@ WITH RECURSIVE v AS (
 )
 SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM out
 """
+
+
+def _rebuilt(turns: DataFrame, *, family: int = 100, most: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(turns, convs) of the conversations that op12 is asked about: the first h turns of the
+    first conversation of its hundred, then its own behind its first h."""
+    def opening(c):
+        return F.crc32(c.cast("string").cast("binary")) % (most + 1)
+
+    lengths = turns.groupBy("conv").agg(F.max("at").alias("own")).withColumn("base", F.col("conv") - F.col("conv") % family)
+    heads = lengths.filter("conv = base").select(F.col("base").alias("b"), F.col("own").alias("held"))
+    convs = lengths.join(heads, F.col("base") == F.col("b"), "left").withColumns({"h": opening(F.col("conv")), "held": F.coalesce("held", F.lit(0))})
+    convs = convs.withColumn("taken", F.least("h", "held"))
+    convs = materialize(convs.select("conv", "base", "own", "h", "taken", (F.col("taken") + F.greatest(F.col("own") - F.col("h"), F.lit(0))).alias("length")), "convs")
+    first = turns.filter((F.col("conv") % family == 0) & (F.col("at") <= most)).withColumnRenamed("conv", "base")
+    opened = convs.select("conv", "base", "h").join(first, "base").filter("at <= h").select("conv", "at", "turn_id", "n_chars")
+    rest = look_up(turns, convs.select("conv", "own", "h", "taken"), ["conv"], "own", F.col("at")).filter("at > h")
+    rest = rest.select("conv", (F.col("at") - F.col("h") + F.col("taken")).alias("at"), "turn_id", "n_chars")
+    return materialize(opened.unionByName(rest), "rebuilt"), convs.select("conv", "length")
+
+
+def _digest_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digest of each node's comma-joined parts, which follow one another."""
+    node, digest = None, None
+    for batch in batches:
+        for conv, depth, part in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if (conv, depth) != node:
+                if node:
+                    yield pa.RecordBatch.from_pydict({"e_conv": [node[0]], "e_depth": [node[1]], "digest": [digest.hexdigest()]})
+                node, digest = (conv, depth), hashlib.sha256(part.encode())
+            else:
+                digest.update(b"," + part.encode())
+    if node:
+        yield pa.RecordBatch.from_pydict({"e_conv": [node[0]], "e_depth": [node[1]], "digest": [digest.hexdigest()]})
+
+
+def _ends_digest(ends: DataFrame) -> DataFrame:
+    """(e_conv, e_depth, digest). Ids are joined in ranges; of a node whose ids fill several
+    ranges the parts, a row a range, are digested one after another."""
+    cut = ranged(ends, [F.col("conv_id"), F.col("depth"), F.col("conv")])
+    part = F.array_join(F.sort_array(F.collect_list("conv")).cast("array<string>"), ",")
+    parts = cut.groupBy("conv_id", "depth", "_range").agg(part.alias("part"))
+    parts = materialize(parts.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("conv_id", "depth"))), "parts")
+    whole = parts.filter("n = 1").select(F.col("conv_id").alias("e_conv"), F.col("depth").alias("e_depth"), F.sha2("part", 256).alias("digest"))
+    cuts = parts.filter("n > 1").repartition("conv_id", "depth").sortWithinPartitions("conv_id", "depth", "_range").select("conv_id", "depth", "part")
+    return whole.unionByName(cuts.mapInArrow(_digest_parts, "e_conv long, e_depth long, digest string"))
+
+
+@_query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with passing(spark) as kept:
+        turns = materialize(encoded_turns(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")), "numbered")
+        nodes, ends = prefix_trie(*_rebuilt(turns))
+        on = (F.col("conv_id") == F.col("e_conv")) & (F.col("depth") == F.col("e_depth"))
+        out = nodes.join(_ends_digest(ends), on, "left").withColumn("ends_sha256", F.coalesce("digest", F.sha2(F.lit(""), 256)))
+        out = materialize(out.drop("e_conv", "e_depth", "digest"), "trie")
+        kept.append(out)
+    return out
+
+
+#: DuckDB has no crc32: bit by bit, as a list of steps (a byte, then eight shifts).
+ORACLE["op12_prefix_trie"] = """
+WITH own AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) AS pos,
+         md5(coalesce(role, '') || chr(0) || coalesce(text, '')) AS k, length(coalesce(text, '')) AS chars
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, c - c % 100 AS base, xor(list_reduce(
+           list_concat([4294967295], flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda b: [CAST(ascii(b) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT c FROM own)
+), opened AS (
+  SELECT convs.c, o.pos, o.k, o.chars FROM convs JOIN own o ON o.c = convs.base AND o.pos <= convs.h
+), taken AS (
+  SELECT c, count(*) AS n FROM opened GROUP BY c
+), turns AS (
+  SELECT * FROM opened
+  UNION ALL
+  SELECT o.c, o.pos - convs.h + coalesce(taken.n, 0), o.k, o.chars FROM own o JOIN convs USING (c) LEFT JOIN taken USING (c) WHERE o.pos > convs.h
+), pre AS (
+  SELECT c, 0 AS d, '' AS key, 0 AS chars FROM convs
+  UNION ALL
+  SELECT c, pos, md5(string_agg(k, '') OVER (PARTITION BY c ORDER BY pos)), chars FROM turns
+), lengths AS (
+  SELECT c, max(d) AS n FROM pre GROUP BY c
+), nodes AS (
+  SELECT key, d, min(c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM pre GROUP BY key, d
+), linked AS (
+  SELECT nodes.*, p.key AS up FROM nodes LEFT JOIN pre p ON p.c = nodes.conv_id AND p.d = nodes.d - 1
+), children AS (
+  SELECT up AS key, d - 1 AS d, count(*) AS n FROM linked WHERE d > 0 GROUP BY up, d
+), subtree AS (
+  SELECT a.key, a.d, sum((n.n_convs - 1) * n.chars) AS saved, count(*) FILTER (WHERE children.n IS NULL) AS leaves
+  FROM nodes n JOIN pre a ON a.c = n.conv_id AND a.d <= n.d LEFT JOIN children ON children.key = n.key AND children.d = n.d
+  GROUP BY a.key, a.d
+), ends AS (
+  SELECT key, d, string_agg(CAST(pre.c AS VARCHAR), ',' ORDER BY pre.c) AS ids FROM pre JOIN lengths ON lengths.c = pre.c AND lengths.n = pre.d GROUP BY key, d
+)
+SELECT l.conv_id, CAST(l.d AS BIGINT) AS depth, parent.conv_id AS parent_conv_id, l.n_convs, coalesce(children.n, 0) AS n_children,
+       s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends.ids, '')) AS ends_sha256
+FROM linked l JOIN subtree s ON s.key = l.key AND s.d = l.d LEFT JOIN nodes parent ON parent.key = l.up AND parent.d = l.d - 1
+LEFT JOIN children ON children.key = l.key AND children.d = l.d LEFT JOIN ends ON ends.key = l.key AND ends.d = l.d
+"""

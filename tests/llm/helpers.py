@@ -5,7 +5,7 @@ import math
 import duckdb
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "labels", "embeddings")
+TABLES = ("documents", "labels", "embeddings", "conversations")
 
 
 def connect(sf=SF):
