@@ -54,10 +54,13 @@ PATTERNS = (
 UNKNOWN = ("Unknown", 30, "medium", "retry_with_backoff")
 
 
-def classify(message: Column, retries: Column, most: Column, rules: tuple = PATTERNS) -> Column:
-    """(failure, confidence, risk, retry): the class whose patterns that occur times its
+def classify(message: Column, retries: Column, most: Column, rules: tuple = PATTERNS, stack: Column | None = None) -> Column:
+    """(failure, confidence, risk, retry): the class whose patterns that occur, in the message
+    or in the ``stack`` behind it, times its
     confidence is highest, the first of equals. Without retries left: do not retry. A null
     message is unknown. ``rules`` may be another table of the same form."""
+    if stack is not None:
+        message = F.concat_ws(" ", F.coalesce(message, F.lit("")), F.coalesce(stack, F.lit("")))
     options = []
     for i, (name, confidence, risk, retry, patterns) in enumerate(rules):
         hits = sum((F.when(F.coalesce(message.rlike(p), F.lit(False)), 1).otherwise(0) for p in patterns), F.lit(0))

@@ -60,7 +60,7 @@ def _up(walk: DataFrame, parents: DataFrame) -> DataFrame:
     )
 
 
-def longest_levels(needs: DataFrame, max_depth: int = 1000) -> DataFrame:
+def longest_levels(needs: DataFrame) -> DataFrame:
     """(node, depth) for a graph without cycles of (child, parent): the length of the longest way
     to each node, so that ordering by it puts every parent before its children.
 
@@ -71,8 +71,6 @@ def longest_levels(needs: DataFrame, max_depth: int = 1000) -> DataFrame:
     open_ = materialize(needs.select(F.explode(F.array("child", "parent")).alias("node")).distinct(), "open")
     placed, depth = None, 0
     while not open_.isEmpty():
-        if depth > max_depth:
-            raise ValueError("the graph has a cycle")
         waiting = needs.join(open_.withColumnRenamed("node", "parent"), "parent", "left_semi").select(F.col("child").alias("node"))
         level = materialize(open_.join(waiting, "node", "left_anti").withColumn("depth", F.lit(depth)), "level")
         if level.isEmpty():

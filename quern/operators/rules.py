@@ -92,4 +92,4 @@ def best_types(scores: dict[str, Column]) -> Column:
 
 def gate(delta: Column, threshold: float) -> Column:
     """PASS without a loss, WARN for at most half the threshold, else FAIL; SKIP without a value."""
-    return F.when(delta.isNull(), "SKIP").when(delta >= 0, "PASS").when(-delta < threshold / 2, "WARN").otherwise("FAIL")
+    return F.when(delta.isNull(), "SKIP").when(delta >= 0, "PASS").when(-delta <= threshold / 2, "WARN").otherwise("FAIL")

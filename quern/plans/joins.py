@@ -202,15 +202,6 @@ def breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.ancestors(nodes).select("node", F.array_join("trail", ">").alias("trail"))
 
 
-@query(NODES_SQL + """x AS (SELECT n.node, n.parent, m.node AS held FROM n LEFT JOIN n m ON n.parent = m.node WHERE n.parent <> n.host)
-SELECT parent, count(*) AS children FROM x WHERE held IS NULL OR regexp_matches(parent, '/(en|fr)$') GROUP BY parent""")
-def section_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = site_nodes(spark, sf_dir)
-    held = n.select(F.col("node").alias("held"))
-    x = n.filter("parent != host").join(held, F.col("parent") == F.col("held"), "left").filter(F.col("held").isNull() | F.col("parent").rlike("/(en|fr)$"))
-    return x.groupBy("parent").agg(F.count(F.lit(1)).alias("children"))
-
-
 @query(NODES_SQL + "x AS (SELECT 1) SELECT parent, count(*) AS children FROM n WHERE parent <> host GROUP BY parent")
 def section_child_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many children each node below a root has."""

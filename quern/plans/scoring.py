@@ -59,7 +59,7 @@ def content_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH d AS (SELECT event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 2) AS delta FROM events)
-SELECT event_id, CASE WHEN delta IS NULL THEN 'SKIP' WHEN delta >= 0 THEN 'PASS' WHEN -delta < 5 THEN 'WARN' ELSE 'FAIL' END AS gate FROM d
+SELECT event_id, CASE WHEN delta IS NULL THEN 'SKIP' WHEN delta >= 0 THEN 'PASS' WHEN -delta <= 5 THEN 'WARN' ELSE 'FAIL' END AS gate FROM d
 """)
 def regression_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))

@@ -167,11 +167,16 @@ def write_reports(reports: dict[str, DataFrame], folder: str) -> None:
 
 def upsert(current: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """``current`` with the rows of ``changes`` put in place of those with the same key. Where
-    changes repeat a key, the one that is last in ``order`` counts."""
-    if order is not None:
-        rest = [c for c in changes.columns if c != key]
-        changes = changes.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, *(F.col(f"_r.{c}").alias(c) for c in rest)).select(*changes.columns)
-    return current.join(changes.select(key), key, "left_anti").unionByName(changes)
+    changes repeat a key, the one that is last in ``order`` counts, without an order the one
+    with the largest values, column by column. A null key is a key."""
+    rest = [c for c in changes.columns if c != key]
+    if rest:
+        last = F.max_by(F.struct(*rest), order) if order is not None else F.max(F.struct(*rest))
+        changes = changes.groupBy(key).agg(last.alias("_r")).select(key, *(F.col(f"_r.{c}").alias(c) for c in rest)).select(*changes.columns)
+    else:
+        changes = changes.distinct()
+    new = changes.select(F.col(key).alias("_new"))
+    return current.join(new, F.col(key).eqNullSafe(F.col("_new")), "left_anti").unionByName(changes)
 
 
 def append_facts(facts: DataFrame, path: str, by: str) -> None:

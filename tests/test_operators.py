@@ -74,7 +74,7 @@ def test_rules(spark):
     table = (("n", 2, "low", "wait", ("time", "out")), ("a", 4, "low", "wait", ("login",)))
     assert one(spark, "timeout login", lambda c: failures.classify(c, F.lit(0), F.lit(1), table)["failure"]) == "n"
     assert tuple(one(spark, None, lambda c: failures.classify(c, F.lit(1), F.lit(1)))) == ("Unknown", 30, "medium", "do_not_retry")
-    assert [one(spark, d, lambda c: rules.gate(c, 10), "double") for d in (None, 0.0, -4.9, -5.0)] == ["SKIP", "PASS", "WARN", "FAIL"]
+    assert [one(spark, d, lambda c: rules.gate(c, 10), "double") for d in (None, 0.0, -4.9, -5.0, -5.01)] == ["SKIP", "PASS", "WARN", "WARN", "FAIL"]
 
 
 def test_upsert_and_sitemap(spark):
@@ -133,3 +133,21 @@ def test_the_report_holds_the_newest_events(spark, tmp_path):
     q.awaitTermination(120)
     assert q.exception() is None
     assert sorted(r.event_id for r in spark.read.json(str(tmp_path / "report" / "1")).collect()) == [2, 3, 4]
+
+
+def test_levels_of_a_chain(spark):
+    chain = spark.createDataFrame([(f"n{i + 1}", f"n{i}") for i in range(8)], "child string, parent string")
+    assert {r.node: r.depth for r in graph.longest_levels(chain).collect()} == {f"n{i}": i for i in range(9)}
+
+
+def test_an_upsert_without_an_order_keeps_one_row_a_key(spark):
+    a = spark.createDataFrame([(1, "a"), (None, "n")], "k int, v string")
+    b = spark.createDataFrame([(2, "c"), (2, "d"), (2, "d"), (None, "m")], "k int, v string")
+    assert sorted(map(tuple, tables.upsert(a, b, "k").collect()), key=str) == [(1, "a"), (2, "d"), (None, "m")]
+
+
+def test_a_failure_is_told_by_its_stack_too(spark):
+    message, stack = F.lit("it broke"), F.lit("at TypeError: x is not a function")
+    df = spark.range(1).select(failures.classify(message, F.lit(0), F.lit(3)).alias("a"), failures.classify(message, F.lit(0), F.lit(3), stack=stack).alias("b"), failures.classify(F.lit(None).cast("string"), F.lit(0), F.lit(3), stack=stack).alias("c"))
+    r = df.first()
+    assert (r.a.failure, r.b.failure, r.c.failure) == ("Unknown", "UnexpectedException", "UnexpectedException")
