@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import WORD, hash128, materialize
+from quern.operators.ordered import ranged
 
 #: Weights of sources in order of code points, repeating.
 WEIGHTS = (5, 2, 1)
@@ -101,9 +102,11 @@ def mix_plan(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    key_cols: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(placed, pieces). placed has a row for each row of ``docs``: id, source, size (words),
-    source_size, target, mx_k1/mx_k2 (hashes of the row), mx_bucket/mx_ord (its place in
+    source_size, target, mx_k1/mx_k2 (hashes of ``key_cols``, else of the three named columns),
+    mx_bucket/mx_ord (its place in
     its source's order). pieces has the same columns and slot, epoch, from_word, to_word:
     which words of the row a slot takes. Words of a source's pieces add up to its quota.
 
@@ -113,7 +116,7 @@ def mix_plan(
     ``docs`` but the three named ones are ignored.
     """
     spark = docs.sparkSession
-    k1, k2 = hash128(F.col(id_col), F.col(source_col), F.col(text_col))
+    k1, k2 = hash128(*map(F.col, key_cols or (id_col, source_col, text_col)))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     sized = materialize(
         docs.select(
@@ -170,40 +173,54 @@ def taken_words(placed: DataFrame, pieces: DataFrame) -> DataFrame:
     return placed.join(sums, key, "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
+#: Rows that repeat entirely and are numbered together.
+REPEATS = 16_384
+
+
+def _numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``rows`` plus ``mx_no``, from 1 within (mx_k1, mx_k2), in ranges: no task gets a key."""
+    cut = ranged(rows, [F.col("mx_k1"), F.col("mx_k2"), *order], REPEATS)
+    key = ["mx_k1", "mx_k2"]
+    per = cut.groupBy(*key, "_range").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # Keys that go on in the next range: a row a range at most.
+    before = per.withColumn("mx_skip", F.sum("n").over(earlier)).filter("mx_skip > 0").drop("n").withColumnsRenamed({"mx_k1": "b1", "mx_k2": "b2", "_range": "b_range"})
+    crossed = (F.col("mx_k1") == F.col("b1")) & (F.col("mx_k2") == F.col("b2")) & (F.col("_range") == F.col("b_range"))
+    inside = F.row_number().over(Window.partitionBy("_range", *key).orderBy(*order))
+    return cut.withColumn("mx_in", inside).join(F.broadcast(before), crossed, "left").select(
+        *rows.columns, (F.col("mx_in") + F.coalesce("mx_skip", F.lit(0))).alias("mx_no")
+    )
+
+
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of the mix, with the columns of ``docs`` plus ``mix_slot``: each row once for
     each epoch that takes words of it. A row at the end of its source's quota is cut to the
     words taken; all others keep their text. Rows that are not taken are left out.
 
-    Nulls, ties and repeats: as :func:`mix_plan`. Rows that repeat entirely are told apart
-    by a window over their hash, which spills but is one task's. An empty table gives an
-    empty table. A column of ``docs`` named ``mix_slot`` is replaced; others may have any
-    name, but for those that begin with ``mx_``.
+    Nulls, ties and repeats: as :func:`mix_plan`. Rows that repeat entirely are numbered, in
+    ranges, and each takes its own part. An empty table gives an empty table. A column of
+    ``docs`` named ``mix_slot`` is replaced; others may have any name, but for those that
+    begin with ``mx_``, and any type that can be hashed.
     """
-    _, pieces = mix_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    takes = (
-        pieces.groupBy("mx_at", "mx_bucket", "mx_ord", "epoch", "mx_k1", "mx_k2", "size")
-        .agg(F.min("slot").alias("mix_slot"), F.min("from_word").alias("a"), F.max("to_word").alias("z"))
-        .groupBy("mx_k1", "mx_k2")
-        .agg(F.sort_array(F.collect_list(F.struct("epoch", "mx_ord", "mix_slot", "a", "z", "size"))).alias("mx_takes"))
-        .withColumnsRenamed({"mx_k1": "mx_t1", "mx_k2": "mx_t2"})
+    docs = docs.drop("mix_slot")
+    placed, pieces = mix_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, key_cols=docs.columns, **options)
+    takes = pieces.groupBy("mx_at", "mx_bucket", "mx_ord", "epoch", "mx_k1", "mx_k2", "size").agg(
+        F.min("slot").alias("mix_slot"), F.min("from_word").alias("mx_a"), F.max("to_word").alias("mx_z")
     )
-    k1, k2 = hash128(F.col(id_col), F.col(source_col), F.col(text_col))
+    k1, k2 = hash128(*map(F.col, docs.columns))
+    keyed = docs.withColumns({"mx_k1": k1, "mx_k2": k2})
+    repeated = materialize(placed.groupBy("mx_k1", "mx_k2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "repeated")
+    key, told = ["mx_k1", "mx_k2"], ["mix_slot", "mx_a", "mx_z", "size"]
+    if repeated.isEmpty():
+        taken = keyed.join(takes.select(*key, F.struct(*told).alias("mx_take")), key)
+    else:
+        once = keyed.join(repeated, key, "left_anti").join(takes.join(repeated, key, "left_anti").select(*key, F.struct(*told).alias("mx_take")), key)
+        # One number for each row of a key: of its copies in docs, and of their places in the mix.
+        places = _numbered(placed.join(repeated, key, "left_semi").select(*key, "mx_at", "mx_bucket", "mx_ord"), [F.col(c) for c in ("mx_at", "mx_bucket", "mx_ord")])
+        parts = takes.join(places, ["mx_at", "mx_bucket", "mx_ord", *key]).select(*key, "mx_no", F.struct(*told).alias("mx_take"))
+        copies = _numbered(keyed.join(repeated, key, "left_semi").withColumn("mx_row", F.monotonically_increasing_id()), [F.col("mx_row")]).drop("mx_row")
+        taken = once.unionByName(copies.join(parts, [*key, "mx_no"]).drop("mx_no"))
     words = F.regexp_extract_all(text_col, F.lit(f"({WORD})"), F.lit(1))
-    whole = (F.col("mx_take.a") == 0) & (F.col("mx_take.z") == F.col("mx_take.size"))
-    # Rows that repeat entirely share a key: each takes its part of the key's takes.
-    same = Window.partitionBy("mx_k1", "mx_k2")
-    return (
-        docs.drop("mix_slot")
-        .withColumns({"mx_k1": k1, "mx_k2": k2})
-        .join(takes, (F.col("mx_k1") == F.col("mx_t1")) & (F.col("mx_k2") == F.col("mx_t2")))
-        .withColumns({"mx_copy": F.row_number().over(same.orderBy("mx_t1")) - 1, "mx_copies": F.count(F.lit(1)).over(same)})
-        .withColumn("mx_take", F.explode(F.filter("mx_takes", lambda t, i: i % F.col("mx_copies") == F.col("mx_copy"))))
-        .withColumn(
-            text_col,
-            F.when(whole, F.col(text_col)).otherwise(
-                F.array_join(F.slice(words, (F.col("mx_take.a") + 1).cast("int"), (F.col("mx_take.z") - F.col("mx_take.a")).cast("int")), " ")
-            ),
-        )
-        .select(*(c for c in docs.columns if c != "mix_slot"), F.col("mx_take.mix_slot").alias("mix_slot"))
-    )
+    whole = (F.col("mx_take.mx_a") == 0) & (F.col("mx_take.mx_z") == F.col("mx_take.size"))
+    cut = F.array_join(F.slice(words, (F.col("mx_take.mx_a") + 1).cast("int"), (F.col("mx_take.mx_z") - F.col("mx_take.mx_a")).cast("int")), " ")
+    return taken.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(cut)).select(*docs.columns, F.col("mx_take.mix_slot").alias("mix_slot"))

@@ -64,9 +64,23 @@ def test_rows_of_the_mix_hold_the_words_taken(spark):
     assert +want == +got
 
 
+def test_twenty_thousand_equal_rows_and_rows_that_differ_in_another_column(spark):
+    row = (7, "a b c d e", "s")
+    docs = spark.range(20_000).selectExpr("7L as doc_id", "'a b c d e' as text", "'s' as source", "0 as lang")
+    docs = docs.unionByName(spark.createDataFrame([(*row, 1)] * 3 + [(8, "x " * 60_000, "t", 0)], SCHEMA + ", lang int"))
+    placed, pieces = mix_plan(docs)
+    want = {r.source: r.taken for r in taken_words(placed, pieces).groupBy("source").sum("taken").withColumnRenamed("sum(taken)", "taken").collect()}
+    out = mixed_documents(docs).select("source", "lang", "text", "mix_slot").collect()
+    got = Counter()
+    for r in out:
+        got[r.source] += len(words_of(r.text))
+    assert got == want and want["s"] > 100_000
+    assert sum(r.lang == 1 for r in out) <= 6
+
+
 def test_an_empty_table_and_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a b", "s", 3, 4, 5)], SCHEMA + ", mix_slot int, size int, slot int")
-    assert [r.asDict() for r in mixed_documents(docs).drop("mix_slot").collect()][0] == {"doc_id": 1, "text": "a b", "source": "s", "size": 4, "slot": 5}
+    assert max((r.asDict() for r in mixed_documents(docs).drop("mix_slot").collect()), key=lambda r: r["text"]) == {"doc_id": 1, "text": "a b", "source": "s", "size": 4, "slot": 5}
     none = docs.limit(0)
     assert mixed_documents(none).collect() == [] and taken_words(*mix_plan(none)).collect() == []
 

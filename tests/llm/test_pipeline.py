@@ -2,10 +2,13 @@ import hashlib
 import random
 from collections import Counter
 
+import duckdb
 import pytest
-from helpers import lower
+import sentencepiece
+from helpers import lower, words_of
 
 import corpus_pipeline as cp
+from quern.llm.queries import ORACLE, PIECE_MODEL
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -62,6 +65,30 @@ def test_near_dedup_keeps_one_row_a_group(spark, tables):
     assert ids.get(4000, 0) <= 1 and {r.doc_id for r in before if r.doc_id is not None and r.doc_id < 240} <= set(ids)
 
 
+def test_mixing_takes_the_words_that_the_targets_say(spark, tables, tmp_path):
+    """By the SQL of op3, which states how many words of each document the mix takes."""
+    staged(spark, tables, 3).write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    want = Counter()
+    for doc_id, taken in con.execute(f"SELECT doc_id, taken FROM ({ORACLE['op3_mixing']})").fetchall():
+        want[doc_id] += taken
+    got = Counter()
+    for r in cp.mix_sources(spark, spark.read.parquet(str(tmp_path / "documents")), "").collect():
+        got[r.doc_id] += len(words_of(r.text))
+    assert +want == got and sum(got.values()) > 1000
+
+
+def test_pieces_equal_the_library(spark, tables):
+    """Ids and their decoding as the tokenizer's own library gives them."""
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    docs = spark.createDataFrame([(i, t) for i, (_, t, *_) in enumerate(tables[1][:60]) if t], "doc_id long, text string")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in cp.encode_pieces(spark, docs, "").collect():
+        ids = library.encode(texts[r.doc_id])
+        assert (r.n_pieces, r.pieces_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+
+
 def test_the_whole_run_equals_its_stages_and_leaves_no_scratch(spark, tables):
     at, rows = tables
     mixed = staged(spark, tables, 4).collect()
