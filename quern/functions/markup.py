@@ -132,9 +132,44 @@ def images(html: Column, url: Column) -> Column:
     """Images of a page: array of (url, method), resolved, each normalised URL once, by the
     first method that finds it: head tags, noscript, picture sources, posters, lazy
     attributes, src, srcset, inline backgrounds."""
+    resolved = _resolved_images(F.filter(_image_candidates(html), lambda c: ~c["raw"].startswith("data:")), url)
+    return bound(F.filter(resolved, lambda c: c["url"].isNotNull()), lambda rows: _first_of(rows, "url"))
+
+
+def image_report(html: Column, url: Column) -> Column:
+    """How the images of a page came about, as a struct: discovered, how many candidates there
+    are; data_uris, invalid and duplicates, how many of them are left out for that; lazy,
+    srcset, picture, backgrounds, noscript and og, how many of those kinds; final, how many
+    are left. Each candidate is in one of data_uris, invalid, duplicates and final."""
+
+    def told(rows: Column) -> Column:
+        valid = F.filter(rows, lambda c: c["url"].isNotNull() & ~c["raw"].startswith("data:"))
+
+        def counts(valid: Column, final: Column) -> Column:
+            n = lambda rows_, *methods: F.size(F.filter(rows_, lambda c: c["method"].isin(*methods)))
+            data = F.size(F.filter(rows, lambda c: c["raw"].startswith("data:")))
+            return F.struct(
+                F.size(rows).alias("discovered"), data.alias("data_uris"), (F.size(rows) - data - F.size(valid)).alias("invalid"), (F.size(valid) - F.size(final)).alias("duplicates"),
+                n(final, "lazy").alias("lazy"), n(final, "srcset_best", "noscript_srcset_best", "picture_srcset").alias("srcset"), n(rows, "picture_srcset", "picture_src").alias("picture"),
+                n(rows, "css_background_inline").alias("backgrounds"), n(final, "noscript_src", "noscript_srcset_best").alias("noscript"), n(rows, "og_meta").alias("og"), F.size(final).alias("final"),
+            )
+
+        return bound(valid, lambda v: bound(_first_of(v, "url"), lambda final: counts(v, final)))
+
+    return bound(_resolved_images(_image_candidates(html, sources="picture_"), url), told)
+
+
+def _resolved_images(candidates: Column, url: Column) -> Column:
+    full = lambda raw: bound(urls.resolve(url, raw), lambda link: urls.normalize(link, ("",)))
+    return F.transform(candidates, lambda c: F.named_struct(F.lit("url"), full(c["raw"]), F.lit("method"), c["method"], F.lit("raw"), c["raw"]))
+
+
+def _image_candidates(html: Column, sources: str = "") -> Column:
+    """All that may be images, in order, as (raw, method). The methods of the sources of a
+    picture are those of its kind, or with ``sources`` names of their own."""
 
     def found(urls_: Column, method: str) -> Column:
-        return F.transform(F.filter(urls_, lambda u: (u != "") & ~u.startswith("data:")), lambda u: F.struct(u.alias("raw"), F.lit(method).alias("method")))
+        return F.transform(F.filter(urls_, lambda u: u != ""), lambda u: F.struct(u.alias("raw"), F.lit(method).alias("method")))
 
     def first(value: Column) -> Column:
         return F.array_compact(F.array(value))
@@ -149,23 +184,20 @@ def images(html: Column, url: Column) -> Column:
 
     imgs = tags(shown, "img")
     own = F.transform(imgs, lambda t: F.when(~is_placeholder(attribute(t, "src")), attribute(t, "src")))
-    candidates = F.concat(
+    return F.concat(
         found(first(F.coalesce(meta_content(html, "og:image", "property"), meta_content(html, "og:image:secure_url", "property"))), "og_meta"),
         found(first(F.coalesce(*(meta_content(html, n, k) for n in ("twitter:image", "twitter:image:src") for k in ("name", "property")))), "twitter_meta"),
         found(F.transform(_with(html, "link", rel="preload", as_="image"), lambda t: attribute(t, "href")), "link_preload"),
         found(values(hidden, "img", "src"), "noscript_src"),
         found(F.transform(values(hidden, "img", "srcset"), best_of_srcset), "noscript_srcset_best"),
-        found(F.transform(values(pictures, "source", "srcset"), best_of_srcset), "srcset_best"),
-        found(values(pictures, "source", "src"), "src"),
+        found(F.transform(values(pictures, "source", "srcset"), best_of_srcset), "picture_srcset" if sources else "srcset_best"),
+        found(values(pictures, "source", "src"), "picture_src" if sources else "src"),
         found(values(shown, "video", "poster"), "video_poster"),
         found(F.array_compact(F.transform(imgs, lazy)), "lazy"),
         found(F.array_compact(own), "src"),
         found(F.array_compact(F.transform(imgs, lambda t: best_of_srcset(attribute(t, "srcset")))), "srcset_best"),
         found(F.flatten(F.transform(F.regexp_extract_all(shown, F.lit(r"""(?i)\sstyle\s*=\s*"([^"]*)\""""), F.lit(1)), css_backgrounds)), "css_background_inline"),
     )
-    full = lambda raw: bound(urls.resolve(url, raw), lambda link: urls.normalize(link, ("",)))
-    resolved = F.transform(candidates, lambda c: F.named_struct(F.lit("url"), full(c["raw"]), F.lit("method"), c["method"]))
-    return bound(F.filter(resolved, lambda c: c["url"].isNotNull()), lambda rows: _first_of(rows, "url"))
 
 
 def _first_of(rows: Column, key: str) -> Column:
@@ -218,6 +250,41 @@ def is_audio(url: Column) -> Column:
 def embeds(html: Column, url: Column) -> Column:
     """Embeds of a page: array of (url, provider, media, canonical), each URL once: video and
     audio tags with their sources, frames, and links to audio files."""
+    return bound(_embed_rows(html, url), _embeds_once)
+
+
+def _embeds_once(rows: Column) -> Column:
+    keyed = F.transform(rows, lambda r: F.named_struct(F.lit("key"), F.regexp_replace(F.lower(F.trim(r["url"])), "#.*$", ""), F.lit("r"), r))
+    return bound(F.filter(keyed, lambda k: k["key"].isNotNull()), lambda rows_: F.transform(_first_of(rows_, "key"), lambda k: k["r"]))
+
+
+def embed_report(html: Column, url: Column) -> Column:
+    """How the embeds of a page came about, as a struct: total, how many there are; no_canonical,
+    those of them without a page to link to; by_provider, a map of counts; and of all that
+    was found, repeats too: videos and audios of the page's own, frames, sounds (frames and
+    links), unsupported frames, duplicates, and errors, sources that are no URL."""
+
+    def told(rows: Column) -> Column:
+        valid = F.filter(rows, lambda r: r["url"].isNotNull())
+        n = lambda rows_, test: F.size(F.filter(rows_, test))
+        sounds = lambda r: (r["provider"] == "unknown_audio") | (~r["provider"].startswith("native_") & (r["media"] == "audio"))
+
+        def counts(valid: Column, once: Column) -> Column:
+            providers = F.transform(once, lambda r: r["provider"])
+            each = F.transform(F.array_sort(F.array_distinct(providers)), lambda p: F.struct(p.alias("key"), F.size(F.filter(providers, lambda x: x == p)).alias("value")))
+            return F.struct(
+                F.size(once).alias("total"), n(once, lambda r: r["canonical"].isNull()).alias("no_canonical"), F.map_from_entries(each).alias("by_provider"),
+                n(valid, lambda r: r["provider"] == "native_video").alias("videos"), n(valid, lambda r: r["provider"] == "native_audio").alias("audios"),
+                n(valid, lambda r: ~r["provider"].startswith("native_") & ~sounds(r)).alias("frames"), n(valid, sounds).alias("sounds"),
+                n(valid, lambda r: r["provider"] == "unknown_iframe").alias("unsupported"), (F.size(valid) - F.size(once)).alias("duplicates"), (F.size(rows) - F.size(valid)).alias("errors"),
+            )
+
+        return bound(valid, lambda v: bound(_embeds_once(v), lambda once: counts(v, once)))
+
+    return bound(_embed_rows(html, url), told)
+
+
+def _embed_rows(html: Column, url: Column) -> Column:
 
     def native(name: str) -> Column:
         inside = F.array_join(F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b[^>]*>(.*?)</{name}>"), F.lit(1)), " ")
@@ -236,9 +303,7 @@ def embeds(html: Column, url: Column) -> Column:
     frames = F.filter(frames, lambda s: (s != "") & ~s.rlike("^(about:|javascript:|data:)"))
     heard = F.filter(F.transform(hrefs(html), lambda h: urls.resolve(url, h)), is_audio)
     heard = F.transform(heard, lambda link: made(link, F.lit("unknown_audio"), F.lit("audio"), link))
-    rows = F.concat(native("video"), native("audio"), F.transform(frames, framed), heard)
-    keyed = F.transform(rows, lambda r: F.named_struct(F.lit("key"), F.regexp_replace(F.lower(F.trim(r["url"])), "#.*$", ""), F.lit("r"), r))
-    return bound(F.filter(keyed, lambda k: k["key"].isNotNull()), lambda rows_: F.transform(_first_of(rows_, "key"), lambda k: k["r"]))
+    return F.concat(native("video"), native("audio"), F.transform(frames, framed), heard)
 
 
 #: Labels of what pages of a framework hold, with the patterns.
