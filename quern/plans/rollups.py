@@ -3,11 +3,15 @@ stand in for snapshots, jobs and deployments."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.operators import ordered, stats
 from quern.registry import query
+from quern.scratch import materialize, shared_dir
+from quern.sources import checkpoints
 from quern.sources.tables import table
 
 SNAP_SQL = "WITH s AS (SELECT event_id, user_id, ts, event_type AS stage, value, event_id % 101 AS coverage, (event_id * 7) % 101 AS assets, (event_id * 13) % 101 AS effect, (event_id * 29) % 101 AS fidelity FROM events)"
@@ -246,3 +250,21 @@ def repair_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     urgency = F.get(F.array(*map(F.lit, ("immediate", "urgent", "planned", "optional"))), (k % 4).cast("int"))
     r = table(spark, sf_dir, "supplier").select(k.alias("id"), urgency.alias("urgency"), (k % 4).cast("double").alias("rank_"))
     return ordered.ranked_total(r, "rank_", [F.col("id")], F.lit(1)).select("id", "urgency", F.col("rank").alias("place"))
+
+
+@query("""
+WITH s AS (SELECT user_id AS job, event_id, v FROM events, (VALUES (1), (2), (3)) AS t(v) WHERE event_id % 3 < v),
+g AS (SELECT job, v, count(*) AS done, max(event_id) AS newest, count(*) FILTER (WHERE event_id % 2 = 1) AS lost FROM s GROUP BY job, v)
+SELECT job, CAST(v AS BIGINT) AS version, done, newest FROM g WHERE v < 3 OR job % 5 > 0 OR lost = 0 QUALIFY row_number() OVER (PARTITION BY job ORDER BY v DESC) = 1
+""")
+def restored_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What three checkpoints of the events that users (jobs) have done give back, where the
+    third was torn for every fifth user: it lost rows after its commit had been written."""
+    folder = f"{shared_dir(spark)}/quern/checkpoints-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), "event_id")
+    for n in (1, 2, 3):
+        checkpoints.save(e.filter(F.col("event_id") % 3 < n), folder)
+    torn = spark.read.schema(e.schema).parquet(f"{folder}/rows/version=3").filter("job % 5 > 0 or event_id % 2 = 0")
+    checkpoints.write_rows(materialize(torn, "torn"), folder, 3)
+    loaded = checkpoints.load(spark, folder)
+    return loaded.groupBy("job", "version").agg(F.count(F.lit(1)).alias("done"), F.max("event_id").alias("newest"))
