@@ -194,12 +194,13 @@ def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.levels(nodes.select("parent", F.col("node").alias("child")), roots)
 
 
-@query(NODES_SQL + """c AS (SELECT node, parent, '' AS trail FROM n UNION ALL
-  SELECT c.node, n.parent, CASE WHEN c.trail = '' THEN n.node ELSE c.trail || '>' || n.node END FROM c JOIN n ON n.node = c.parent)
+@query(NODES_SQL + """c AS (SELECT node, parent, node AS trail FROM n UNION ALL SELECT c.node, n.parent, n.node || '>' || c.trail FROM c JOIN n ON n.node = c.parent)
 SELECT node, arg_max(trail, length(trail)) AS trail FROM c GROUP BY node""")
 def breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The way to each node, from the top and with the node itself."""
     nodes = site_nodes(spark, sf_dir).select("node", "parent")
-    return graph.ancestors(nodes).select("node", F.array_join("trail", ">").alias("trail"))
+    way = F.array_append(F.reverse("trail"), F.col("node"))
+    return graph.ancestors(nodes).select("node", F.array_join(way, ">").alias("trail"))
 
 
 @query(NODES_SQL + "x AS (SELECT 1) SELECT parent, count(*) AS children FROM n WHERE parent <> host GROUP BY parent")

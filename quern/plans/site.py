@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import markup, paths, text, urls
-from quern.operators import graph
+from quern.operators import graph, nested
 from quern.plans.web import LINKS_SQL, RICH_SQL, page_links, rich_pages, sql_host, sql_normalize, sql_resolve, sql_route
 from quern.registry import query
+from quern.scratch import materialize
 from quern.sources.tables import table
 
 PARTS_SQL = f"WITH p AS (SELECT page_id, url, html, {sql_host('url')} AS host, list_filter(string_split({sql_route('url')}, '/'), lambda s: s <> '') AS parts, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages)"
@@ -21,18 +22,67 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(PARTS_SQL + """, c AS (SELECT host, page_id, title, len(parts) AS depth, row_number() OVER (PARTITION BY host, len(parts) ORDER BY page_id) AS i FROM p)
-SELECT host, count(*) FILTER (WHERE depth = 1) AS primary_items, least(50, count(*) FILTER (WHERE depth = 2)) AS secondary_items, string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY title, page_id) FILTER (WHERE depth = 1) AS primary_order,
-  CAST(max(depth) AS INTEGER) AS max_depth FROM c GROUP BY host""")
+MENU_SQL = PARTS_SQL + """, k AS (SELECT p.*, unnest(range(1, len(parts) + 1)) AS k FROM p WHERE url IS NOT NULL),
+a AS (SELECT host, host || '/' || array_to_string(parts[1:k], '/') AS node, host || CASE WHEN k > 1 THEN '/' || array_to_string(parts[1:k - 1], '/') ELSE '' END AS parent, CAST(k AS INTEGER) AS depth,
+  CASE WHEN k = len(parts) THEN title END AS title, coalesce(TRY_CAST(nullif(regexp_extract(CASE WHEN k = len(parts) THEN url END, '[?&]page=([0-9]+)', 1), '') AS BIGINT), 999) AS place, CASE WHEN k = len(parts) THEN page_id END AS page_id, parts[k] AS slug FROM k),
+n AS (SELECT host, node, parent, depth, min(slug) AS slug, coalesce(arg_min(title, page_id), min(slug)) AS title, coalesce(arg_min(place, page_id), 999) AS place FROM a GROUP BY host, node, parent, depth),
+j AS (SELECT *, '{"node":' || to_json(node) || ',"title":' || to_json(title) || ',"depth":' || depth || ',"children":[' AS head FROM n),
+"""
+
+
+def menu_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(host, node, parent, depth, slug, title, place): every path of a site, with the title and the
+    page number of its first page; a path without a page has its last segment as title."""
+    p = parts(spark, sf_dir).filter("url is not null and size(parts) > 0")
+    k = p.select("*", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("k"))
+    upto = lambda n: F.concat_ws("/", F.array("host"), F.slice("parts", F.lit(1), n))
+    own = F.col("k") == F.size("parts")
+    number = F.nullif(F.regexp_extract("url", "[?&]page=([0-9]+)", 1), F.lit("")).cast("long")
+    a = k.select(
+        "host", upto(F.col("k")).alias("node"), upto(F.col("k") - 1).alias("parent"), F.col("k").alias("depth"), F.get("parts", F.col("k") - 1).alias("slug"),
+        F.when(own, F.struct("page_id", "title", F.coalesce(number, F.lit(999)).alias("place"))).alias("page"),
+    )
+    g = a.groupBy("host", "node", "parent", "depth").agg(F.min("slug").alias("slug"), F.min("page").alias("page"))
+    return g.select("host", "node", "parent", "depth", "slug", F.coalesce("page.title", "slug").alias("title"), F.coalesce("page.place", F.lit(999)).alias("place"))
+
+
+@query(MENU_SQL + """c3 AS (SELECT parent, string_agg(head || ']}', ',' ORDER BY place, title, node) AS kids FROM j WHERE depth = 3 GROUP BY parent),
+c2 AS (SELECT j.parent, string_agg(head || coalesce(kids, '') || ']}', ',' ORDER BY place, title, node) AS kids FROM j LEFT JOIN c3 ON c3.parent = j.node WHERE depth = 2 GROUP BY j.parent),
+s AS (SELECT * FROM j WHERE depth = 2 QUALIFY row_number() OVER (PARTITION BY host ORDER BY node) <= 50)
+SELECT 'primary' AS menu, host, node, head || coalesce(kids, '') || ']}' AS json FROM j LEFT JOIN c2 ON c2.parent = j.node WHERE depth = 1
+UNION ALL SELECT 'secondary', host, node, head || coalesce(kids, '') || ']}' FROM s LEFT JOIN c3 ON c3.parent = s.node""")
+def navigation_menus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of each site's menus with the items nested in them: the primary menu has all paths
+    of depth 1 with two levels below, the secondary fifty of depth 2 with one."""
+    n = materialize(menu_nodes(spark, sf_dir), "menu")
+    item, order = F.struct("node", "title", "depth"), [F.col("place"), F.col("title")]
+    first = F.row_number().over(Window.partitionBy("host").orderBy("node"))  # fifty a host: Spark limits before it shuffles
+    second = n.filter("depth = 2").withColumn("i", first).filter("i <= 50").select("host", F.col("node").alias("n2"))
+    primary = nested.fold(n, item, order, top=1, levels=2).select(F.lit("primary").alias("menu"), F.substring_index("node", "/", 1).alias("host"), "node", "json")
+    lower = nested.fold(n, item, order, top=2, levels=1).join(second, F.col("node") == F.col("n2"))
+    return primary.unionByName(lower.select(F.lit("secondary").alias("menu"), "host", "node", "json"))
+
+
+@query(MENU_SQL + """f AS (SELECT *, '{"route":' || to_json(regexp_replace(node, '^[^/]*', '')) || ',"title":' || to_json(title) || ',"slug":' || to_json(slug) || ',"depth":' || depth || ',"children":[' AS h FROM n WHERE depth <= 2 AND slug NOT IN ('privacy', 'terms', 'es')),
+c2 AS (SELECT parent, string_agg(h || ']}', ',' ORDER BY node) AS kids FROM f WHERE depth = 2 GROUP BY parent)
+SELECT host, node, h || coalesce(kids, '') || ']}' AS json FROM f LEFT JOIN c2 ON c2.parent = f.node WHERE depth = 1""")
+def prime_menus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed routes down to depth 2, nested, by route; those that a footer or nothing lists are
+    left out with what is below them (a fixture: privacy, terms and all of /es)."""
+    n = menu_nodes(spark, sf_dir).filter("depth <= 2 and slug not in ('privacy', 'terms', 'es')")
+    item = F.struct(F.regexp_replace("node", "^[^/]*", "").alias("route"), "title", "slug", "depth")
+    return nested.fold(n, item, [F.col("node")], top=1, levels=1).select(F.substring_index("node", "/", 1).alias("host"), "node", "json")
+
+
+@query(PARTS_SQL + """, c AS (SELECT host, len(parts) AS depth FROM p)
+SELECT host, count(*) FILTER (WHERE depth = 1) AS primary_items, least(50, count(*) FILTER (WHERE depth = 2)) AS secondary_items, CAST(max(depth) AS INTEGER) AS max_depth FROM c GROUP BY host""")
 def navigation_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each site's navigation: pages one level deep by title, and of the next level fifty at most
-    (a menu's length). Titles are compared by code point."""
-    p = parts(spark, sf_dir).select("host", "page_id", "title", F.size("parts").alias("depth"))
-    first = F.transform(F.sort_array(F.collect_list(F.when(F.col("depth") == 1, F.struct("title", "page_id")))), lambda x: x["page_id"].cast("string"))
-    g = p.groupBy("host").agg(
-        F.count_if(F.col("depth") == 1).alias("primary_items"), F.least(F.lit(50), F.count_if(F.col("depth") == 2)).alias("secondary_items"), first.alias("o"), F.max("depth").alias("max_depth")
+    """How large each site's navigation is: pages one level deep, and of the next level fifty at
+    most (a menu's length). The items themselves are rows of ``navigation_menus``."""
+    p = parts(spark, sf_dir).select("host", F.size("parts").alias("depth"))
+    return p.groupBy("host").agg(
+        F.count_if(F.col("depth") == 1).alias("primary_items"), F.least(F.lit(50), F.count_if(F.col("depth") == 2)).alias("secondary_items"), F.max("depth").alias("max_depth")
     )
-    return g.select("host", "primary_items", "secondary_items", F.when(F.size("o") > 0, F.array_join("o", ",")).alias("primary_order"), "max_depth")
 
 
 @query(PARTS_SQL + """, s AS (SELECT page_id, list_transform(list_filter(parts, lambda x: NOT regexp_matches(x, '^[0-9]+$') AND NOT regexp_matches(x, '[.](html?|php|aspx?)$', 'i')), lambda x: replace(replace(lower(x), '-', ' '), '_', ' '))[1:4] AS c FROM p),
