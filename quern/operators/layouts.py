@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import paths
+from quern.operators import route_trie
+from quern.scratch import materialize
 
 #: The layout of each content type, and what a layout must have.
 LAYOUT_OF = {
@@ -96,46 +98,46 @@ def collisions(prime: DataFrame, backend: DataFrame) -> DataFrame:
     methods, api); ids order the backend and the first hit counts: the same path, a wildcard of
     either side, the same structure; else an API that holds one below it; else SAFE.
 
-    Routes meet by equal path, by length and first literal, by first literal of a wildcard, and
-    by prefix; only routes that begin with a parameter or a wildcard meet all of their length.
+    Routes that are alike count as one. Paths meet in a walk of two tries, and ``**`` takes what
+    is below a node by its least ids, so no route meets all others of its length. Null
+    paths are the root's; routes of no methods share none; an empty side is met by nothing.
     """
-    shape = lambda df, tag: df.select(*(F.col(c).alias(f"{tag}{c}") for c in ("id", "path", "methods", "api")), paths.segments(F.col("path")).alias(f"{tag}s"))
-    p, b = shape(prime, "p_"), shape(backend, "b_")
-
-    def keys(s: Column, wide: bool) -> Column:
-        """What a route can be met by: its length and first segment, or any where either is open."""
-        first = F.try_element_at(s, F.lit(1))
-        literal = F.when(first["kind"] == "literal", first["raw"])
-        long = F.exists(s, lambda x: x["kind"] == "wildcard")
-        sizes = F.when(long, F.array(F.lit(-1))).otherwise(F.array(F.size(s), F.lit(-1)) if wide else F.array(F.size(s)))
-        firsts = F.when(literal.isNull(), F.array(F.lit("*"))).otherwise(F.array(literal, F.lit("*")) if wide else F.array(literal))
-        return F.flatten(F.transform(sizes, lambda n: F.transform(firsts, lambda f: F.named_struct(F.lit("n"), n, F.lit("f"), f))))
-
-    # A route with an open start or a wildcard meets all under that key; others only their own.
-    narrow = lambda df, tag: df.select("*", F.explode(keys(F.col(f"{tag}s"), False)).alias("k"))
-    wide = lambda df, tag: df.select("*", F.explode(keys(F.col(f"{tag}s"), True)).alias("k"))
-    pairs = narrow(p, "p_").join(wide(b, "b_"), "k").drop("k").unionByName(wide(p, "p_").join(narrow(b, "b_"), "k").drop("k")).dropDuplicates(["p_id", "b_id"])
+    p, b = materialize(route_trie.classes(prime, "p_"), "routes"), materialize(route_trie.classes(backend, "b_"), "routes")
     any_ = lambda m: F.array_contains(m, "ANY")
     shared = F.filter("p_methods", lambda m: F.array_contains("b_methods", m) | (m == "ANY") | any_(F.col("b_methods")))
-    only = F.size("p_methods") - F.size(shared)
-    some = F.size(shared) > 0
-    api = F.col("p_api") | F.col("b_api")
-    same = F.col("p_path") == F.col("b_path")
-    wild = lambda s: F.exists(s, lambda x: x["kind"] == "wildcard")
-    hit = (
-        F.when(same, F.when(some & api, F.struct(F.lit("BLOCK").alias("r"), F.lit("exact").alias("k")))
-               .when(some & (only == F.size("p_methods")), F.struct(F.lit("RENAME").alias("r"), F.lit("exact").alias("k")))
-               .when(some | (only > 0), F.struct(F.lit("MERGE").alias("r"), F.lit("exact").alias("k"))))
-        .when(wild(F.col("p_s")) & paths.wildcard_captures(F.col("p_s"), F.col("b_s")), F.struct(F.lit("BLOCK").alias("r"), F.lit("wildcard").alias("k")))
-        .when(wild(F.col("b_s")) & paths.wildcard_captures(F.col("b_s"), F.col("p_s")), F.struct(F.lit("RENAME").alias("r"), F.lit("wildcard").alias("k")))
-        .when((F.size("p_s") == F.size("b_s")) & paths.structural_match(F.col("p_s"), F.col("b_s")) & (some | (only > 0)),
-              F.struct(F.when(some, "BLOCK").otherwise("MERGE").alias("r"), F.lit("parameter").alias("k")))
-    )
-    hits = pairs.withColumn("hit", hit).filter("hit is not null").groupBy("p_id").agg(F.min_by(F.struct("hit", "b_id"), "b_id").alias("h"))
-    above = b.filter("b_api").select("b_id", "b_path", "b_methods", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("b_s") - 1, F.lit(1))), lambda n: F.concat(F.lit("/"), F.array_join(F.transform(F.slice("b_s", F.lit(1), n), lambda s: s["raw"]), "/")))).alias("p_path"))
-    below = p.filter("p_api").join(above.filter("p_path != b_path"), "p_path").filter(some).groupBy("p_id").agg(F.min("b_id").alias("below"))
-    out = p.select("p_id").join(hits, "p_id", "left").join(below, "p_id", "left")
-    return out.select(
-        F.col("p_id").alias("id"), F.coalesce("h.hit.r", F.when(F.col("below").isNotNull(), "RENAME"), F.lit("SAFE")).alias("resolution"),
-        F.coalesce("h.hit.k", F.when(F.col("below").isNotNull(), "api")).alias("kind"), F.coalesce("h.b_id", "below").alias("other"),
+    only, some, api = F.size("p_methods") - F.size(shared), F.size(shared) > 0, F.col("p_api") | F.col("b_api")
+    found = lambda df, kind, turn, resolution, other="b_id": df.select("p_path", "p_methods", "p_api", F.struct(F.col(other).alias("b_id"), F.lit(turn).alias("turn"), resolution.alias("r"), F.lit(kind).alias("k")).alias("hit")).filter("hit.r is not null")
+
+    same = p.join(b.select("b_path", "b_methods", "b_api", "b_id"), F.col("p_path") == F.col("b_path"))
+    hits = [found(same, "exact", 0, route_trie.hit(some, only, F.size("p_methods"), api))]
+
+    met, deep = route_trie.walk(p, b, "p_", "b_")
+    pairs = met.join(p.drop("p_keys", "p_segments"), F.col("a") == F.col("p_key")).join(b.drop("b_keys", "b_segments"), F.col("b") == F.col("b_key")).filter("p_path != b_path")
+    hits += [
+        found(pairs.filter("a_takes and p_wild"), "wildcard", 1, F.lit("BLOCK")), found(pairs.filter("b_takes and b_wild"), "wildcard", 2, F.lit("RENAME")),
+        found(pairs, "parameter", 3, F.when(some, "BLOCK").when(only > 0, "MERGE")),
+    ]
+    # ** of a prime route takes the backend below a node, by its two least ids of different paths.
+    under = route_trie.least_two(route_trie.proper_prefixes(b, "b_", "b_id", "b_path"), "prefix", "b_id", "b_path")
+    taken = route_trie.least_two(deep.filter("a_side").join(under, F.col("b") == F.col("prefix")), "a", "b_id", "b_path")
+    hits.append(found(p.join(taken, F.col("p_deep") == F.col("a")).filter("p_path != b_path"), "wildcard", 1, F.lit("BLOCK")))
+    # ** of a backend route takes prime routes below a node: each looks its own nodes up.
+    wide = route_trie.least_two(b.filter("b_deep is not null"), "b_deep", "b_id", "b_path")
+    taken = route_trie.least_two(deep.filter("not a_side").join(wide, F.col("b") == F.col("b_deep")), "a", "b_id", "b_path")
+    below = route_trie.proper_prefixes(p, "p_", "p_path", "p_methods", "p_api")
+    hits.append(found(below.join(taken, F.col("prefix") == F.col("a")).filter("p_path != b_path"), "wildcard", 2, F.lit("RENAME")))
+
+    every = hits[0]
+    for more in hits[1:]:
+        every = every.unionByName(more)
+    key = ["p_path", "p_methods", "p_api"]
+    first = every.groupBy(*key).agg(F.min("hit").alias("h"))
+    parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size("b_segments") - 1, F.lit(1))), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(F.transform(paths.segments(F.col("b_path")), lambda s: s["raw"]), F.lit(1), n), "/")))
+    above = b.filter("b_api").select("b_id", "b_path", "b_methods", F.explode(parents).alias("above")).filter("above != b_path")
+    inside = p.filter("p_api").join(above, F.col("p_path") == F.col("above")).filter(some).groupBy(*key).agg(F.min("b_id").alias("below"))
+    told = p.select(*key).join(first, key, "left").join(inside, key, "left").withColumnsRenamed({k: k[2:] for k in key})
+    on = [prime[k].eqNullSafe(told[k]) for k in ("path", "methods", "api")]
+    return prime.join(told, on[0] & on[1] & on[2]).select(
+        "id", F.coalesce("h.r", F.when(F.col("below").isNotNull(), "RENAME"), F.lit("SAFE")).alias("resolution"),
+        F.coalesce("h.k", F.when(F.col("below").isNotNull(), "api")).alias("kind"), F.coalesce("h.b_id", "below").alias("other"),
     )
