@@ -6,8 +6,6 @@ or a script counts as well. Null HTML gives null or empty arrays.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,7 +43,7 @@ def tags(html: Column, name: str) -> Column:
 def attribute(tag: Column, name: str) -> Column:
     """The value of an attribute in quotes, trimmed; null where the tag lacks it."""
     found = F.regexp_extract(tag, rf"""(?i)(?<=[\s"'])({name}\s*=\s*(?:"[^"]*"|'[^']*'))""", 1)
-    return F.when(found != "", F.trim(F.regexp_extract(found, r"""=\s*["']([^"']*)["']$""", 1)))
+    return bound(found, lambda f: F.when(f != "", F.trim(F.regexp_extract(f, r"""=\s*["']([^"']*)["']$""", 1))))
 
 
 def values(html: Column, name: str, attr: str) -> Column:
@@ -55,6 +53,10 @@ def values(html: Column, name: str, attr: str) -> Column:
 
 def _with(html: Column, tag_name: str, **needs: str) -> Column:
     """Tags whose attributes hold the words given, as ``rel="preload"``."""
+    return _of(tags(html, tag_name), **needs)
+
+
+def _of(found: Column, **needs: str) -> Column:
 
     def fits(tag: Column) -> Column:
         ok = F.lit(True)
@@ -62,7 +64,7 @@ def _with(html: Column, tag_name: str, **needs: str) -> Column:
             ok = ok & F.coalesce(F.lower(attribute(tag, k.rstrip("_"))).rlike(rf"(^|\s){v}(\s|$)"), F.lit(False))
         return ok
 
-    return F.filter(tags(html, tag_name), fits)
+    return F.filter(found, fits)
 
 
 def hrefs(html: Column) -> Column:
@@ -72,15 +74,19 @@ def hrefs(html: Column) -> Column:
 
 def meta_content(html: Column, name: str, key: str = "name") -> Column:
     """The content of the first ``<meta name=...>`` (or another ``key``); null where there is none."""
-    return F.nullif(attribute(F.get(_with(html, "meta", **{key: name}), 0), "content"), F.lit(""))
+    return content_of(tags(html, "meta"), name, key)
+
+
+def content_of(metas: Column, name: str, key: str = "name") -> Column:
+    """As :func:`meta_content`, of the meta tags of a page."""
+    return F.nullif(attribute(F.get(_of(metas, **{key: name}), 0), "content"), F.lit(""))
 
 
 def meta_tags(html: Column) -> Column:
     """Map of lowered names to contents; of a repeated name the last counts."""
     entries = F.transform(tags(html, "meta"), lambda t: F.struct(F.lower(attribute(t, "name")).alias("key"), attribute(t, "content").alias("value")))
     entries = F.filter(entries, lambda e: e["key"].isNotNull() & (e["value"] != ""))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
-    return F.map_from_entries(last)
+    return bound(F.reverse(entries), lambda rows: F.map_from_entries(F.reverse(_first_of(rows, "key"))))
 
 
 def cookies(header: Column) -> Column:
@@ -124,7 +130,7 @@ def css_colors(css: Column) -> Column:
 
 
 def is_placeholder(src: Column) -> Column:
-    named = reduce(lambda a, p: a | F.contains(F.lower(src), F.lit(p)), PLACEHOLDERS, F.lit(False))
+    named = src.rlike("(?i)" + "|".join(p.replace(".", "[.]") for p in PLACEHOLDERS))
     return F.coalesce((src == "") | (src == "about:blank") | (src.startswith("data:") & (F.length(src) < 200)) | named, F.lit(True))
 
 
@@ -174,19 +180,26 @@ def _image_candidates(html: Column, sources: str = "") -> Column:
     def first(value: Column) -> Column:
         return F.array_compact(F.array(value))
 
+    def real(t: Column, name: str) -> Column:
+        return bound(attribute(t, name), lambda v: F.when(~is_placeholder(v), v))
+
+    def lazy(t: Column) -> Column:
+        # An image without any such attribute is told by one look.
+        found_ = F.coalesce(*(real(t, a) for a in LAZY), *(best_of_srcset(attribute(t, a)) for a in LAZY_SRCSET))
+        return F.when(t.rlike(r"(?i)\sdata-"), found_)
+
     shown = F.regexp_replace(html, r"(?is)<noscript[^>]*>.*?</noscript>", "")
     hidden = F.array_join(F.regexp_extract_all(html, F.lit(r"(?is)<noscript[^>]*>(.*?)</noscript>"), F.lit(1)), " ")
-    pictures = F.array_join(F.regexp_extract_all(shown, F.lit(r"(?is)<picture[^>]*>(.*?)</picture>"), F.lit(1)), " ")
+    seen = bound(shown, lambda s: F.struct(s.alias("html"), tags(s, "img").alias("imgs"), F.array_join(F.regexp_extract_all(s, F.lit(r"(?is)<picture[^>]*>(.*?)</picture>"), F.lit(1)), " ").alias("pictures")))
+    parts = F.struct(seen.alias("seen"), hidden.alias("hidden"), tags(html, "meta").alias("metas"))
+    return bound(parts, lambda p: _found_in(html, p["seen"]["html"], p["seen"]["imgs"], p["seen"]["pictures"], p["hidden"], p["metas"], found, first, real, lazy, sources))
 
-    def lazy(t: Column) -> Column:
-        plain = [F.when(~is_placeholder(attribute(t, a)), attribute(t, a)) for a in LAZY]
-        return F.coalesce(*plain, *(best_of_srcset(attribute(t, a)) for a in LAZY_SRCSET))
 
-    imgs = tags(shown, "img")
-    own = F.transform(imgs, lambda t: F.when(~is_placeholder(attribute(t, "src")), attribute(t, "src")))
+def _found_in(html, shown, imgs, pictures, hidden, metas, found, first, real, lazy, sources) -> Column:
+    own = F.transform(imgs, lambda t: real(t, "src"))
     return F.concat(
-        found(first(F.coalesce(meta_content(html, "og:image", "property"), meta_content(html, "og:image:secure_url", "property"))), "og_meta"),
-        found(first(F.coalesce(*(meta_content(html, n, k) for n in ("twitter:image", "twitter:image:src") for k in ("name", "property")))), "twitter_meta"),
+        found(first(F.coalesce(content_of(metas, "og:image", "property"), content_of(metas, "og:image:secure_url", "property"))), "og_meta"),
+        found(first(F.coalesce(*(content_of(metas, n, k) for n in ("twitter:image", "twitter:image:src") for k in ("name", "property")))), "twitter_meta"),
         found(F.transform(_with(html, "link", rel="preload", as_="image"), lambda t: attribute(t, "href")), "link_preload"),
         found(values(hidden, "img", "src"), "noscript_src"),
         found(F.transform(values(hidden, "img", "srcset"), best_of_srcset), "noscript_srcset_best"),

@@ -21,8 +21,12 @@ def signals(
     header_names: Column | None = None,
     login_status: Column | None = None,
     api_status: Column | None = None,
+    generator: Column | None = None,
+    scripts: Column | None = None,
+    links: Column | None = None,
 ) -> dict[str, Column]:
-    """Whether each sign is there; null HTML and headers that are not given hold none."""
+    """Whether each sign is there; null HTML and headers that are not given hold none. What the
+    tags of the page say (generator, sources of scripts, targets of links) may be given."""
 
     def given(c: Column | None, kind: str) -> Column:
         return F.lit(None).cast(kind) if c is None else c
@@ -34,8 +38,8 @@ def signals(
         return F.coalesce(given(c, "string").rlike(pattern), F.lit(False))
 
     held = {name: F.coalesce(html.rlike(p), F.lit(False)) for name, p in markup.SIGNS}
-    generator = F.try_element_at(markup.meta_tags(html), F.lit("generator"))
-    scripts, links = markup.values(html, "script", "src"), markup.values(html, "link", "href")
+    own = tag_values(html)
+    generator, scripts, links = (own[k] if c is None else c for k, c in (("generator", generator), ("scripts", scripts), ("links", links)))
     jar = given(cookies, "array<string>")
     return held | {
         "gen-wordpress": text(generator, "(?i)wordpress"), "gen-next": text(generator, r"(?i)next\.js"), "gen-astro": text(generator, "(?i)astro"),
@@ -49,6 +53,21 @@ def signals(
     }
 
 
+def tag_values(html: Column) -> dict[str, Column]:
+    return {"generator": F.try_element_at(markup.meta_tags(html), F.lit("generator")), "scripts": markup.values(html, "script", "src"), "links": markup.values(html, "link", "href")}
+
+
+def fingerprint(pages: DataFrame, html: Column, **given: Column) -> DataFrame:
+    """``pages`` plus ``found`` (framework, score, confidence, others). Tags are taken out of a page
+    once and each sign is looked for once: columns that several others use stay columns."""
+    names = {f"_{k}": v for k, v in tag_values(html).items()}
+    tagged = pages.withColumns(names)
+    held = signals(html, generator=F.col("_generator"), scripts=F.col("_scripts"), links=F.col("_links"), **given)
+    marked = tagged.select(*pages.columns, F.struct(*(v.alias(k) for k, v in held.items())).alias("_held"))
+    scored = marked.withColumn("_scores", F.struct(*(v.alias(k) for k, v in scores({k: F.col("_held")[k] for k in held}).items())))
+    return scored.select(*pages.columns, detect({k: F.col("_scores")[k] for k in POINTS}).alias("found"))
+
+
 #: Points of each sign.
 POINTS = {
     "wordpress": {

@@ -100,12 +100,13 @@ def seo(pages: DataFrame) -> DataFrame:
     """Title, description, canonical, robots, language and issues of (page_id, url, html)."""
     html = F.col("html")
     title = F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    metas = F.col("_metas")
     linked = F.get(F.filter(markup.tags(html, "link"), lambda t: F.lower(markup.attribute(t, "rel")) == "canonical"), 0)
-    pages = pages.select(
-        "page_id", "url", title.alias("title"), markup.meta_content(html, "description").alias("description"), markup.attribute(linked, "href").alias("canonical"),
-        F.coalesce(markup.meta_content(html, "robots"), F.lit("")).alias("robots"), markup.attribute(F.get(markup.tags(html, "html"), 0), "lang").alias("lang"),
+    pages = pages.withColumn("_metas", markup.tags(html, "meta")).select(
+        "page_id", "url", title.alias("title"), markup.content_of(metas, "description").alias("description"), markup.attribute(linked, "href").alias("canonical"),
+        F.coalesce(markup.content_of(metas, "robots"), F.lit("")).alias("robots"), markup.attribute(F.get(markup.tags(html, "html"), 0), "lang").alias("lang"),
         markup.headings(html).alias("levels"), F.size(F.filter(markup.tags(html, "img"), lambda t: (F.coalesce(markup.attribute(t, "src"), markup.attribute(t, "data-src"), F.lit("")) != "") & markup.attribute(t, "alt").isNull())).alias("no_alt"),
-        *(markup.meta_content(html, n, k).alias(c) for n, k, c in (("og:title", "property", "og_title"), ("og:description", "property", "og_description"), ("og:image", "property", "og_image"), ("twitter:card", "name", "card"), ("viewport", "name", "viewport"))),
+        *(markup.content_of(metas, n, k).alias(c) for n, k, c in (("og:title", "property", "og_title"), ("og:description", "property", "og_description"), ("og:image", "property", "og_image"), ("twitter:card", "name", "card"), ("viewport", "name", "viewport"))),
         F.size(markup.structured_data(html)).alias("items"),
     )
     h1 = F.size(F.filter("levels", lambda x: x == 1))
@@ -190,11 +191,9 @@ def framework_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
             "header_names": F.when(kind == 3, F.array(F.lit("x-next-cache"))),
         }
     )
-    signals = frameworks.signals(
-        F.col("html"), powered_by=F.col("powered_by"), cookies=markup.cookies(F.col("set_cookie")), header_names=F.col("header_names")
-    )
-    found = pages.select("page_id", frameworks.detect(frameworks.scores(signals)).alias("d"))
-    return found.select("page_id", F.col("d.framework").alias("framework"), "d.score", "d.confidence", F.array_join("d.others", ",").alias("others"))
+    pages = pages.withColumn("jar", markup.cookies(F.col("set_cookie")))
+    found = frameworks.fingerprint(pages, F.col("html"), powered_by=F.col("powered_by"), cookies=F.col("jar"), header_names=F.col("header_names"))
+    return found.select("page_id", F.col("found.framework").alias("framework"), "found.score", "found.confidence", F.array_join("found.others", ",").alias("others"))
 
 
 @query(rf"""
