@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import markup, paths, text, urls
-from quern.operators import graph, nested
+from quern.operators import frontier, graph, nested
 from quern.plans.web import LINKS_SQL, RICH_SQL, page_links, rich_pages, sql_host, sql_normalize, sql_resolve, sql_route
 from quern.registry import query
 from quern.scratch import materialize
@@ -338,3 +338,39 @@ def relationship_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = df.select(F.lit(kind).alias("kind"), "page_id", "target")
         every = e if every is None else every.unionByName(e)
     return every.distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("target").alias("targets"))
+
+
+_ADMIT_SQL = f"""CASE WHEN lower(regexp_extract(link, '^([A-Za-z]+):', 1)) IN ('mailto', 'javascript', 'tel', 'sms', 'data', 'ftp', 'file', 'callto', 'skype', 'viber', 'whatsapp', 'tg') THEN 'protocol'
+  WHEN NOT regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+') THEN 'protocol' WHEN {sql_host('link')} <> {sql_host('url')} THEN 'external'
+  WHEN regexp_matches({sql_route('link')}, '{urls.BLOCKED_EXTENSION}') THEN 'extension' WHEN regexp_matches({sql_route('link')}, '{urls.BLOCKED_PATH}') THEN 'path' END"""
+FRONTIER_SQL = rf"""{RICH_SQL}, own AS (SELECT {sql_normalize('url')} AS node, min(page_id) AS page_id FROM pages WHERE url IS NOT NULL GROUP BY 1),
+h AS (SELECT p.page_id, own.node, trim(p.url) AS url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href, unnest(range(len(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)))) AS place FROM pages_rich p JOIN own USING (page_id)),
+m AS (SELECT page_id, node, url, place, {sql_resolve('url', 'href')} AS link FROM h), l AS (SELECT page_id, node, place, {sql_normalize('link')} AS link, {_ADMIT_SQL} AS reason FROM m),
+s AS (SELECT {sql_host('url')} AS crawl, min(page_id) AS page_id FROM pages WHERE url IS NOT NULL GROUP BY 1), r AS (SELECT crawl, node AS seed, node FROM s JOIN own USING (page_id)),
+c AS (SELECT crawl, seed, place, link, reason FROM r JOIN l USING (node)), f AS (SELECT crawl, link, min(place) AS first FROM c WHERE link <> seed AND reason IS NULL GROUP BY ALL),
+a AS (SELECT *, row_number() OVER (PARTITION BY crawl ORDER BY first) + 1 AS turn FROM f QUALIFY turn <= 6), z AS (SELECT crawl, first AS last FROM a WHERE turn = 6),
+j AS (SELECT c.crawl, CASE WHEN c.link = seed OR place > first THEN 'duplicate' WHEN place > last AND first IS DISTINCT FROM place THEN 'budget' ELSE reason END AS reason FROM c LEFT JOIN a USING (crawl, link) LEFT JOIN z USING (crawl))
+"""
+
+
+def crawls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A crawl of each host from its first page: six pages at most and one level."""
+    pages = rich_pages(spark, sf_dir).filter("url is not null")
+    own = pages.groupBy(urls.normalize(F.col("url")).alias("node")).agg(F.min("page_id").alias("page_id"))
+    seeds = pages.groupBy(urls.host(F.col("url")).alias("crawl")).agg(F.min("page_id").alias("page_id")).join(own, "page_id").select("crawl", "node")
+    held = pages.join(own, "page_id").select("node", F.trim("url").alias("url"), F.posexplode(markup.hrefs(F.col("html"))).alias("place", "href"))
+    link = held.select("node", "place", "url", urls.resolve(F.col("url"), F.col("href")).alias("link"))
+    links = link.select("node", "place", urls.normalize(F.col("link")).alias("link"), urls.skip_reason(F.col("link"), urls.host(F.col("url"))).alias("reason"))
+    return frontier.crawl(seeds, links, max_pages=6, max_depth=1)
+
+
+@query(FRONTIER_SQL + "SELECT crawl, seed AS node, 0 AS depth, CAST(1 AS BIGINT) AS turn FROM r UNION ALL SELECT crawl, link, 1, turn FROM a")
+def crawl_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pages a crawl with a budget visits, in the order of its queue."""
+    return crawls(spark, sf_dir)[0]
+
+
+@query(FRONTIER_SQL + "SELECT crawl, reason, count(*) AS n FROM j WHERE reason IS NOT NULL GROUP BY ALL UNION ALL SELECT crawl, 'depth', count(*) FROM a JOIN l ON l.node = a.link GROUP BY crawl")
+def crawl_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each crawl left links out."""
+    return crawls(spark, sf_dir)[1]
