@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans import crawl, extract, failures, health, history, joins, machines, merge, pages, rollups, scalars, scores, scoring, site, stream, validation, web  # noqa: F401  they register
+from quern.plans import crawl, extract, failures, health, history, joins, machines, merge, pages, planner, rollups, scalars, scores, scoring, site, stream, validation, web  # noqa: F401  they register
 from quern.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -132,6 +132,15 @@ def merge_risk_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("o_custkey", merge.risk_level(F.col("ok"), F.col("back"), F.col("conflicts")).alias("risk"))
 
 
+def route_patterns(spark: SparkSession, r: DataFrame) -> DataFrame:
+    """Routes of a code base, made of those of pages: equal ones, open ones and two that are always there."""
+    d = r.groupBy("route").agg(F.min("id").alias("k"))
+    own = d.filter("k % 4 = 0").select((F.col("k") * 2).alias("ord"), F.col("route").alias("pattern"), F.lit("UPDATE").alias("action"))
+    open_ = d.filter("k % 3 = 0 and route != '/'").select((F.col("k") * 2 + 1).alias("ord"), F.regexp_replace("route", "[^/]+$", "[id]").alias("pattern"), F.lit("EXTEND").alias("action"))
+    fixed = spark.createDataFrame([(900000, "/en/[...rest]", "CREATE"), (900001, "/[lang]/[page]", "IGNORE")], "ord long, pattern string, action string")
+    return own.unionByName(open_).unionByName(fixed)
+
+
 @query(rf"""
 WITH r AS (SELECT page_id AS id, {sql_route('url')} AS route FROM pages), d AS (SELECT route, min(id) AS k FROM r GROUP BY route),
 p AS (SELECT k * 2 AS ord, route AS pattern, 'UPDATE' AS action FROM d WHERE k % 4 = 0 UNION ALL SELECT k * 2 + 1, regexp_replace(route, '[^/]+$', '[id]'), 'EXTEND' FROM d WHERE k % 3 = 0 AND route <> '/' UNION ALL VALUES (900000, '/en/[...rest]', 'CREATE'), (900001, '/[lang]/[page]', 'IGNORE')),
@@ -144,11 +153,7 @@ def route_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a code base's routes, made of those of pages, do for each page: an equal route, else
     the first pattern or catch-all that fits."""
     r = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), urls.route(F.col("url")).alias("route"))
-    d = r.groupBy("route").agg(F.min("id").alias("k"))
-    own = d.filter("k % 4 = 0").select((F.col("k") * 2).alias("ord"), F.col("route").alias("pattern"), F.lit("UPDATE").alias("action"))
-    open_ = d.filter("k % 3 = 0 and route != '/'").select((F.col("k") * 2 + 1).alias("ord"), F.regexp_replace("route", "[^/]+$", "[id]").alias("pattern"), F.lit("EXTEND").alias("action"))
-    fixed = spark.createDataFrame([(900000, "/en/[...rest]", "CREATE"), (900001, "/[lang]/[page]", "IGNORE")], "ord long, pattern string, action string")
-    return merge.pattern_matches(r, own.unionByName(open_).unionByName(fixed))
+    return merge.pattern_matches(r, route_patterns(spark, r))
 
 
 _LAYOUT_SQL = "CASE page_id % 9 WHEN 0 THEN 'ArticleLayout' WHEN 1 THEN 'ArticleLayout' WHEN 2 THEN 'DocumentationLayout' WHEN 3 THEN 'LandingLayout' WHEN 4 THEN 'PortfolioLayout' WHEN 5 THEN 'GalleryLayout' WHEN 6 THEN 'DocumentationLayout' WHEN 7 THEN 'DocumentationLayout' ELSE 'ArticleLayout' END"
