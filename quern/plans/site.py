@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import markup, paths, text, urls
 from quern.operators import frontier, graph, nested
+from quern.operators.keywords import keyword_overlap
 from quern.plans.web import LINKS_SQL, RICH_SQL, page_links, rich_pages, sql_host, sql_normalize, sql_resolve, sql_route
 from quern.registry import query
 from quern.scratch import materialize
@@ -163,43 +164,6 @@ def object_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(k, "node", "full_outer").select("doc_id", "key", state.alias("state"))
 
 
-#: Words of one kind of resource.
-RESOURCE_WORDS = {
-    "user": ("user", "users", "account", "accounts", "profile", "me", "auth"),
-    "post": ("post", "posts", "article", "articles", "blog", "entry"),
-    "comment": ("comment", "comments", "reply", "replies", "feedback"),
-    "product": ("product", "products", "item", "items", "catalog", "sku"),
-    "order": ("order", "orders", "purchase", "purchases", "cart", "checkout"),
-    "payment": ("payment", "payments", "invoice", "invoices", "billing"),
-    "file": ("file", "files", "upload", "uploads", "attachment", "media"),
-    "message": ("message", "messages", "chat", "notification", "notifications"),
-    "tag": ("tag", "tags", "category", "categories", "label"),
-    "search": ("search", "query", "filter", "find"),
-}
-
-
-def keyword_overlap(pages: DataFrame, endpoints: DataFrame, families: bool = True) -> DataFrame:
-    """(page, endpoint, score) for pages (page, words) and endpoints (endpoint, words) that share
-    anything: 10 a shared word and, with ``families``, 5 for each word of a page whose family
-    has a word at the endpoint. The best of each page, the first of equals.
-
-    Words and families are exploded and joined by equality; pairs without either are never made.
-    A word that many pages and many endpoints have still makes a row for each such pair: leave
-    out words that tell nothing.
-    """
-    p = pages.select("page", F.explode(F.array_distinct("words")).alias("word"))
-    e = endpoints.select("endpoint", F.explode(F.array_distinct("words")).alias("word"))
-    shared = p.join(e, "word").groupBy("page", "endpoint").agg((F.count(F.lit(1)) * 10).alias("score"))
-    if families:
-        table_ = F.create_map(*(x for f, ws in RESOURCE_WORDS.items() for w in ws for x in (F.lit(w), F.lit(f))))
-        pf = p.select("page", F.try_element_at(table_, F.col("word")).alias("family")).filter("family is not null").groupBy("page", "family").agg(F.count(F.lit(1)).alias("k"))
-        ef = e.select("endpoint", F.try_element_at(table_, F.col("word")).alias("family")).filter("family is not null").distinct()
-        kin = pf.join(ef, "family").groupBy("page", "endpoint").agg((F.sum("k") * 5).alias("score"))
-        shared = shared.unionByName(kin).groupBy("page", "endpoint").agg(F.sum("score").alias("score"))
-    best = shared.groupBy("page").agg(F.max_by(F.struct("endpoint", "score"), F.struct("score", -F.col("endpoint"))).alias("b"))
-    return best.select("page", "b.endpoint", "b.score")
-
-
 _KINDS = ("user", "post", "order", "invoice", "upload", "chat", "category", "find", "cart", "blog")
 
 
