@@ -20,6 +20,8 @@ RESOURCE_WORDS = {
 }
 #: Points for a shared word, and for a word whose family the other side knows.
 WORD_POINTS, FAMILY_POINTS = 10, 5
+#: Tasks that share the pages of one key.
+SALTS = 16
 
 
 def best_overlap(asking: DataFrame, offering: DataFrame, common: int = 100) -> DataFrame:
@@ -41,7 +43,7 @@ def best_overlap(asking: DataFrame, offering: DataFrame, common: int = 100) -> D
     r = offering.select("endpoint", "key").filter("endpoint is not null and key is not null").distinct()
     wide = r.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > common).select("key", F.lit(True).alias("wide"))
 
-    l, r = l.join(wide, "key", "left"), r.join(wide, "key", "left")
+    l, r = _spread(l, wide, "key", "left"), r.join(wide, "key", "left")
     asks = l.groupBy("page").agg(F.array_sort(F.collect_list(F.when(F.col("wide"), F.struct("key", "points")))).alias("asks"))
     has = r.groupBy("endpoint").agg(F.array_sort(F.collect_list(F.when(F.col("wide"), F.col("key")))).alias("has"))
 
@@ -49,14 +51,24 @@ def best_overlap(asking: DataFrame, offering: DataFrame, common: int = 100) -> D
     sets = has.groupBy("has").agg(F.min("endpoint").alias("endpoint")).select("endpoint", F.explode("has").alias("key"))
     asked = asks.select("asks").distinct().select("asks", F.explode("asks").alias("a")).select("asks", "a.key", "a.points")
     met = asked.join(sets, "key").groupBy("asks", "endpoint").agg(F.sum("points").alias("score"))
-    alike = asks.join(best(met, "asks"), "asks").select("page", "endpoint", "score")
+    alike = _spread(asks.filter(F.size("asks") > 0), best(met, "asks"), "asks", "inner").select("page", "endpoint", "score")
 
-    near = l.join(r.filter("wide is null").select("endpoint", "key"), "key").groupBy("page", "endpoint").agg(F.sum("points").alias("own"))
+    rare = lambda df: df.filter("wide is null").drop("wide")
+    near = _spread(rare(l).join(asks, "page"), rare(r).join(has, "endpoint"), "key", "inner")
+    near = near.groupBy("page", "endpoint").agg(F.sum("points").alias("own"), F.first("asks").alias("asks"), F.first("has").alias("has"))
     also = F.aggregate(F.filter("asks", lambda a: F.array_contains("has", a["key"])), F.lit(0).cast("long"), lambda t, a: t + a["points"])
-    exact = near.join(asks, "page").join(has, "endpoint").select("page", "endpoint", (F.col("own") + also).alias("score"))
+    exact = near.select("page", "endpoint", (F.col("own") + also).alias("score"))
     return best(alike.unionByName(exact), "page")
 
 
+def _spread(pages: DataFrame, other: DataFrame, key: str, how: str) -> DataFrame:
+    """Join on ``key``, where a key that very many pages share is dealt to :data:`SALTS` tasks by
+    page; ``other``, which follows from endpoints, goes along once for each."""
+    salted = pages.withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int"))
+    each = other.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(each, [key, "salt"], how).drop("salt")
+
+
 def keyword_overlap(pages: DataFrame, endpoints: DataFrame, families: bool = True, common: int = 100) -> DataFrame:
     """(page, endpoint, score) for pages (page, words) and endpoints (endpoint, words) that share
     anything: 10 a shared word and, with ``families``, 5 for each word of a page whose family
