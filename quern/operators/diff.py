@@ -29,6 +29,31 @@ def manifest_diff(before: DataFrame, after: DataFrame, key: str, digest: str) ->
     return a.join(b, key, "full_outer").select(key, status.alias("status"))
 
 
+def page_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """(key, reasons, more_words, images_added, images_gone) for the pages of both crawls that
+    changed, that is whose ``hash`` differs; reasons in a fixed order.
+
+    Both sides: one row a key with hash, title, description, published, images (array) and
+    words; other columns are ignored. Nulls equal nulls only. Images count as a set, a null one
+    is empty and so are null elements; words changed in structure if by more than a tenth of
+    what there was, so never from none. Pages with a null key meet none.
+    """
+    facts = ("hash", "title", "description", "published", "images", "words")
+    a = before.select(key, *(F.col(c).alias(f"_{c}") for c in facts))
+    held = lambda c: F.array_distinct(F.array_compact(F.coalesce(F.col(c), F.array().cast("array<string>"))))
+    both = a.join(after.select(key, *facts), key).filter(~F.col("hash").eqNullSafe(F.col("_hash"))).withColumns({"images": held("images"), "_images": held("_images")})
+    added, gone = F.size(F.array_except("images", "_images")), F.size(F.array_except("_images", "images"))
+    old, more = F.coalesce(F.col("_words"), F.lit(0)), F.coalesce(F.col("words"), F.lit(0)) - F.coalesce(F.col("_words"), F.lit(0))
+    differs = lambda c: ~F.col(c).eqNullSafe(F.col(f"_{c}"))
+    reasons = F.array_compact(
+        F.array(
+            F.lit("contentHashChanged"), F.when(differs("title"), "titleChanged"), F.when((added > 0) | (gone > 0), "imageSetChanged"),
+            F.when(differs("published") | differs("description"), "metadataChanged"), F.when((old > 0) & (F.abs(more) / F.greatest(old, F.lit(1)) > 0.1), "structureChanged"),
+        )
+    )
+    return both.select(key, reasons.alias("reasons"), more.cast("long").alias("more_words"), added.cast("long").alias("images_added"), gone.cast("long").alias("images_gone"))
+
+
 def diff_summary(diff: DataFrame) -> DataFrame:
     """One row: a count for each status and the share of pages that need no new crawl."""
     counts = diff.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("new", "changed", "unchanged", "deleted")))

@@ -26,17 +26,22 @@ def srcset_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("best", markup.best_of_srcset(F.col("srcset")))
 
 
-@query(rf"""
-{RICH_SQL}, c AS (
-  SELECT page_id, url, 1 AS o, 0 AS i, unnest(regexp_extract_all(html, '<meta property="og:image" content="([^"]*)"', 1)[1:1]) AS raw, 'og_meta' AS method FROM pages_rich
-  UNION ALL SELECT page_id, url, 3, 0, unnest(regexp_extract_all(html, '<link rel="preload" href="([^"]*)" as="image"', 1)), 'link_preload' FROM pages_rich
-  UNION ALL SELECT page_id, url, 4, 0, unnest(regexp_extract_all(html, '<noscript><img src="([^"]*)"', 1)), 'noscript_src' FROM pages_rich
-  UNION ALL SELECT page_id, url, 8, 0, unnest(regexp_extract_all(html, '<video [^>]*poster="([^"]*)"', 1)), 'video_poster' FROM pages_rich
-  UNION ALL SELECT page_id, url, 9, 0, unnest(regexp_extract_all(html, '<img [^>]*data-src="([^"]*)"', 1)), 'lazy' FROM pages_rich
-  UNION ALL SELECT page_id, url, 10, 0, unnest(list_filter(regexp_extract_all(replace(html, '<noscript><img', ''), '<img (?:[^>]* )?src="([^"]*)"', 1), lambda u: NOT starts_with(u, 'data:') AND NOT contains(u, 'spacer'))), 'src' FROM pages_rich
-  UNION ALL SELECT page_id, url, 11, 0, {BEST_SQL.format("unnest(regexp_extract_all(html, 'srcset=\"([^\"]*)\"', 1))")}, 'srcset_best' FROM pages_rich
-  UNION ALL SELECT page_id, url, 12, 0, unnest(regexp_extract_all(html, 'background-image:url[(]([^)]*)[)]', 1)), 'css_background_inline' FROM pages_rich
-), r AS (SELECT page_id, o, method, {sql_normalize(sql_resolve('trim(url)', 'raw'), False)} AS image FROM c)
+def images_sql(source: str) -> str:
+    """CTEs c and r (page_id, o, method, image): the images of pages (page_id, url, html) and what finds them, first methods first."""
+    return rf"""c AS (
+  SELECT page_id, url, 1 AS o, 0 AS i, unnest(regexp_extract_all(html, '<meta property="og:image" content="([^"]*)"', 1)[1:1]) AS raw, 'og_meta' AS method FROM {source}
+  UNION ALL SELECT page_id, url, 3, 0, unnest(regexp_extract_all(html, '<link rel="preload" href="([^"]*)" as="image"', 1)), 'link_preload' FROM {source}
+  UNION ALL SELECT page_id, url, 4, 0, unnest(regexp_extract_all(html, '<noscript><img src="([^"]*)"', 1)), 'noscript_src' FROM {source}
+  UNION ALL SELECT page_id, url, 8, 0, unnest(regexp_extract_all(html, '<video [^>]*poster="([^"]*)"', 1)), 'video_poster' FROM {source}
+  UNION ALL SELECT page_id, url, 9, 0, unnest(regexp_extract_all(html, '<img [^>]*data-src="([^"]*)"', 1)), 'lazy' FROM {source}
+  UNION ALL SELECT page_id, url, 10, 0, unnest(list_filter(regexp_extract_all(replace(html, '<noscript><img', ''), '<img (?:[^>]* )?src="([^"]*)"', 1), lambda u: NOT starts_with(u, 'data:') AND NOT contains(u, 'spacer'))), 'src' FROM {source}
+  UNION ALL SELECT page_id, url, 11, 0, {BEST_SQL.format("unnest(regexp_extract_all(html, 'srcset=\"([^\"]*)\"', 1))")}, 'srcset_best' FROM {source}
+  UNION ALL SELECT page_id, url, 12, 0, unnest(regexp_extract_all(html, 'background-image:url[(]([^)]*)[)]', 1)), 'css_background_inline' FROM {source}
+), r AS (SELECT page_id, o, method, {sql_normalize(sql_resolve('trim(url)', 'raw'), False)} AS image FROM c)"""
+
+
+@query(f"""
+{RICH_SQL}, {images_sql('pages_rich')}
 SELECT page_id, image, arg_min(method, o) AS method FROM r GROUP BY page_id, image
 """)
 def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
