@@ -165,9 +165,18 @@ def image_report(html: Column, url: Column) -> Column:
     return bound(_resolved_images(_image_candidates(html, sources="picture_"), url), told)
 
 
+def image_urls(html: Column, url: Column) -> Column:
+    """The URLs of :func:`images` as a set, without what found them."""
+    raw = F.transform(F.filter(_image_candidates(html), lambda c: ~c["raw"].startswith("data:")), lambda c: c["raw"])
+    return F.array_distinct(F.array_compact(F.transform(F.array_distinct(raw), lambda r: _full_image(r, url))))
+
+
+def _full_image(raw: Column, url: Column) -> Column:
+    return bound(urls.resolve(url, raw), lambda link: urls.normalize(link, ("",)))
+
+
 def _resolved_images(candidates: Column, url: Column) -> Column:
-    full = lambda raw: bound(urls.resolve(url, raw), lambda link: urls.normalize(link, ("",)))
-    return F.transform(candidates, lambda c: F.named_struct(F.lit("url"), full(c["raw"]), F.lit("method"), c["method"], F.lit("raw"), c["raw"]))
+    return F.transform(candidates, lambda c: F.named_struct(F.lit("url"), _full_image(c["raw"], url), F.lit("method"), c["method"], F.lit("raw"), c["raw"]))
 
 
 def _image_candidates(html: Column, sources: str = "") -> Column:

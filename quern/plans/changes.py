@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import markup, text, urls
+from quern.functions.binding import bound
 from quern.operators import diff
 from quern.plans.extract import images_sql
 from quern.plans.web import CONTENT_SQL, RICH, RICH_SQL, sql_normalize
@@ -36,12 +37,12 @@ w AS (SELECT norm_url, more_words, images_added, images_gone, list_filter(['cont
 
 def _manifest(pages: DataFrame) -> DataFrame:
     html = F.col("html")
+    told = lambda t: F.struct(markup.content_of(t, "description").alias("description"), markup.content_of(t, "article:published_time", "property").alias("published"))
     nodes = pages.select(
         "page_id", urls.normalize(F.col("url")).alias("norm_url"), text.content_hash(html).alias("hash"), F.regexp_extract(html, "<title>([^<]*)", 1).alias("title"),
-        markup.meta_content(html, "description").alias("description"), markup.meta_content(html, "article:published_time", "property").alias("published"),
-        F.transform(markup.images(html, F.trim("url")), lambda i: i["url"]).alias("images"), F.size(text.words(F.regexp_replace(html, "<[^>]+>", " "))).cast("long").alias("words"),
+        bound(markup.tags(html, "meta"), told).alias("told"), markup.image_urls(html, F.trim("url")).alias("images"), F.size(text.words(F.regexp_replace(html, "<[^>]+>", " "))).cast("long").alias("words"),
     )
-    return diff.last_by_key(nodes, "norm_url", F.col("page_id")).drop("page_id")
+    return diff.last_by_key(nodes, "norm_url", F.col("page_id")).select("*", "told.*").drop("page_id", "told")
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
