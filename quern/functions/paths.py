@@ -53,9 +53,17 @@ def matches(path: Column, pattern: Column) -> Column:
     """Whether a path fits a pattern whose ``[name]`` take one segment; with a catch-all
     (``[...name]``), what stands before it is all that counts."""
     p, u = pieces(pattern), pieces(path)
-    each = F.forall(F.zip_with(p, u, lambda s, v: (s.startswith("[") & s.endswith("]")) | F.coalesce(s == v, F.lit(False))), lambda ok: ok)
-    prefix = F.regexp_replace(pattern, r"/\[\.{1,3}.*$|/\[\[\.{1,3}.*$", "")
-    return F.when(pattern.rlike(CATCH_ALL), F.startswith(path, prefix)).otherwise((F.size(p) == F.size(u)) & each)
+    each = F.forall(F.zip_with(p, u, lambda s, v: is_open(s) | F.coalesce(s == v, F.lit(False))), lambda ok: ok)
+    return F.when(pattern.rlike(CATCH_ALL), F.startswith(path, before_catch_all(pattern))).otherwise((F.size(p) == F.size(u)) & each)
+
+
+def is_open(segment: Column) -> Column:
+    """Whether a pattern's segment takes any segment of a path."""
+    return segment.startswith("[") & segment.endswith("]")
+
+
+def before_catch_all(pattern: Column) -> Column:
+    return F.regexp_replace(pattern, r"/\[\.{1,3}.*$|/\[\[\.{1,3}.*$", "")
 
 
 def open_shape(route: Column) -> Column:

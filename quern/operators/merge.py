@@ -109,23 +109,45 @@ def method_collisions(apis: DataFrame) -> DataFrame:
     return twice.join(files, "path").select("path", "methods")
 
 
+def _form(pieces: Column, open_: Column) -> Column:
+    """Segments as one text in which those that are ``open_`` are empty."""
+    return F.array_join(F.zip_with(pieces, open_, lambda s, o: F.when(o, "/").otherwise(F.concat(F.lit("/"), s))), "")
+
+
+def _known(patterns: DataFrame) -> DataFrame:
+    """(way, key, b): each pattern as it is, and by its form or what stands before its catch-all;
+    of those with one key the first."""
+    p, pieces = F.col("pattern"), paths.pieces(F.col("pattern"))
+    other = F.when(p.rlike(paths.CATCH_ALL), _way("start", paths.before_catch_all(p))).otherwise(_way("form", _form(pieces, F.transform(pieces, paths.is_open))))
+    each = patterns.filter("pattern is not null").select(F.struct("ord", "pattern", "action").alias("b"), F.explode(F.array(_way("equal", p), other)).alias("k"))
+    return each.groupBy("k.way", "k.key").agg(F.min_by("b", "b.ord").alias("b"))
+
+
+def _way(name: str, key: Column) -> Column:
+    return F.struct(F.lit(name).alias("way"), key.alias("key"))
+
+
 def pattern_matches(routes: DataFrame, patterns: DataFrame) -> DataFrame:
     """``routes`` (id, route) with the first of ``patterns`` (ord, pattern, action) that fits: an
     equal one before any other; null ord where none does.
 
-    A pattern meets only routes with as many segments (any number for a catch-all) and, where
-    it has one, its first literal segment, by equi-join.
+    Patterns that take the same routes count as one, the first. A route meets them by
+    equi-join: as it is, with the segments emptied that are open in some pattern of its
+    length, and by its starts that are as long as what stands before some catch-all. So a
+    route makes a row for each way in which segments are open, never for each pattern.
     """
-    some, any_ = lambda p: F.try_element_at(paths.pieces(p), F.lit(1)), "[]"
     p, r = F.col("pattern"), F.col("route")
-    open_ = some(p).isNull() | some(p).startswith("[")
-    size = F.when(p.rlike(paths.CATCH_ALL), -1).otherwise(F.size(paths.pieces(p)))
-    keyed = patterns.select("*", size.alias("_n"), F.when(open_, any_).otherwise(some(p)).alias("_first"))
-    keys = [F.struct(n.alias("_n"), f.alias("_first")) for n in (F.size(paths.pieces(r)), F.lit(-1)) for f in (F.coalesce(some(r), F.lit(any_)), F.lit(any_))]
-    met = routes.select("id", "route", F.explode(F.array_distinct(F.array(*keys))).alias("_k")).select("id", "route", "_k.*")
-    met = met.join(keyed, ["_n", "_first"]).filter((p == r) | paths.matches(r, p))
-    best = met.groupBy("id").agg(F.min_by(F.struct("ord", "pattern", "action"), F.struct(p != r, "ord")).alias("b"))
-    return routes.join(best, "id", "left").select("id", "route", "b.ord", "b.pattern", "b.action")
+    closed, caught = patterns.filter(~p.rlike(paths.CATCH_ALL)), patterns.filter(p.rlike(paths.CATCH_ALL))
+    opens = closed.select(F.transform(paths.pieces(p), paths.is_open).alias("open")).distinct().groupBy(F.size("open").alias("_n")).agg(F.collect_set("open").alias("_opens"))
+    sizes = caught.agg(F.collect_set(F.length(paths.before_catch_all(p))).alias("_sizes"))  # one row
+    each = routes.filter("route is not null").select("route", F.size(paths.pieces(r)).alias("_n")).distinct()
+    each = each.join(F.broadcast(opens), "_n", "left").join(F.broadcast(sizes), F.lit(True))
+    forms = F.transform(F.coalesce("_opens", F.array().cast("array<array<boolean>>")), lambda o: _way("form", _form(paths.pieces(r), o)))
+    starts = F.transform(F.filter("_sizes", lambda n: n <= F.length(r)), lambda n: _way("start", F.substring(r, F.lit(1), n)))
+    met = each.select("route", F.explode(F.concat(F.array(_way("equal", r)), forms, starts)).alias("_k")).select("route", "_k.way", "_k.key")
+    met = met.join(_known(patterns), ["way", "key"])
+    best = met.groupBy("route").agg(F.min_by("b", F.struct(F.col("way") != "equal", "b.ord")).alias("b"))
+    return routes.join(best, "route", "left").select("id", "route", "b.ord", "b.pattern", "b.action")
 
 
 def plan_stats(decisions: DataFrame, conflicts: DataFrame) -> DataFrame:

@@ -153,3 +153,16 @@ def test_merge_of_nothing(spark):
     assert got["InlineMedia"] == ("CREATE", 0.9) and got["Accordion"] == ("CREATE", 0.75)
     routes = spark.createDataFrame([(1, "/x")], "id int, route string")
     assert tuple(merge.pattern_matches(routes, spark.createDataFrame([], "ord int, pattern string, action string")).first()) == (1, "/x", None, None, None)
+
+
+def test_pattern_matches_by_form(spark):
+    """Equal patterns count as one; a catch-all takes all that starts as it does; forms mix."""
+    routes = spark.createDataFrame([(1, "/en/a"), (2, "/english"), (3, "/de/x/c"), (4, "/de//x/c/"), (5, "/[q]"), (6, None), (7, "/"), (8, "/de/y/d")], "id int, route string")
+    patterns = [(9, "/en/[...rest]", "A"), (7, "/[a]/x/[b]", "B"), (8, "/de/[a]/c", "C"), (3, "/[q]", "D"), (10, "/de/x/c", "E"), (11, "/", "F"), (12, "/[[...all]]", "G")]
+    many = patterns + [(20 + i, "/en/[id]", "H") for i in range(500)]
+    got = {r.id: r.ord for r in merge.pattern_matches(routes, spark.createDataFrame(many, "ord int, pattern string, action string")).collect()}
+    assert got == {1: 9, 2: 3, 3: 10, 4: 7, 5: 3, 6: None, 7: 11, 8: 12}
+    known = merge._known(spark.createDataFrame(many, "ord int, pattern string, action string"))
+    assert known.filter("key = '/en/'").select("way", "b.ord").collect() == [("form", 20)]
+    got = merge.pattern_matches(routes, spark.createDataFrame([(9, "/en/[...rest]", "A")], "ord int, pattern string, action string")).filter("ord = 9")
+    assert sorted(r.id for r in got.collect()) == [1, 2]
