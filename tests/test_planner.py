@@ -1,7 +1,7 @@
 import random
 import re
 
-from quern.operators import planner
+from quern.operators import merge, planner
 from quern.operators.grams import meetings
 
 
@@ -101,3 +101,12 @@ def test_unused_routes(spark):
     routes = spark.createDataFrame([(1, "/a", False, False), (2, "/b", False, True), (3, "/api/c", True, True), (4, "/d", False, False)], "ord int, pattern string, api boolean, orphan boolean")
     used = spark.createDataFrame([(4,), (4,), (None,)], "ord int")
     assert sorted(map(tuple, planner.unused_routes(routes, used).collect())) == [(1, "/a", "ARCHIVE", 0.6), (2, "/b", "ARCHIVE", 0.7), (3, "/api/c", "IGNORE", 0.99)]
+
+
+def test_unused_routes_of_equal_patterns(spark):
+    """Only the first of equal patterns is used; a catch-all is by any route that starts as it does."""
+    patterns = spark.createDataFrame([(i, "/en/[id]", "EXTEND") for i in range(1, 400)] + [(500, "/de/[...all]", "CREATE")], "ord int, pattern string, action string")
+    pages = spark.createDataFrame([(i, f"/en/{i}") for i in range(400)] + [(900, "/devices")], "id int, route string")
+    routes = patterns.selectExpr("ord", "pattern", "false as api", "false as orphan")
+    left = planner.unused_routes(routes, merge.pattern_matches(pages, patterns))
+    assert sorted(r.ord for r in left.collect()) == list(range(2, 400))
