@@ -29,3 +29,11 @@ def test_orphans(spark, tmp_path):
     assert {r.page for r in catalog.QUERIES["orphan_pages"](spark, at).collect()} == {"a.com/de/2", "a.com/fr/3", "a.com/x/[...all]", "a.com/x/y/z", "b.com/en/1"}
     got = {r.host + r.route for r in catalog.QUERIES["orphan_routes"](spark, at).collect()}
     assert got == {"a.com/de/2", "b.com/en/1"}  # a catch-all covers itself too
+
+
+def test_a_score_does_not_follow_the_order_of_values(spark, tmp_path):
+    """Their mean is 16.05: halves go up."""
+    values = [20.65, 20.48, 0.71, 13.33, 25.08], [25.08, 20.48, 13.33, 20.65, 0.71]
+    for i, v in enumerate(values):
+        spark.createDataFrame([(1, "view", x) for x in v], "user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/{i}/events.parquet")
+        assert [tuple(r) for r in catalog.QUERIES["certification_score"](spark, f"{tmp_path}/{i}").collect()] == [(1, 16.1)]
