@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -31,6 +32,17 @@ CONTENT_TYPES = {
 }
 
 
+#: What the patterns' signs mean, in the syntax of Java: ends of words and blanks are those of ASCII
+#: letters (before "our", an accented letter is such an end), ``$`` is the end of the text alone,
+#: and the long s and the Kelvin sign are s and k, as case does not count.
+_SIGNS = {r"\b": r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))", r"\s": r"[\t\n\f\r ]", "$": r"\z", "s": "[s\u017f]", "k": "[k\u212a]"}
+
+
+def _any_of(patterns: Iterable[str]) -> str:
+    """One pattern, in Java's syntax, for those of ``CONTENT_TYPES``."""
+    return "(?i)" + re.sub(r"\\.|[sk$]", lambda m: _SIGNS.get(m[0], m[0]), "|".join(patterns))
+
+
 def weighted_sum(parts: Iterable[tuple[Column, float]]) -> Column:
     """Values times their weights, added in the order given."""
     total = F.lit(0.0)
@@ -67,7 +79,7 @@ def content_scores(url: Column, title: Column, description: Column, words: Colum
             .when(node == "pagination", 0.3).when(node == "asset", 0.1).otherwise(0.6)
         )
         by_words = F.when((words >= low) & (words <= high), 1.0).when(words < low, words / max(low, 1)).otherwise(F.greatest(F.lit(0.0), 1 - (words - high) / high))
-        found = lambda text, patterns: F.coalesce(text.rlike("(?i)" + "|".join(patterns)), F.lit(False))
+        found = lambda text, patterns: F.coalesce(text.rlike(_any_of(patterns)), F.lit(False))
         parts = {
             "url": F.when(found(url, urls_), 1.0).otherwise(0.0), "title": F.when(found(named, titles), 1.0).otherwise(0.0), "words": by_words, "images": by_images[kind],
             "depth": by_depth[kind], "node": by_node, "description": F.when(F.length(about) > 20, 1.0).otherwise(0.0),

@@ -1,5 +1,8 @@
+import duckdb
+from pyspark.sql import functions as F
+
 from quern import catalog
-from quern.operators import graph
+from quern.operators import graph, rules
 
 
 def pages(spark, path, urls, html=""):
@@ -37,3 +40,17 @@ def test_a_score_does_not_follow_the_order_of_values(spark, tmp_path):
     for i, v in enumerate(values):
         spark.createDataFrame([(1, "view", x) for x in v], "user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/{i}/events.parquet")
         assert [tuple(r) for r in catalog.QUERIES["certification_score"](spark, f"{tmp_path}/{i}").collect()] == [(1, 16.1)]
+
+
+def test_words_of_titles_end_as_in_sql(spark, tmp_path):
+    """An accented letter ends a word, a line feed does not end a text, the long s is an s."""
+    titles = ["éour mission", "our mission", "sour mission", "faqé", "why?\n", "ſtories of muſings"]
+    spark.createDataFrame([(i * 5 + 3, "http://a.com/x", f"<title>{t}</title>") for i, t in enumerate(titles)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = [(r[0], r[1], r[2], r[3]) for r in con.execute(catalog.ORACLE["content_types"]).fetchall()]
+    got = [(r.page_id, r.kind, r.confidence, r.others) for r in catalog.QUERIES["content_types"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+    score = lambda t: rules.content_scores(*map(F.lit, ("/x", t, "", 1, 0, 1, "article")))["BLOG"]
+    found = spark.range(1).select(*(score(t).alias(str(i)) for i, t in enumerate(("éour way", "sour way", "muſings", "none")))).first()
+    assert [round(x - found[3], 6) for x in found] == [0.25, 0.0, 0.25, 0.0]
