@@ -54,3 +54,13 @@ def test_words_of_titles_end_as_in_sql(spark, tmp_path):
     score = lambda t: rules.content_scores(*map(F.lit, ("/x", t, "", 1, 0, 1, "article")))["BLOG"]
     found = spark.range(1).select(*(score(t).alias(str(i)) for i, t in enumerate(("éour way", "sour way", "muſings", "none")))).first()
     assert [round(x - found[3], 6) for x in found] == [0.25, 0.0, 0.25, 0.0]
+
+
+def test_site_statistics_equal_sql_with_accents(spark, tmp_path):
+    titles = ["égallery", "éreport", "édocumentation", "étutorial", "éfaq"]
+    spark.createDataFrame([(i * 5 + 3, "http://a.com/x", f"<title>{t}</title>") for i, t in enumerate(titles)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = {(r.histogram, r.value, r.pages) for r in catalog.QUERIES["site_graph_stats"](spark, str(tmp_path)).collect()}
+    assert got == set(con.execute("SELECT histogram, value, pages FROM (" + catalog.ORACLE["site_graph_stats"] + ")").fetchall())
+    assert ("type", "GALLERY", 1) in got
