@@ -75,15 +75,19 @@ def prime_menus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.fold(n, item, [F.col("node")], top=1, levels=1).select(F.substring_index("node", "/", 1).alias("host"), "node", "json")
 
 
-@query(PARTS_SQL + """, c AS (SELECT host, len(parts) AS depth FROM p)
-SELECT host, count(*) FILTER (WHERE depth = 1) AS primary_items, least(50, count(*) FILTER (WHERE depth = 2)) AS secondary_items, CAST(max(depth) AS INTEGER) AS max_depth FROM c GROUP BY host""")
+@query(PARTS_SQL + """, c AS (SELECT host, page_id, title, len(parts) AS depth, row_number() OVER (PARTITION BY host, len(parts) ORDER BY page_id) AS i FROM p)
+SELECT host, count(*) FILTER (WHERE depth = 1) AS primary_items, least(50, count(*) FILTER (WHERE depth = 2)) AS secondary_items, string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY title, page_id) FILTER (WHERE depth = 1) AS primary_order,
+  CAST(max(depth) AS INTEGER) AS max_depth FROM c GROUP BY host""")
 def navigation_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How large each site's navigation is: pages one level deep, and of the next level fifty at
-    most (a menu's length). The items themselves are rows of ``navigation_menus``."""
-    p = parts(spark, sf_dir).select("host", F.size("parts").alias("depth"))
-    return p.groupBy("host").agg(
-        F.count_if(F.col("depth") == 1).alias("primary_items"), F.least(F.lit(50), F.count_if(F.col("depth") == 2)).alias("secondary_items"), F.max("depth").alias("max_depth")
-    )
+    """Each site's navigation: pages one level deep by title, and of the next level fifty at most
+    (a menu's length). Titles are compared by code point; only numbers of pages are gathered in
+    the row of a site. The items with what is below them are rows of ``navigation_menus``."""
+    p = parts(spark, sf_dir).select("host", "page_id", "title", F.size("parts").alias("depth"))
+    g = p.groupBy("host").agg(F.count_if(F.col("depth") == 1).alias("primary_items"), F.least(F.lit(50), F.count_if(F.col("depth") == 2)).alias("secondary_items"), F.max("depth").alias("max_depth"))
+    place = F.row_number().over(Window.partitionBy("host").orderBy(F.asc_nulls_last("title"), F.asc_nulls_last("page_id")))
+    first = p.filter("depth = 1").select(F.col("host").alias("_host"), F.struct(place.alias("i"), "page_id").alias("o")).groupBy("_host").agg(F.sort_array(F.collect_list("o")).alias("o"))
+    order = F.array_join(F.transform("o", lambda x: x["page_id"].cast("string")), ",")
+    return g.join(first, F.col("host").eqNullSafe(F.col("_host")), "left").select("host", "primary_items", "secondary_items", order.alias("primary_order"), "max_depth")
 
 
 @query(PARTS_SQL + """, s AS (SELECT page_id, list_transform(list_filter(parts, lambda x: NOT regexp_matches(x, '^[0-9]+$') AND NOT regexp_matches(x, '[.](html?|php|aspx?)$', 'i')), lambda x: replace(replace(lower(x), '-', ' '), '_', ' '))[1:4] AS c FROM p),

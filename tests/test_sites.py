@@ -64,3 +64,16 @@ def test_site_statistics_equal_sql_with_accents(spark, tmp_path):
     got = {(r.histogram, r.value, r.pages) for r in catalog.QUERIES["site_graph_stats"](spark, str(tmp_path)).collect()}
     assert got == set(con.execute("SELECT histogram, value, pages FROM (" + catalog.ORACLE["site_graph_stats"] + ")").fetchall())
     assert ("type", "GALLERY", 1) in got
+
+
+def test_navigation_tells_the_order_of_its_pages(spark, tmp_path):
+    """By title, then by number; a page without HTML has no title and comes last."""
+    rows = [(4, "http://a.com/x", "<title>b</title>"), (3, "http://a.com/y", "<title>a</title>"), (2, "http://a.com/z/w", "<title>0</title>"), (1, "http://a.com/q", "<title>b</title>"), (0, "http://a.com/n", None), (9, "http://b.com/", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = catalog.QUERIES["navigation_trees"](spark, str(tmp_path))
+    con.execute(f"CREATE TABLE o AS {catalog.ORACLE['navigation_trees']}")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM o").fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert {r.host: r.primary_order for r in got.collect()} == {"a.com": "3,1,4,0", "b.com": None}
