@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text
 from quern.operators.grams import meetings
+from quern.scratch import materialize
 
 #: What is an import, a link and a redirect in a file.
 IMPORT = r"""import\s+.*?from\s+['"]([^'"]+)['"]"""
@@ -28,7 +29,36 @@ def _ends(s: Column) -> Column:
 
 
 def _keyed(kind: str, keys: Column) -> Column:
-    return F.transform(keys, lambda k: F.struct(F.lit(kind).alias("way"), k.alias("key")))
+    return F.transform(keys, lambda k: F.concat(F.lit(f"{kind} "), k))
+
+
+#: The members of a class are dealt to so many tasks when they are joined.
+DEALT = 16
+
+
+def _classes(rows: DataFrame, id_: str, name: str) -> DataFrame:
+    """(id, class, keys): ids of rows (id, key) with one set of keys are of one class."""
+    per = rows.groupBy(id_).agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    return per.select(id_, F.unhex(F.sha2(F.to_json("keys"), 256)).alias(name), "keys")
+
+
+def shared(asked: DataFrame, known: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """(from_id, to_id), once each, for rows of asked (from_id, key) and known (to_id, key) with
+    a key in common; ``more`` adds its columns to each to_id.
+
+    Ids with the same keys of those that both sides have are a class. Classes meet by key and
+    are made one of a pair; only then their members are joined. So what is shuffled follows
+    from members and pairs of classes, not from the pairs of members, which are never
+    exchanged, however many they are.
+    """
+    both = asked.select("key").distinct().join(known.select("key").distinct(), "key")
+    a, b = (_classes(rows.join(both, "key", "left_semi"), id_, name) for rows, id_, name in ((asked, "from_id", "_from"), (known, "to_id", "_to")))
+    of = lambda df, name: df.groupBy(name).agg(F.first("keys").alias("keys")).select(name, F.explode("keys").alias("key"))
+    pairs = of(a, "_from").join(of(b, "_to"), "key").select("_from", "_to").distinct()
+    held = b.drop("keys") if more is None else b.drop("keys").join(more, "to_id")
+    right = pairs.join(held, "_to").drop("_to").withColumn("_task", F.pmod(F.xxhash64("to_id"), F.lit(DEALT)))
+    left = a.select("from_id", "_from", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long"))).alias("_task"))
+    return left.join(right, ["_from", "_task"]).drop("_from", "_task")
 
 
 def import_edges(files: DataFrame, targets: DataFrame) -> DataFrame:
@@ -45,7 +75,8 @@ def import_edges(files: DataFrame, targets: DataFrame) -> DataFrame:
     raw = files.select("id", F.explode(F.array_distinct(text.extract_all(F.col("content"), IMPORT))).alias("raw")).select("id", name.alias("name"))
     last, bare = F.element_at(F.split("name", "/"), -1), ~F.contains("name", F.lit("/"))
     ways = F.when(bare, F.array(*map(F.lit, ("start", "end", "index")))).otherwise(F.array(F.lit("start")))
-    asked = raw.filter(last != "").select("id", last.alias("key"), F.explode(ways).alias("way")).distinct()
+    asked = raw.filter(last != "").select(F.col("id").alias("from_id"), F.explode(ways).alias("way"), last.alias("key"))
+    asked = materialize(asked.select("from_id", F.concat("way", F.lit(" "), "key").alias("key")).distinct(), "imports")
 
     file = F.regexp_replace(F.translate("path", "\\", "/"), r"\.[tj]sx?$", "")
     held = targets.filter("path is not null").select(F.col("id").alias("to_id"), F.split(file, "/").alias("s"))
@@ -53,8 +84,7 @@ def import_edges(files: DataFrame, targets: DataFrame) -> DataFrame:
     starts = F.flatten(F.transform(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), _starts))
     index = F.when(F.element_at("s", -1) == "index", _ends(F.coalesce(F.try_element_at("s", F.lit(-2)), F.lit("")))).otherwise(none)
     keys = F.array_distinct(F.concat(_keyed("start", starts), _keyed("end", _ends(F.element_at("s", -1))), _keyed("index", index)))
-    known = held.select("to_id", F.explode(keys).alias("k")).select("to_id", "k.way", "k.key")
-    return asked.join(known, ["way", "key"]).select(F.col("id").alias("from_id"), "to_id").distinct()
+    return shared(asked, held.select("to_id", F.explode(keys).alias("key"))).select("from_id", "to_id")
 
 
 def source_edges(files: DataFrame, sources: DataFrame) -> DataFrame:
@@ -68,9 +98,12 @@ def source_edges(files: DataFrame, sources: DataFrame) -> DataFrame:
     word = files.select(F.col("id").alias("from_id"), F.explode(F.array_distinct(text.extract_all(F.col("content"), r"([A-Za-z0-9_]+)"))).alias("hay"))
     vars_ = sources.select(F.col("id").alias("to_id"), F.explode("vars").alias("needle")).filter(r"needle rlike '^[A-Za-z0-9_]+$'").distinct()
     met = meetings(word, vars_).distinct()
-    named = met.join(vars_, "needle").select("hay", "to_id").distinct().join(word, "hay").select("from_id", "to_id")
+    named = materialize(word.join(met, "hay").select("from_id", F.col("needle").alias("key")).distinct(), "variables")
+    vars_ = vars_.withColumnRenamed("needle", "key")
     sure = sources.groupBy(F.col("id").alias("to_id")).agg(F.max("confidence").alias("confidence"))
-    return listed.unionByName(named).distinct().join(sure, "to_id").select("from_id", "to_id", "confidence")
+    twice = listed.join(named, "from_id").join(vars_, ["to_id", "key"]).select("from_id", "to_id")
+    rest = listed.distinct().join(twice, ["from_id", "to_id"], "left_anti").join(sure, "to_id")
+    return shared(named, vars_, sure).unionByName(rest).select("from_id", "to_id", "confidence")
 
 
 def _targets(routes: DataFrame, pattern: str) -> DataFrame:

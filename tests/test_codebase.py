@@ -80,3 +80,19 @@ def test_objects_are_claimed_in_turns(spark):
         keys[11]: ("dom", other), keys[12]: ("unknown", other), keys[16]: ("unknown", other),
     }
     assert {tuple(r) for r in bindings.summary(nodes.filter("job is not null"), objects, bound).collect()} == {("j", 6, 14, 7, 7), ("k", 1, 0, 0, 0)}
+
+
+def test_pairs_of_many_files_are_not_exchanged(spark):
+    """Nothing gathers or counts the pairs once members are joined; each is there once."""
+    files = spark.createDataFrame([(i, f'import a from "Card{i % 3}"; import b from "@/x/Card"') for i in range(300)], "id long, content string")
+    targets = spark.createDataFrame([(1000 + i, f"src/x/Card{i % 4}.ts") for i in range(200)] + [(7, "src/y/Menu.ts")], "id long, path string")
+    sources = spark.createDataFrame([(i, 0.5, ["p1"], [f"V{i % 2}"]) for i in range(50)], "id long, confidence double, files array<string>, vars array<string>")
+    named = spark.createDataFrame([(i, f"p{i}", f"x V{i % 4} y") for i in range(100)], "id long, path string, content string")
+    found = imports.import_edges(files, targets), imports.source_edges(named, sources)
+    assert sorted(map(tuple, found[0].collect())) == sorted((i, 1000 + j) for i in range(300) for j in range(200))
+    want = {(i, j, 0.5) for i in range(100) for j in range(50) if i % 4 == j % 2 or i == 1}
+    got = [tuple(r) for r in found[1].collect()]
+    assert len(got) == len(want) and set(got) == want
+    for df in found:
+        above = df._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[0]
+        assert "Aggregate" not in above and "Repartition" not in above
