@@ -129,12 +129,22 @@ def _way(name: str, key: Column) -> Column:
 
 def pattern_matches(routes: DataFrame, patterns: DataFrame) -> DataFrame:
     """``routes`` (id, route) with the first of ``patterns`` (ord, pattern, action) that fits: an
-    equal one before any other; null ord where none does.
+    equal one before any other; null ord where none does."""
+    return routes.join(first_matches(routes, patterns), "route", "left").select("id", "route", "b.ord", "b.pattern", "b.action")
+
+
+#: Tasks that the routes of one open form or one start are dealt to.
+DEALT = 16
+
+
+def first_matches(routes: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(route, b): the first of ``patterns`` for each distinct route that has one.
 
     Patterns that take the same routes count as one, the first. A route meets them by
     equi-join: as it is, with the segments emptied that are open in some pattern of its
     length, and by its starts that are as long as what stands before some catch-all. So a
-    route makes a row for each way in which segments are open, never for each pattern.
+    route makes a row for each way in which segments are open, never for each pattern. As
+    all routes of a length may have one open form, routes of a form are dealt to tasks.
     """
     p, r = F.col("pattern"), F.col("route")
     closed, caught = patterns.filter(~p.rlike(paths.CATCH_ALL)), patterns.filter(p.rlike(paths.CATCH_ALL))
@@ -145,9 +155,12 @@ def pattern_matches(routes: DataFrame, patterns: DataFrame) -> DataFrame:
     forms = F.transform(F.coalesce("_opens", F.array().cast("array<array<boolean>>")), lambda o: _way("form", _form(paths.pieces(r), o)))
     starts = F.transform(F.filter("_sizes", lambda n: n <= F.length(r)), lambda n: _way("start", F.substring(r, F.lit(1), n)))
     met = each.select("route", F.explode(F.concat(F.array(_way("equal", r)), forms, starts)).alias("_k")).select("route", "_k.way", "_k.key")
-    met = met.join(_known(patterns), ["way", "key"])
-    best = met.groupBy("route").agg(F.min_by("b", F.struct(F.col("way") != "equal", "b.ord")).alias("b"))
-    return routes.join(best, "route", "left").select("id", "route", "b.ord", "b.pattern", "b.action")
+    # emptied segments leave two slashes, or one at the end
+    shared = (F.col("way") == "start") | (F.col("way") == "form") & F.col("key").rlike("//|/$")
+    met = met.withColumn("_part", F.when(shared, F.pmod(F.xxhash64("route"), F.lit(DEALT)).cast("int")).otherwise(0))
+    known = _known(patterns).withColumn("_part", F.explode(F.when(shared, F.sequence(F.lit(0), F.lit(DEALT - 1))).otherwise(F.array(F.lit(0)))))
+    met = met.join(known, ["way", "key", "_part"])
+    return met.groupBy("route").agg(F.min_by("b", F.struct(F.col("way") != "equal", "b.ord")).alias("b"))
 
 
 def plan_stats(decisions: DataFrame, conflicts: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import urls
-from quern.operators import planner
-from quern.plans.merge import layout_assignments, route_matches, route_patterns
-from quern.plans.web import sql_route
+from quern.operators import merge, planner
+from quern.plans.merge import layout_assignments, route_patterns
+from quern.plans.web import page_route, sql_route
 from quern.registry import ORACLE, query
 from quern.sources.tables import table
 
@@ -80,6 +80,7 @@ FROM p WHERE ord NOT IN (SELECT ord FROM b)
 """)
 def unused_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes of a code base that no page comes to; some are APIs, some orphans."""
-    r = table(spark, sf_dir, "pages").select(urls.route(F.col("url")).alias("route"), F.col("page_id").alias("id"))
-    routes = route_patterns(spark, r).select("ord", "pattern", (F.col("ord") % 5 == 0).alias("api"), (F.col("ord") % 3 == 0).alias("orphan"))
-    return planner.unused_routes(routes, route_matches(spark, sf_dir))
+    r = table(spark, sf_dir, "pages").select(page_route(F.col("url")).alias("route"), F.col("page_id").alias("id"))
+    patterns = route_patterns(spark, r)
+    routes = patterns.select("ord", "pattern", (F.col("ord") % 5 == 0).alias("api"), (F.col("ord") % 3 == 0).alias("orphan"))
+    return planner.unused_routes(routes, merge.first_matches(r, patterns).select("b.ord"))

@@ -1,6 +1,9 @@
 import random
 import re
 
+import duckdb
+
+from quern import catalog
 from quern.operators import merge, planner
 from quern.operators.grams import meetings
 
@@ -110,3 +113,22 @@ def test_unused_routes_of_equal_patterns(spark):
     routes = patterns.selectExpr("ord", "pattern", "false as api", "false as orphan")
     left = planner.unused_routes(routes, merge.pattern_matches(pages, patterns))
     assert sorted(r.ord for r in left.collect()) == list(range(2, 400))
+
+
+def test_unused_routes_of_pages_without_url(spark, tmp_path):
+    """They are at the root, as in SQL, and make no route without a pattern."""
+    urls = [None, "http://a.com/en/1", None, "http://a.com/de/2", "http://b.com/de/3.html", None, "http://b.com/fr/3"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("unused_routes", "route_matches"):
+        got = [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
+        assert sorted(got, key=str) == sorted(con.execute(catalog.ORACLE[name]).fetchall(), key=str)
+
+
+def test_routes_of_one_form_are_dealt(spark):
+    """All routes fit one open pattern and one catch-all; each finds the first, whatever its task."""
+    pages = spark.createDataFrame([(i, f"/a{i}/b{i}") for i in range(300)] + [(300, "/only/[x]"), (301, "/z/y/x")], "id int, route string")
+    patterns = spark.createDataFrame([(7, "/[p]/[q]", "A"), (9, "/[r]/[s]", "A"), (8, "/[...all]", "B"), (50, "/a5/b5", "C"), (60, "/only/[x]", "D")], "ord int, pattern string, action string")
+    got = {r.route: r.b.ord for r in merge.first_matches(pages, patterns).collect()}
+    assert got == {f"/a{i}/b{i}": 7 for i in range(300)} | {"/a5/b5": 50, "/only/[x]": 60, "/z/y/x": 8}
