@@ -22,6 +22,8 @@ STOPWORDS = (
     "this", "it", "its", "page", "post", "article", "www", "http", "https", "index", "home", "default", "main", "content", "section",
 )
 SPACES = r"[ \t\n\r\f]+"
+#: Unicode's blanks (Zs), which trim() of the SQL takes off.
+BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def js_round(c: Column) -> Column:
@@ -50,6 +52,11 @@ def words(c: Column) -> Column:
     return F.filter(F.split(squeeze(c), " "), lambda w: w != "")
 
 
+def word_count(c: Column) -> Column:
+    """How many :func:`words` a text has, without those of blanks alone at its ends."""
+    return F.regexp_count(F.btrim(c, F.lit(BLANKS + "\t\n\r\f")), F.lit(r"[^ \t\n\r\f]+"))
+
+
 def slugify(c: Column) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-|-$", ""), 1, 80)
 

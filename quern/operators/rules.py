@@ -64,7 +64,7 @@ def content_scores(url: Column, title: Column, description: Column, words: Colum
     by_images = {
         "ARTICLE": at_least(images, 1, 0.7, 0.5), "BLOG": at_least(images, 1, 0.7, 0.5), "GUIDE": at_least(images, 1, 0.8, 0.6), "LANDING_PAGE": at_least(images, 1, 0.8, 0.3),
         "PORTFOLIO": F.when(ratio > 0.02, 1.0).otherwise(ratio * 50), "GALLERY": F.when(ratio > 0.05, 1.0).otherwise(ratio * 20),
-        "FAQ": at_least(images, 4, 0.5, 0.9), "DOCS": at_least(images, 6, 0.5, 0.9),
+        "FAQ": F.when(images <= 3, 0.9).otherwise(0.5), "DOCS": F.when(images <= 5, 0.9).otherwise(0.5),
     }
     deep = F.when(depth >= 2, 0.9).when(depth == 1, 0.6).otherwise(0.2)
     by_depth = {

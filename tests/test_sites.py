@@ -66,6 +66,22 @@ def test_site_statistics_equal_sql_with_accents(spark, tmp_path):
     assert ("type", "GALLERY", 1) in got
 
 
+def test_site_statistics_equal_sql_on_odd_pages(spark, tmp_path):
+    """Pages without URL or HTML, images in capitals, with line feeds or never closed, descriptions of other forms."""
+    html = [
+        "<IMG src=x><img\nsrc=y><img\tz>", '<img src="a<img src=b>', "<imgx><img >" + "<img >" * 9, "<img/>x", "", None, " a\n\tb ", "word " * 1200 + "<table>",
+        "\u00a0 <p>\u3000 x\u00a0 y", "\n\u2003\n\u00a0x", "<meta content='our mission is told here' name='description'><title>x", '<META NAME="description" CONTENT="how to get a portfolio of our work">',
+    ]
+    urls = ["http://a.com/en/5", None, "", "no url", "\u00a0http://a.com/en/7\u3000"]
+    rows = [(i * 9 + k, urls[k % 5], h) for k in range(9) for i, h in enumerate(html)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("layout_assignments", "content_types", "site_graph_stats", "unused_routes"):
+        got = [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
+        assert sorted(got, key=str) == sorted(con.execute(catalog.ORACLE[name]).fetchall(), key=str), name
+
+
 def test_navigation_tells_the_order_of_its_pages(spark, tmp_path):
     """By title, then by number; a page without HTML has no title and comes last."""
     rows = [(4, "http://a.com/x", "<title>b</title>"), (3, "http://a.com/y", "<title>a</title>"), (2, "http://a.com/z/w", "<title>0</title>"), (1, "http://a.com/q", "<title>b</title>"), (0, "http://a.com/n", None), (9, "http://b.com/", "")]
