@@ -114,11 +114,16 @@ def _form(pieces: Column, open_: Column) -> Column:
     return F.array_join(F.zip_with(pieces, open_, lambda s, o: F.when(o, "/").otherwise(F.concat(F.lit("/"), s))), "")
 
 
+def _opens(segment: Column) -> Column:
+    """Whether a segment takes any other, as it begins with a bracket, closed or not."""
+    return segment.startswith("[")
+
+
 def _known(patterns: DataFrame) -> DataFrame:
     """(way, key, b): each pattern as it is, and by its form or what stands before its catch-all;
     of those with one key the first."""
     p, pieces = F.col("pattern"), paths.pieces(F.col("pattern"))
-    other = F.when(p.rlike(paths.CATCH_ALL), _way("start", paths.before_catch_all(p))).otherwise(_way("form", _form(pieces, F.transform(pieces, paths.is_open))))
+    other = F.when(p.rlike(paths.CATCH_ALL), _way("start", paths.before_catch_all(p))).otherwise(_way("form", _form(pieces, F.transform(pieces, _opens))))
     each = patterns.filter("pattern is not null").select(F.struct("ord", "pattern", "action").alias("b"), F.explode(F.array(_way("equal", p), other)).alias("k"))
     return each.groupBy("k.way", "k.key").agg(F.min_by("b", "b.ord").alias("b"))
 
@@ -148,7 +153,7 @@ def first_matches(routes: DataFrame, patterns: DataFrame) -> DataFrame:
     """
     p, r = F.col("pattern"), F.col("route")
     closed, caught = patterns.filter(~p.rlike(paths.CATCH_ALL)), patterns.filter(p.rlike(paths.CATCH_ALL))
-    opens = closed.select(F.transform(paths.pieces(p), paths.is_open).alias("open")).distinct().groupBy(F.size("open").alias("_n")).agg(F.collect_set("open").alias("_opens"))
+    opens = closed.select(F.transform(paths.pieces(p), _opens).alias("open")).distinct().groupBy(F.size("open").alias("_n")).agg(F.collect_set("open").alias("_opens"))
     sizes = caught.agg(F.collect_set(F.length(paths.before_catch_all(p))).alias("_sizes"))  # one row
     each = routes.filter("route is not null").select("route", F.size(paths.pieces(r)).alias("_n")).distinct()
     each = each.join(F.broadcast(opens), "_n", "left").join(F.broadcast(sizes), F.lit(True))

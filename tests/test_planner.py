@@ -126,6 +126,16 @@ def test_unused_routes_of_pages_without_url(spark, tmp_path):
         assert sorted(got, key=str) == sorted(con.execute(catalog.ORACLE[name]).fetchall(), key=str)
 
 
+def test_a_bracket_opens_a_segment_closed_or_not(spark, tmp_path):
+    urls = {4: "/x/[y", 5: "/x/q", 7: "/x/r", 8: "/[z/q", 13: "/w/q", 16: "/w]/q"}
+    spark.createDataFrame([(i, f"http://a.com{u}") for i, u in urls.items()], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("unused_routes", "route_matches"):
+        got = [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
+        assert sorted(got, key=str) == sorted(con.execute(catalog.ORACLE[name]).fetchall(), key=str)
+
+
 def test_routes_of_one_form_are_dealt(spark):
     """All routes fit one open pattern and one catch-all; each finds the first, whatever its task."""
     pages = spark.createDataFrame([(i, f"/a{i}/b{i}") for i in range(300)] + [(300, "/only/[x]"), (301, "/z/y/x")], "id int, route string")
