@@ -32,8 +32,10 @@ def _keyed(kind: str, keys: Column) -> Column:
     return F.transform(keys, lambda k: F.concat(F.lit(f"{kind} "), k))
 
 
-#: The members of a class are dealt to so many tasks when they are joined.
-DEALT = 16
+#: Ids of either side that meet in one block, about; what a task holds of a join.
+BLOCK = 2_000
+#: Pairs of a task, about, and the most tasks.
+PAIRS, TASKS = 4_000_000, 4_000
 
 
 def _classes(rows: DataFrame, id_: str, name: str) -> DataFrame:
@@ -42,6 +44,18 @@ def _classes(rows: DataFrame, id_: str, name: str) -> DataFrame:
     return per.select(id_, F.unhex(F.sha2(F.to_json("keys"), 256)).alias(name), "keys")
 
 
+def _parts(n: Column) -> Column:
+    return F.ceil(n / BLOCK)
+
+
+def _part(id_: str, n: Column) -> Column:
+    return F.pmod(F.xxhash64(id_), n)
+
+
+def _each(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
+
 def shared(asked: DataFrame, known: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """(from_id, to_id), once each, for rows of asked (from_id, key) and known (to_id, key) with
     a key in common; ``more`` adds its columns to each to_id.
@@ -50,15 +64,29 @@ def shared(asked: DataFrame, known: DataFrame, more: DataFrame | None = None) ->
     are made one of a pair; only then their members are joined. So what is shuffled follows
     from members and pairs of classes, not from the pairs of members, which are never
     exchanged, however many they are.
+
+    The members of a class and of all that it meets are dealt to blocks of BLOCK by BLOCK ids,
+    whatever their number, and blocks to tasks by the number of pairs. The last join is one by
+    sorting: a broadcast one holds all pairs of a row of its other side, of two such joins all
+    pairs of two classes.
     """
-    both = asked.select("key").distinct().join(known.select("key").distinct(), "key")
-    a, b = (_classes(rows.join(both, "key", "left_semi"), id_, name) for rows, id_, name in ((asked, "from_id", "_from"), (known, "to_id", "_to")))
-    of = lambda df, name: df.groupBy(name).agg(F.first("keys").alias("keys")).select(name, F.explode("keys").alias("key"))
-    pairs = of(a, "_from").join(of(b, "_to"), "key").select("_from", "_to").distinct()
-    held = b.drop("keys") if more is None else b.drop("keys").join(more, "to_id")
-    right = pairs.join(held, "_to").drop("_to").withColumn("_task", F.pmod(F.xxhash64("to_id"), F.lit(DEALT)))
-    left = a.select("from_id", "_from", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long"))).alias("_task"))
-    return left.join(right, ["_from", "_task"]).drop("_from", "_task")
+    known = materialize(known.join(asked.select("key").distinct(), "key", "left_semi").select("to_id", "key"), "known")
+    a, b = _classes(asked.join(known.select("key").distinct(), "key", "left_semi"), "from_id", "_from"), _classes(known, "to_id", "_to")
+    of = lambda df, name, n: df.groupBy(name).agg(F.first("keys").alias("keys"), F.count(F.lit(1)).alias(n)).select(name, n, F.explode("keys").alias("key"))
+    pairs = materialize(of(a, "_from", "_asking").join(of(b, "_to", "_held"), "key").drop("key").distinct(), "classes")
+    blocks = pairs.groupBy("_from").agg(_parts(F.max("_asking")).alias("_rows"), _parts(F.sum("_held")).alias("_cols"))
+    tasks, at = 1 + int((pairs.agg(F.sum(F.col("_asking").cast("double") * F.col("_held"))).first()[0] or 0) / PAIRS), ["_from", "_row", "_col"]
+
+    left = a.drop("keys").join(blocks, "_from").select("from_id", "_from", _part("from_id", F.col("_rows")).alias("_row"), _each(F.col("_cols")).alias("_col"))
+    parts = pairs.groupBy("_to").agg(_parts(F.max("_held")).alias("_parts"))
+    held = b.drop("keys").join(parts, "_to").withColumn("_part", _part("to_id", F.col("_parts"))).drop("_parts")
+    held = held if more is None else held.join(more, "to_id")
+    cells = pairs.join(blocks, "_from").select("_from", "_to", "_cols", "_held", _each(F.col("_rows")).alias("_row")).withColumn("_part", _each(_parts(F.col("_held"))))
+    right = cells.drop("_held").join(held.hint("merge"), ["_to", "_part"]).withColumn("_col", _part("to_id", F.col("_cols"))).drop("_to", "_part", "_cols")
+    if tasks > 1:  # Spark itself would choose their number by the bytes that are shuffled
+        tasks = min(TASKS, max(tasks, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        left, right = left.repartition(tasks, *at), right.repartition(tasks, *at)
+    return left.join(right.hint("merge"), at).drop(*at)
 
 
 def import_edges(files: DataFrame, targets: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from quern.operators import bindings, imports
 
 NODES = "ord int, id long, type string, path string, route string, content string"
@@ -96,3 +98,20 @@ def test_pairs_of_many_files_are_not_exchanged(spark):
     for df in found:
         above = df._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[0]
         assert "Aggregate" not in above and "Repartition" not in above
+
+
+def test_pairs_of_a_class_are_dealt_in_blocks(spark, monkeypatch):
+    """However large a class is, a task holds a block of it, and none has most of the pairs."""
+    monkeypatch.setattr(imports, "BLOCK", 40, raising=False)
+    monkeypatch.setattr(imports, "PAIRS", 5_000, raising=False)
+    files = spark.createDataFrame([(i, 'import a from "@/x/Card"; import b from "Menu"') for i in range(700)] + [(None, 'import a from "Menu"')], "id long, content string")
+    targets = spark.createDataFrame([(1000 + i, f"src/x/Card{i}.ts") for i in range(300)] + [(7, "src/y/Menu.ts")], "id long, path string")
+    sources = spark.createDataFrame([(i, i / 8, ["p1"], ["V"]) for i in range(300)], "id long, confidence double, files array<string>, vars array<string>")
+    named = spark.createDataFrame([(i, f"p{i}", "x V y" if i else "W") for i in range(700)], "id long, path string, content string")
+    found = imports.import_edges(files, targets), imports.source_edges(named, sources)
+    assert sorted(map(tuple, found[0].na.fill(-1).collect())) == sorted([(i, j) for i in range(700) for j in (7, *range(1000, 1300))] + [(-1, 7)])
+    assert sorted(map(tuple, found[1].collect())) == [(i, j, j / 8) for i in range(1, 700) for j in range(300)]
+    for df in found:
+        counts = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(counts) > 20 and max(counts) < sum(counts) / 4
+        assert "SortMergeJoin" in df._jdf.queryExecution().sparkPlan().toString().split("Join", 1)[0] + "Join"
