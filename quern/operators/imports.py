@@ -83,6 +83,7 @@ def shared(asked: DataFrame, known: DataFrame, more: DataFrame | None = None) ->
     held = held if more is None else held.join(more, "to_id")
     cells = pairs.join(blocks, "_from").select("_from", "_to", "_cols", "_held", _each(F.col("_rows")).alias("_row")).withColumn("_part", _each(_parts(F.col("_held"))))
     right = cells.drop("_held").join(held.hint("merge"), ["_to", "_part"]).withColumn("_col", _part("to_id", F.col("_cols"))).drop("_to", "_part", "_cols")
+    left, right = materialize(left, "left"), materialize(right, "right")  # short plans: the driver plans the edges of all kinds together
     if tasks > 1:  # Spark itself would choose their number by the bytes that are shuffled
         tasks = min(TASKS, max(tasks, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
         left, right = left.repartition(tasks, *at), right.repartition(tasks, *at)
@@ -130,7 +131,7 @@ def source_edges(files: DataFrame, sources: DataFrame) -> DataFrame:
     vars_ = vars_.withColumnRenamed("needle", "key")
     sure = sources.groupBy(F.col("id").alias("to_id")).agg(F.max("confidence").alias("confidence"))
     twice = listed.join(named, "from_id").join(vars_, ["to_id", "key"]).select("from_id", "to_id")
-    rest = listed.distinct().join(twice, ["from_id", "to_id"], "left_anti").join(sure, "to_id")
+    rest = materialize(listed.distinct().join(twice, ["from_id", "to_id"], "left_anti").join(sure, "to_id"), "listed")
     return shared(named, vars_, sure).unionByName(rest).select("from_id", "to_id", "confidence")
 
 
